@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -13,8 +14,14 @@ ARROW_ROWS = 1000
 
 
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keeps Arrow batches small enough for long texts (a session setting of Spark)."""
+    """Keeps Arrow batches small enough for long texts (a session setting of Spark).
+
+    Also lets Python workers find this package where it is on the driver's path only.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), root)))
 
 
 def shared_dir(spark: SparkSession) -> str:

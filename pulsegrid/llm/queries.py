@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, token_binary
+from . import chat, embed_dups, exact_dedup, html_graph, langid, mixing, ngram_join, packing, secrets, token_binary
 from .common import materialize
 
 
@@ -32,10 +32,26 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.index_tokens(spark, out)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_graph.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
@@ -56,6 +72,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("word_bpe_49k.json"))
 
 
+def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dups.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 OP1_SQL = """
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
@@ -92,9 +112,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_token_binary": op2_token_binary,
+        "op3_secrets": op3_secrets,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_language_id": op5_language_id,
+        "op6_html": op6_html,
+        "op7_ngram_join": op7_ngram_join,
         "op8_chat": op8_chat,
         "op9_packing": op9_packing,
+        "op10_embedding_dups": op10_embedding_dups,
     }
 
 
