@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, text_or_empty
+from .common import arrow_batches, materialize, text_or_empty
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of distinct contents that a task keeps in its table; what is beyond goes to spill files.
@@ -161,3 +161,18 @@ def exact_dedup(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("doc_id")) == 1
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("first")
     return rows.withColumn("first", first).join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) without copies: one row of each group of equal texts.
+
+    Only the keys of rows that go, or of which one is to stay, are joined with the documents.
+    """
+    decided = exact_dedup(docs, budget).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows"))
+    odd = materialize(decided.where("not _kept or _rows > 1").withColumnsRenamed({"doc_id": "_id", "text_sha256": "_key"}), "copies")
+    sha = F.sha2(F.regexp_replace(text_or_empty(), SPACE, " "), 256)
+    marked = docs.withColumn("_sha", sha).join(odd, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_key")), "left")
+    out = marked.where("_rows is null").select(*docs.columns)
+    if not odd.where("_kept").isEmpty():
+        out = out.unionByName(marked.where("_kept").dropDuplicates(["_id", "_key"]).select(*docs.columns))
+    return out

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import arrow_batches
 
@@ -141,23 +142,24 @@ def learn(docs: DataFrame) -> Model | None:
     return train([r["cut"] for r in rows], [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, lang_pred, score) for the whole text of each document (doc_id, text).
+def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of docs with lang_pred and score, for the whole text of each row.
 
     All windows of a text are classified; their probabilities are averaged by bytes.  Null
     texts and texts without a letter are ``und`` with score 0, and so is everything where
     nothing could be learned.
     """
     arrow_batches(docs.sparkSession)
-    schema = "doc_id long, lang_pred string, score double"
+    kept = [docs.schema[c] for c in keep]
+    schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches):
         tables = model.tables() if model else None
         for b in batches:
             pred, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
-            at = np.flatnonzero(np.asarray(b.column(2))) if model else []
+            at = np.flatnonzero(np.asarray(b.column("_letters").cast(pa.int8()))) if model else []
             if len(at):
-                texts = b.column(1).take(pa.array(at)).to_pylist()
+                texts = b.column("_text").take(pa.array(at)).to_pylist()
                 x, of, size = windows_of(texts)
                 p = model.predict(x, tables).astype(np.float64) * size[:, None]
                 first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
@@ -166,10 +168,24 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 for i, k in zip(at, best, strict=True):
                     pred[i] = model.languages[k]
                 score[at] = np.clip(mean[np.arange(len(at)), best], 0, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(pred, pa.string()), pa.array(score)], schema.names)
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col("doc_id").cast("long"), "text", letters.alias("letters")).mapInArrow(run, schema)
+    return docs.select(F.col("text").alias("_text"), letters.alias("_letters"), *keep).mapInArrow(run, schema)
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, lang, ...) whose language is known: neither ``und`` nor scored below REJECT_BELOW.
+
+    Where nothing could be learned, for want of labels, all rows stay.
+    """
+    model = learn(docs)
+    if model is None:
+        return docs
+    keep = tuple(docs.columns)
+    if {"lang_pred", "score", "_text", "_letters"} & set(keep):
+        raise ValueError("columns of docs clash with those of the prediction")
+    return identify(docs, model, keep).where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT_BELOW)).select(*keep)
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
@@ -178,5 +194,5 @@ def predict_languages(docs: DataFrame) -> DataFrame:
     The network learns from the folds that are not held out.  A null doc_id is in no fold: it
     is not learned from and not held out.  An empty table gives an empty result.
     """
-    out = identify(docs.select("doc_id", "text"), learn(docs))
+    out = identify(docs.select(F.col("doc_id").cast("long"), "text"), learn(docs))
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

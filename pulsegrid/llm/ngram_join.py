@@ -271,3 +271,9 @@ def jaccard_components(docs: DataFrame, checked: Callable[[DataFrame], None] | N
     out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(copies, "doc_id", "left")
     out = out.withColumn("rep", F.coalesce("rep", "doc_id")).join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) that represent their component: the one of the smallest id, and rows without id."""
+    gone = jaccard_components(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
