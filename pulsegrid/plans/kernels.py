@@ -1 +1,61 @@
-""""""
+"""Queries that need numeric kernels; tests hold them against formulas and synthetic signals."""
+
+from ..operators import intervals, spectral as op
+from ..sources.tables import beats, table
+from . import query
+from pyspark.sql import functions as F
+
+RATE = 64.0
+
+
+def signals(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record"), F.col("embedding").alias("values"))
+
+
+@query("eeg_bandpower")
+def eeg_bandpower(spark, sf_dir):
+    return op.bandpower(signals(spark, sf_dir), RATE)
+
+
+@query("spectrogram_features")
+def spectrogram_features(spark, sf_dir):
+    return op.spectrogram(signals(spark, sf_dir), RATE)
+
+
+@query("bandpass_peaks")
+def bandpass_peaks(spark, sf_dir):
+    return op.bandpass_peaks(signals(spark, sf_dir), RATE, 2.0, 12.0)
+
+
+@query("bcg_candidate_arbitration")
+def bcg_candidate_arbitration(spark, sf_dir):
+    return op.candidate_arbitration(signals(spark, sf_dir), RATE, [(2.0, 8.0), (3.0, 12.0), (4.0, 16.0), (5.0, 20.0), (6.0, 24.0)])
+
+
+@query("pcg_cycle")
+def pcg_cycle(spark, sf_dir):
+    return op.dominant_cycle(signals(spark, sf_dir), RATE, 0.1, 0.6)
+
+
+@query("emg_median_frequency")
+def emg_median_frequency(spark, sf_dir):
+    return op.median_frequency(signals(spark, sf_dir), RATE, 2.0, 30.0)
+
+
+@query("hrv_frequency")
+def hrv_frequency(spark, sf_dir):
+    return op.hrv_frequency(intervals.clean_intervals(beats(spark, sf_dir)))
+
+
+@query("image_path_trace")
+def image_path_trace(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    mask = line.select((F.col("l_suppkey") % 97).alias("image"), (F.col("l_partkey") % 60).alias("x"), (F.col("l_orderkey") % 40).alias("y")).distinct()
+    return op.minimum_path(mask)
+
+
+@query("image_median_trace", "SELECT l_suppkey % 97 AS image, l_partkey % 60 AS x, median(l_orderkey % 40) AS y, count(*) AS pixels FROM lineitem GROUP BY 1, 2")
+def image_median_trace(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    mask = line.select((F.col("l_suppkey") % 97).alias("image"), (F.col("l_partkey") % 60).alias("x"), (F.col("l_orderkey") % 40).alias("y"))
+    return mask.groupBy("image", "x").agg(F.median("y").alias("y"), F.count("*").alias("pixels"))
