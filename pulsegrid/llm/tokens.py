@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 #: White space beyond the plain kinds, on which Python and the tokenizer's patterns may disagree.
 _WIDE = (0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
 _RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, _WIDE)) + "]")
 #: Words a worker remembers; with more it starts anew, so its memory stays bounded.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+
+
+def _byte_chars() -> dict[int, int]:
+    """The characters that byte-level vocabularies write bytes as: visible ones as themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(other)}
 
 
 class WordCache:
@@ -20,7 +29,9 @@ class WordCache:
     character other than white space follows.  So a text is cut at such spaces, every new
     word is encoded once, and its ids are remembered.  ``spaced``: words keep their space
     (byte-level vocabularies); else white space is dropped (word vocabularies).  Texts with
-    rarer white space or runs of spaces are encoded whole.
+    rarer white space or runs of spaces are encoded whole.  A word of Latin letters is one
+    piece for the model, and a comma or full stop after it another; other words go through
+    the tokenizer's own normalizer and splitter.
     """
 
     def __init__(self, path: str, spaced: bool) -> None:
@@ -31,13 +42,42 @@ class WordCache:
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary has ids beyond 16 bits")
         self.tok.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.model = self.tok.model
         self.spaced = spaced
         self.words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self.pieces: dict[str, bytes] = {}
+        self.chars = _byte_chars()
+
+    def _encode(self, text: str) -> bytes:
+        ids = self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return array("H", ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of what the splitter would hand to the model, its bytes still as they are."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            shown = piece.encode().decode("latin-1").translate(self.chars)
+            ids = self.pieces[piece] = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        start = ""
+        if self.spaced:
+            start, word = ("", word[1:]) if word[:1] == "\0" else (" ", word)
+        if word and (word.isascii() or max(word) <= "ÿ"):
+            if not self.spaced:
+                word = word.lower()
+            if word.isalpha():
+                return self._piece(start + word)
+            if word[-1] in ",." and word[:-1].isalpha():
+                return self._piece(start + word[:-1]) + self._piece(word[-1])
+        text = start + word
+        if not text:
+            return b""
+        if self.tok.normalizer is not None:
+            text = self.tok.normalizer.normalize_str(text)
+        shown = [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+        return array("H", [t.id for p in shown for t in self.model.tokenize(p)]).tobytes()
 
     def _cut(self, text: str) -> list[str] | None:
         if _RARE.search(text):
@@ -53,18 +93,20 @@ class WordCache:
         cut = [self._cut(t) for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words = {}
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces = {}
         new: set[str] = set()
         for words in cut:
             if words is not None:
                 new.update(words)
-        fresh = list(new - self.words.keys())
-        plain = [w[1:] if w[:1] == "\0" else " " + w for w in fresh] if self.spaced else fresh
-        for at in range(0, len(fresh), 20_000):
-            self.words.update(zip(fresh[at : at + 20_000], self._encode(plain[at : at + 20_000]), strict=True))
+        for word in new - self.words.keys():
+            self.words[word] = self._word(word)
         get = self.words.__getitem__
         for text, words in zip(texts, cut, strict=True):
-            yield self._encode([text])[0] if words is None else b"".join(map(get, words))
+            yield self._encode(text) if words is None else b"".join(map(get, words))
+
 
+assert sys.byteorder == "little", "ids are written as they stand in memory"
 
 _caches: dict[tuple[str, bool], WordCache] = {}
 
