@@ -1,6 +1,6 @@
 """Queries that need numeric kernels; tests hold them against formulas and synthetic signals."""
 
-from ..operators import intervals, spectral as op
+from ..operators import cardiac, intervals, neuro, spectral as op
 from ..sources.tables import beats, table
 from . import query
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ def signals(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record"), F.col("embedding").alias("values"))
 
 
+def pressure_signals(spark, sf_dir):
+    """Vectors scaled to pressures of about 90 +- 40."""
+    return signals(spark, sf_dir).withColumn("values", F.transform("values", lambda v: 90 + 300 * v))
+
+
 @query("eeg_bandpower")
 def eeg_bandpower(spark, sf_dir):
     return op.bandpower(signals(spark, sf_dir), RATE)
@@ -59,3 +64,98 @@ def image_median_trace(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
     mask = line.select((F.col("l_suppkey") % 97).alias("image"), (F.col("l_partkey") % 60).alias("x"), (F.col("l_orderkey") % 40).alias("y"))
     return mask.groupBy("image", "x").agg(F.median("y").alias("y"), F.count("*").alias("pixels"))
+
+
+@query("eeg_seizure_screen")
+def eeg_seizure_screen(spark, sf_dir):
+    return neuro.seizure_screen(signals(spark, sf_dir), RATE)
+
+
+@query("eeg_drowsiness")
+def eeg_drowsiness(spark, sf_dir):
+    return neuro.drowsiness(signals(spark, sf_dir), RATE)
+
+
+@query("eeg_artifacts")
+def eeg_artifacts(spark, sf_dir):
+    return neuro.brain_artifacts(signals(spark, sf_dir), 100.0)
+
+
+@query("emg_bursts")
+def emg_bursts(spark, sf_dir):
+    return neuro.muscle_bursts(signals(spark, sf_dir), RATE)
+
+
+@query("eda_arousal")
+def eda_arousal(spark, sf_dir):
+    return neuro.arousal(signals(spark, sf_dir), 4.0)
+
+
+@query("resp_breaths")
+def resp_breaths(spark, sf_dir):
+    return neuro.breathing(signals(spark, sf_dir), 2.0)
+
+
+@query("resp_events")
+def resp_events(spark, sf_dir):
+    return neuro.breath_events(signals(spark, sf_dir), 2.0, 2.0)
+
+
+@query("acc_activity")
+def acc_activity(spark, sf_dir):
+    return neuro.motion_summary(signals(spark, sf_dir), 16.0)
+
+
+@query("acc_impacts")
+def acc_impacts(spark, sf_dir):
+    return neuro.impacts(signals(spark, sf_dir), 16.0)
+
+
+@query("bcg_rhythm")
+def bcg_rhythm(spark, sf_dir):
+    return cardiac.ballisto_rhythm(signals(spark, sf_dir), 16.0)
+
+
+@query("bcg_presence")
+def bcg_presence(spark, sf_dir):
+    return cardiac.bed_presence(signals(spark, sf_dir), 16.0)
+
+
+@query("bcg_respiration")
+def bcg_respiration(spark, sf_dir):
+    return cardiac.respiration_from_motion(signals(spark, sf_dir), 2.5)
+
+
+@query("abp_pulses")
+def abp_pulses(spark, sf_dir):
+    return cardiac.pressure_pulses(pressure_signals(spark, sf_dir), 8.0)
+
+
+@query("ppg_artifacts")
+def ppg_artifacts(spark, sf_dir):
+    return cardiac.pulse_artifacts(signals(spark, sf_dir), 8.0)
+
+
+@query("ppg_amplitudes")
+def ppg_amplitudes(spark, sf_dir):
+    return cardiac.pulse_amplitudes(signals(spark, sf_dir), 8.0)
+
+
+@query("scg_quality")
+def scg_quality(spark, sf_dir):
+    return cardiac.seismo_quality(signals(spark, sf_dir), RATE)
+
+
+@query("pcg_heart_sounds")
+def pcg_heart_sounds(spark, sf_dir):
+    return cardiac.heart_sounds(signals(spark, sf_dir), 20.0)
+
+
+@query("ecg_artifacts")
+def ecg_artifacts(spark, sf_dir):
+    return cardiac.ecg_artifacts(signals(spark, sf_dir), 125.0)
+
+
+@query("ecg_st")
+def ecg_st(spark, sf_dir):
+    return cardiac.st_features(signals(spark, sf_dir), 16.0)

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import dsp
-from pulsegrid.operators import events, intervals, oximetry, spectral, waveform
+from pulsegrid.operators import cardiac, events, intervals, neuro, oximetry, spectral, waveform
 from pulsegrid.operators.evaluation import confusion, set_scores, tfidf_top
 from pulsegrid.sources import files
 
@@ -183,3 +183,52 @@ def test_columns():
     assert files.value_column(s) == "acc_x" and files.axis_columns(s) == {"x": "acc_x", "y": "acc_y", "z": "acc_z"}
     with pytest.raises(ValueError):
         files.value_column(s, "missing")
+
+
+def signal(spark, x):
+    return spark.createDataFrame([(1, [float(v) for v in x])], "record long, values array<double>")
+
+
+def test_breathing_and_apnea(spark):
+    t = np.arange(240 * 4) / 4
+    x = np.sin(2 * np.pi * 0.25 * t)
+    r = neuro.breathing(signal(spark, x), 4.0).first()
+    assert r.rate_bpm == pytest.approx(15, abs=0.5) and r.flags == "" and r.unpaired < 0.1
+    x[400:520] = 0
+    r = neuro.breath_events(signal(spark, x), 4.0).first()
+    assert r.apneas == 1 and 20 < r.longest_apnea_s < 32
+    assert cardiac.respiration_from_motion(signal(spark, np.sin(2 * np.pi * 0.25 * t)), 4.0).first().rate_bpm == pytest.approx(15, abs=2)
+
+
+def test_pressure_and_pulse(spark):
+    t = np.arange(30 * 50) / 50
+    r = cardiac.pressure_pulses(signal(spark, 100 + 20 * np.sin(2 * np.pi * 1.2 * t)), 50.0).first()
+    assert r.rate_bpm == pytest.approx(72, abs=2) and r.systolic == pytest.approx(120, abs=1) and r.diastolic == pytest.approx(80, abs=1) and r.map == pytest.approx(93.3, abs=1)
+    r = cardiac.pulse_amplitudes(signal(spark, 5 + np.sin(2 * np.pi * 1.2 * t)), 50.0).first()
+    assert r.amplitude == pytest.approx(2, abs=0.05) and r.amplitude_cv < 0.1 and r.low_fraction == 0
+    assert cardiac.pulse_artifacts(signal(spark, np.ones(400)), 50.0).first().score >= 0.35
+
+
+def test_bursts_impacts_and_edges(spark):
+    rng = np.random.default_rng(0)
+    x = 0.01 * rng.standard_normal(4000)
+    x[1000:1200] += np.sin(2 * np.pi * 80 * np.arange(200) / 1000)
+    assert neuro.muscle_bursts(signal(spark, x), 1000.0).first().bursts == 1
+    a = np.ones(500)
+    a[200] = 4
+    r = neuro.impacts(signal(spark, a), 50.0).first()
+    assert (r.impacts, r.fall_like, r.level) == (1, 1, "fall_pattern")
+    e = 0.1 * rng.standard_normal(6000)
+    e[[1000, 3000]] = 5
+    assert neuro.seizure_screen(signal(spark, e), 100.0).first().spikes == 2
+    assert neuro.motion_summary(signal(spark, np.ones(100)), 50.0).first().activity == "low"
+
+
+def test_mechanical_beats(spark):
+    rate, n = 50, 50 * 40
+    x = np.zeros(n)
+    for p in range(25, n - 25, 40):  # 75 a minute
+        x[p - 10 : p + 10] += np.hanning(20) * np.sin(2 * np.pi * 6 * np.arange(20) / rate)
+    r = cardiac.ballisto_rhythm(signal(spark, x), float(rate)).first()
+    assert r.rate_bpm == pytest.approx(75, abs=2) and r.risk == "low_irregularity"
+    assert cardiac.bed_presence(signal(spark, np.zeros(200)), float(rate)).first().state == "empty_or_no_cardiac_signal"
