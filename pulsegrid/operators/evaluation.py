@@ -21,10 +21,10 @@ def tfidf_top(queries: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
     A token of the query that an entry holds tf times adds (1 + ln tf) (ln((1 + N) / (1 + df)) + 1),
     as often as the query has it; ties go to the smaller id.
     """
-    held = catalog.select("id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
     asked = queries.select("q", F.explode(tokens(F.col("text"))).alias("token")).groupBy("q", "token").agg(F.count("*").alias("m"))
-    # only tokens that are asked for are counted and scored
-    held = held.join(asked.select("token").distinct(), "token", "left_semi")
+    # only tokens that are asked for are counted and scored; the others go before the shuffle where the queries are few
+    words = catalog.select("id", F.explode(tokens(F.col("text"))).alias("token"))
+    held = words.join(asked.select("token").distinct(), "token", "left_semi").groupBy("id", "token").agg(F.count("*").alias("tf"))
     df = held.groupBy("token").agg(F.count("*").alias("df"))
     total = catalog.agg(F.count("*").alias("total"))
     idf = df.crossJoin(total).select("token", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
