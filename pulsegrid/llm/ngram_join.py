@@ -7,8 +7,9 @@
 3. In each tile the document of the smallest id is compared with the others: a number of pairs
    linear in the tile.  Components of these links merge large groups of near copies.
 4. What is left are tiles with documents of different components.  Pairs in the same size
-   band whose bitmaps allow enough overlap are compared exactly; large tiles are cut into
-   blocks, one task for each pair of blocks.
+   band whose places and bitmaps allow enough overlap say which components may touch.
+5. Each such component is a tile once more, compared with the documents of others by wider
+   bitmaps; what these allow is compared exactly.  Large tiles are cut into blocks.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ FREQUENT_LEAST = 64
 #: Shingles counted at once in a task; those seen in fewer than LOCAL_LEAST documents of these are not reported.
 LOCAL_SHINGLES = 2_000_000
 LOCAL_LEAST = 3
+#: Bits an element in wide bitmaps.
+WIDE = 8
 #: Documents in a block of a tile.
 BLOCK = 1024
 
@@ -40,9 +43,14 @@ def need(n):
     return (PERCENT * n + 99) // 100
 
 
-def bitmap_of(s: np.ndarray) -> bytes:
-    """A bitmap with the hashed bits of a set; its width, a power of two, is the set's size band."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 64
+def need_both(na, nb):
+    """The least overlap of two sets of these sizes that link."""
+    return (PERCENT * (na + nb) + 99 + PERCENT) // (100 + PERCENT)
+
+
+def bitmap_of(s: np.ndarray, room: int = 2) -> bytes:
+    """A bitmap with the hashed bits of a set; its width, a power of two of ``room`` bits an element, is the set's size band."""
+    bits = max(64, 1 << int(room * len(s) - 1).bit_length()) if len(s) else 64
     out = np.zeros(bits, np.uint8)
     out[(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out).tobytes()
@@ -170,8 +178,9 @@ def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def star_pairs(index: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs of each tile's smallest document with the others, where sizes and bitmaps allow a link."""
-    near = (F.col("doc") != F.col("lead.doc")) & (100 * F.least("n", "lead.n") >= PERCENT * F.greatest("n", "lead.n"))
+    """Pairs of each tile's smallest document with the others, where sizes, places and bitmaps allow a link."""
+    least = F.ceil(PERCENT * (F.col("n") + F.col("lead.n")) / (100 + PERCENT))
+    near = (F.col("doc") != F.col("lead.doc")) & (F.col("n") - F.col("pos") >= least) & (F.col("lead.n") - F.col("lead.pos") >= least)
     pairs = index.where(near).select(F.col("lead.doc").alias("a"), F.col("doc").alias("b")).distinct()
 
     def run(batches):
@@ -200,22 +209,33 @@ def whole_tiles(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows:
         yield pa.Table.from_batches(held)
 
 
-def tile_pairs(index: DataFrame, components: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs of documents of one tile and different components, where sizes and bitmaps allow a link."""
+def touching(index: DataFrame, components: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs of components (a, b) with documents in one tile whose sizes, places and bitmaps allow a link.
+
+    If a pair links, its first common shingle leaves both sets enough elements behind it, so
+    a tile only needs pairs for which this holds.  Of tiles with the same documents the one
+    whose shingle stands first in them is enough.
+    """
     tile = Window.partitionBy("token")
     label = F.coalesce("component", F.col("doc"))
-    member = index.select("token", "doc", "n").join(components.withColumnRenamed("id", "doc"), "doc", "left").select("token", "doc", "n", label.alias("label"))
-    member = member.withColumns({"lo": F.min("label").over(tile), "hi": F.max("label").over(tile), "size": F.count("*").over(tile)}).where("lo <> hi")
+    member = index.select("token", "doc", "n", "pos").join(components.withColumnRenamed("id", "doc"), "doc", "left").select("token", "doc", "n", "pos", label.alias("label"))
+    by_size = tile.orderBy("n", "doc")
+    member = member.withColumns({"lo": F.min("label").over(tile), "hi": F.max("label").over(tile), "below": F.lag("n").over(by_size), "above": F.lead("n").over(by_size)})
+    member = member.where(f"lo <> hi and (100 * below >= {PERCENT} * n or 100 * n >= {PERCENT} * above)").drop("lo", "hi", "below", "above")
+    member = materialize(member, "members")
+    h = F.xxhash64("doc")
+    tiles = member.groupBy("token").agg(F.bit_xor(h).alias("k1"), F.sum(F.shiftright(h, 24)).alias("k2"), F.count("*").alias("size"), F.sum("pos").alias("at"))
+    tiles = tiles.groupBy("k1", "k2", "size").agg(F.min(F.struct("at", "token")).alias("t")).where("size > 1").select("t.token", "size")
     blocks = F.ceil(F.col("size") / BLOCK)
     mine = F.pmod(F.xxhash64("doc"), blocks)
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    member = member.select("token", "doc", "n", "label", mine.cast("long").alias("block"), other.alias("other"))
-    member = member.join(sigs.select(F.col("doc_id").alias("doc"), "bitmap"), "doc")
-    dealt = member.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "n", "label", "bitmap")
+    dealt = member.join(tiles, "token").select("token", "doc", "n", "pos", "label", mine.cast("long").alias("block"), other.alias("other"))
+    dealt = dealt.join(sigs.select(F.col("doc_id").alias("doc"), "bitmap"), "doc")
+    dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "n", "pos", "label", "bitmap")
 
     def run(batches):
         for t in whole_tiles(batches, ("token", "i", "j"), 20_000):
-            token, i, j, block, doc, n, label = (np.asarray(t.column(c)) for c in ("token", "i", "j", "block", "doc", "n", "label"))
+            token, i, j, block, doc, n, pos, label = (np.asarray(t.column(c)) for c in ("token", "i", "j", "block", "doc", "n", "pos", "label"))
             maps = t.column("bitmap").to_pylist()
             group = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
             at = np.arange(len(doc))
@@ -226,10 +246,11 @@ def tile_pairs(index: DataFrame, components: DataFrame, sigs: DataFrame) -> Data
                 if not len(at):
                     break
                 x, y = at, at + d
-                ok = (doc[x] != doc[y]) & (label[x] != label[y]) & ((i[x] == j[x]) | (block[x] != block[y])) & (need(np.maximum(n[x], n[y])) <= np.minimum(n[x], n[y]))
+                least = need_both(n[x], n[y])
+                ok = (doc[x] != doc[y]) & (label[x] != label[y]) & ((i[x] == j[x]) | (block[x] != block[y])) & (n[x] - pos[x] >= least) & (n[y] - pos[y] >= least)
                 x, y = x[ok], y[ok]
                 ok = may_link(n[x], [maps[k] for k in x], n[y], [maps[k] for k in y])
-                seen.append(np.stack([np.minimum(doc[x], doc[y])[ok], np.maximum(doc[x], doc[y])[ok]], axis=1))
+                seen.append(np.stack([np.minimum(label[x], label[y])[ok], np.maximum(label[x], label[y])[ok]], axis=1))
             if seen:
                 pairs = np.unique(np.concatenate(seen), axis=0)
                 yield _batch((pairs[:, 0], pairs[:, 1]), "a long, b long")
@@ -237,6 +258,68 @@ def tile_pairs(index: DataFrame, components: DataFrame, sigs: DataFrame) -> Data
     return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
+def wide_bitmaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, n, bitmap) with wide bitmaps for the documents of ids (doc)."""
+
+    def run(batches):
+        for b in batches:
+            sets = shingle_sets(b.column(1))
+            yield _batch((b.column(0), [len(s) for s in sets], [bitmap_of(s, WIDE) for s in sets]), "doc long, n long, bitmap binary")
+
+    return docs.join(ids, docs["doc_id"] == ids["doc"], "left_semi").select("doc_id", "text").mapInArrow(run, "doc long, n long, bitmap binary")
+
+
+def touching_pairs(touch: DataFrame, components: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of documents of touching components that wide bitmaps allow to link.
+
+    The larger component of each pair is a tile: its documents stand in blocks, and the
+    documents of the smaller ones ask every block.
+    """
+    touch = materialize(touch, "touching")
+    sizes = components.groupBy("component").agg(F.count("*").alias("size"))
+    for end in ("a", "b"):
+        touch = touch.join(sizes.select(F.col("component").alias(end), F.col("size").alias(f"size_{end}")), end, "left").fillna(1, [f"size_{end}"])
+    swap = F.col("size_b") > F.col("size_a")
+    touch = touch.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("tile"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("asker"), F.ceil(F.greatest("size_a", "size_b") / BLOCK).alias("blocks"))
+    touch = materialize(touch, "tiles")
+
+    def members(rows: DataFrame, of: str) -> DataFrame:
+        inside = rows.join(components.withColumnRenamed("component", of), of, "left")
+        return inside.withColumn("doc", F.coalesce("id", of)).drop("id")
+
+    targets = members(touch.select("tile", "blocks").distinct(), "tile").select("tile", F.pmod(F.xxhash64("doc"), "blocks").cast("long").alias("block"), F.lit(False).alias("asks"), "doc")
+    asks = members(touch, "asker").select("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "doc").distinct()
+    rows = materialize(targets.unionByName(asks), "asks")
+    maps = materialize(wide_bitmaps(docs, materialize(rows.select("doc").distinct(), "ids", 1)), "wide")
+
+    def run(batches):
+        now, held = None, []
+        for b in batches:
+            tile, block, doc, n = (np.asarray(b.column(c)) for c in ("tile", "block", "doc", "n"))
+            asks, bits = np.asarray(b.column("asks").cast(pa.int8())), b.column("bitmap").to_pylist()
+            cuts = np.flatnonzero((tile[1:] != tile[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(doc)], strict=True):
+                if j == i:
+                    continue
+                if (tile[i], block[i]) != now:
+                    now, held = (tile[i], block[i]), []
+                if not asks[i]:
+                    held += zip(doc[i:j].tolist(), n[i:j].tolist(), bits[i:j], strict=True)
+                    continue
+                if not held:
+                    continue
+                hd, hn = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+                for k in range(i, j):
+                    near = np.flatnonzero(need(np.maximum(hn, n[k])) <= np.minimum(hn, n[k]))
+                    ok = near[may_link(hn[near], [held[x][2] for x in near], np.full(len(near), n[k]), [bits[k]] * len(near))]
+                    ok = ok[hd[ok] != doc[k]]
+                    if len(ok):
+                        yield _batch((np.minimum(hd[ok], doc[k]), np.maximum(hd[ok], doc[k])), "a long, b long")
+
+    dealt = rows.join(maps, "doc").repartition("tile", "block").sortWithinPartitions("tile", "block", "asks")
+    return dealt.select("tile", "block", "asks", "doc", "n", "bitmap").mapInArrow(run, "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame, checked: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Near-duplicate components of documents (doc_id, text) by 5-word shingles.
 
@@ -255,13 +338,13 @@ def jaccard_components(docs: DataFrame, checked: Callable[[DataFrame], None] | N
     reps = named.join(copies, "doc_id", "left_anti")
 
     tile = Window.partitionBy("token")
-    tokens = reps.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), "n")
-    index = tokens.withColumns({"size": F.count("*").over(tile), "lead": F.min(F.struct("doc", "n")).over(tile)}).where("size > 1")
-    index = materialize(index.select("token", "doc", "n", "lead"), "index")
+    tokens = reps.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("doc"), "n")
+    index = tokens.withColumns({"size": F.count("*").over(tile), "lead": F.min(F.struct("doc", "n", "pos")).over(tile)}).where("size > 1")
+    index = materialize(index.select("token", "doc", "n", "pos", "lead"), "index")
 
     links = _exact(star_pairs(index, sigs), docs)
     near = materialize(connected_components(links), "components")
-    more = _exact(tile_pairs(index, near, sigs), docs)
+    more = _exact(touching_pairs(touching(index, near, sigs), near, docs), docs)
     if checked:
         checked(links.unionByName(more))
     if more.isEmpty():
