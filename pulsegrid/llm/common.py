@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to Python at once.  Documents can be long, so far fewer than Spark's default.
-ARROW_ROWS = 1000
+ARROW_ROWS = 256
 
 
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

@@ -11,8 +11,10 @@ from collections.abc import Iterator
 #: White space beyond the plain kinds, on which Python and the tokenizer's patterns may disagree.
 _WIDE = (0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
 _RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, _WIDE)) + "]")
-#: Words a worker remembers; with more it starts anew, so its memory stays bounded.
-CACHE_WORDS = 1_000_000
+#: Words, and pieces of words, that a worker remembers; with more it starts anew, so its memory
+#: stays bounded (about 150 MB).  Pieces matter more: a forgotten word is put together again from them.
+CACHE_WORDS = 300_000
+CACHE_PIECES = 500_000
 
 
 def _byte_chars() -> dict[int, int]:
@@ -22,6 +24,17 @@ def _byte_chars() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(other)}
 
 
+class _Words(dict):
+    """Encodes a word when it is first looked up."""
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.encode(word)
+        return ids
+
+
 class WordCache:
     """Ids of texts as little-endian uint16 bytes, equal to encoding the whole text.
 
@@ -44,7 +57,7 @@ class WordCache:
         self.tok.encode_special_tokens = True  # such strings in a text are ordinary text
         self.model = self.tok.model
         self.spaced = spaced
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self._word)
         self.pieces: dict[str, bytes] = {}
         self.chars = _byte_chars()
 
@@ -56,7 +69,10 @@ class WordCache:
         """The ids of what the splitter would hand to the model, its bytes still as they are."""
         ids = self.pieces.get(piece)
         if ids is None:
-            shown = piece.encode().decode("latin-1").translate(self.chars)
+            if piece.isascii():  # letters, a comma or a full stop, after a space at most
+                shown = "\u0120" + piece[1:] if piece[0] == " " else piece
+            else:
+                shown = piece.encode().decode("latin-1").translate(self.chars)
             ids = self.pieces[piece] = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return ids
 
@@ -90,20 +106,13 @@ class WordCache:
         return ["\0" + first, *rest]  # the first word has no space before it
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [self._cut(t) for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces = {}
-        new: set[str] = set()
-        for words in cut:
-            if words is not None:
-                new.update(words)
-        for word in new - self.words.keys():
-            self.words[word] = self._word(word)
-        get = self.words.__getitem__
-        for text, words in zip(texts, cut, strict=True):
-            yield self._encode(text) if words is None else b"".join(map(get, words))
+        for text in texts:
+            if len(self.words) > CACHE_WORDS:
+                self.words.clear()
+            if len(self.pieces) > CACHE_PIECES:
+                self.pieces.clear()
+            words = self._cut(text)
+            yield self._encode(text) if words is None else b"".join(map(self.words.__getitem__, words))
 
 
 assert sys.byteorder == "little", "ids are written as they stand in memory"
