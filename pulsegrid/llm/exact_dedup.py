@@ -166,13 +166,19 @@ def exact_dedup(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
 def drop_copies(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     """The rows of docs (doc_id, text, ...) without copies: one row of each group of equal texts.
 
-    Only the keys of rows that go, or of which one is to stay, are joined with the documents.
+    Most copies go by their ids, a narrow table that Catalyst can broadcast while it is small.
+    Only ids that are null or repeat are looked up by id and text.
     """
-    decided = exact_dedup(docs, budget).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows"))
-    odd = materialize(decided.where("not _kept or _rows > 1").withColumnsRenamed({"doc_id": "_id", "text_sha256": "_key"}), "copies")
+    decided = exact_dedup(docs.select("doc_id", "text"), budget).select("doc_id", "text_sha256", "kept")
+    decided = materialize(decided, "decided")
+    ids = decided.groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    gone = materialize(ids.where("doc_id is not null and not stays").select("doc_id"), "gone", 1)
+    odd = materialize(ids.where("doc_id is null or (stays and n > 1)").select(F.col("doc_id").alias("_id")), "odd", 1)
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if odd.isEmpty():
+        return left
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    keep = decided.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key")).join(odd.withColumnRenamed("_id", "_odd"), F.col("_id").eqNullSafe(F.col("_odd"))).drop("_odd")
     sha = F.sha2(F.regexp_replace(text_or_empty(), SPACE, " "), 256)
-    marked = docs.withColumn("_sha", sha).join(odd, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_key")), "left")
-    out = marked.where("_rows is null").select(*docs.columns)
-    if not odd.where("_kept").isEmpty():
-        out = out.unionByName(marked.where("_kept").dropDuplicates(["_id", "_key"]).select(*docs.columns))
-    return out
+    again = left.withColumn("_sha", sha).join(keep, same & (F.col("_sha") == F.col("_key"))).dropDuplicates(["_id", "_key"])
+    return left.join(odd, same, "left_anti").unionByName(again.select(*docs.columns))
