@@ -11,10 +11,10 @@ from collections.abc import Iterator
 #: White space beyond the plain kinds, on which Python and the tokenizer's patterns may disagree.
 _WIDE = (0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
 _RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, _WIDE)) + "]")
-#: Words, and pieces of words, that a worker remembers; with more it starts anew, so its memory
-#: stays bounded (about 150 MB).  Pieces matter more: a forgotten word is put together again from them.
-CACHE_WORDS = 300_000
-CACHE_PIECES = 500_000
+#: Words, and pieces of words, that a worker remembers, for vocabularies without and with spaces in
+#: words; with more it starts anew, so its memory stays bounded (about 150 and 400 MB).
+CACHE_WORDS = {False: 300_000, True: 1_000_000}
+CACHE_PIECES = {False: 500_000, True: 1_000_000}
 
 
 def _byte_chars() -> dict[int, int]:
@@ -107,9 +107,9 @@ class WordCache:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            if len(self.words) > CACHE_WORDS:
+            if len(self.words) > CACHE_WORDS[self.spaced]:
                 self.words.clear()
-            if len(self.pieces) > CACHE_PIECES:
+            if len(self.pieces) > CACHE_PIECES[self.spaced]:
                 self.pieces.clear()
             words = self._cut(text)
             yield self._encode(text) if words is None else b"".join(map(self.words.__getitem__, words))
