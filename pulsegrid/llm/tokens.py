@@ -42,19 +42,23 @@ class WordCache:
     character other than white space follows.  So a text is cut at such spaces, every new
     word is encoded once, and its ids are remembered.  ``spaced``: words keep their space
     (byte-level vocabularies); else white space is dropped (word vocabularies).  Texts with
-    rarer white space or runs of spaces are encoded whole.  A word of Latin letters is one
-    piece for the model, and a comma or full stop after it another; other words go through
-    the tokenizer's own normalizer and splitter.
+    rarer white space, runs of spaces or the string of an added token are encoded whole.  A
+    word of Latin letters is one piece for the model, and a comma or full stop after it
+    another; other words go through the tokenizer's own normalizer and splitter.
+    ``special``: strings of added tokens become those tokens, as the library's plain call
+    has it; else they are ordinary text.
     """
 
-    def __init__(self, path: str, spaced: bool) -> None:
+    def __init__(self, path: str, spaced: bool, special: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary has ids beyond 16 bits")
-        self.tok.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.tok.encode_special_tokens = not special
+        #: Texts with one of these are encoded whole; NUL marks the first word of a text.
+        self.whole = ("\0", *(t.content for t in self.tok.get_added_tokens_decoder().values()))
         self.model = self.tok.model
         self.spaced = spaced
         self.words = _Words(self._word)
@@ -96,7 +100,7 @@ class WordCache:
         return array("H", [t.id for p in shown for t in self.model.tokenize(p)]).tobytes()
 
     def _cut(self, text: str) -> list[str] | None:
-        if _RARE.search(text):
+        if _RARE.search(text) or any(w in text for w in self.whole):
             return None
         if not self.spaced:
             return text.split()
@@ -123,5 +127,5 @@ _caches: dict[tuple[str, bool], WordCache] = {}
 def word_cache(path: str, spaced: bool) -> WordCache:
     """The cache of this worker; tasks that follow find it filled."""
     if (path, spaced) not in _caches:
-        _caches[path, spaced] = WordCache(path, spaced)
+        _caches[path, spaced] = WordCache(path, spaced, special=True)
     return _caches[path, spaced]
