@@ -32,7 +32,8 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "pass": 0.8, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
     "credential": 0.9, "credentials": 0.9, "private": 0.6, "auth": 0.6, "key": 0.5, "access": 0.4, "api": 0.4, "signature": 0.5,
 }
-_SENSITIVE_BYTES = tuple(sorted(w.encode() for w in SENSITIVE if w not in ("access", "api", "private")))
+#: One of these is in every text with a sensitive name: all parts but those that hold a shorter one.
+_SENSITIVE_BYTES = tuple(sorted(w.encode() for w in SENSITIVE if not any(v != w and v in w for v in SENSITIVE)))
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|none|null|true|false|todo|changeme|example.*|your.*|dummy.*|test|<.*>|\$\{?.*|%.*%|\{\{.*)$")
 #: A literal is reported if the weight of its target name times its look reaches this.
