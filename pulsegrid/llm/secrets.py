@@ -21,12 +21,35 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
-#: Name, operator and value of an assignment in source or configuration syntax.  A quoted
+def _nested(levels: int) -> str:
+    """What stands between brackets of a type, itself with brackets down to some levels."""
+    inner = r"""[^\[\]<>(){}=\n"]"""
+    out = rf"{inner}*+"
+    for _ in range(levels):
+        out = rf"(?:{inner}++|[\[<(]{out}[\])>])*+"
+    return out
+
+
+#: A type in a declaration: words with paths, brackets (up to five deep), references, marks and alternatives.
+_BRACKETS = rf"[\[<(]{_nested(4)}[\])>]"
+_TYPE_WORD = rf"(?:[&*]*+(?:'\w++[\x20\t]++)?(?:(?:mut|dyn|const|readonly)[\x20\t]++)*(?:[A-Za-z_](?:[\w.]|::)*+(?:{_BRACKETS})*+|(?:{_BRACKETS})++(?:[A-Za-z_][\w.]*+)?)[?!]*+)"
+_TYPE = rf"{_TYPE_WORD}(?:[\x20\t]*+[|&][\x20\t]*+{_TYPE_WORD})*+"
+#: Types that stand behind a name without any sign between them.
+_PLAIN_TYPES = r"(?:string|byte|rune|any|error|bool|u?int\d*+|float\d++)\b"
+#: Name, operator and value of an assignment in source or configuration syntax: name = value,
+#: name: type = value, and name type = value with a plain type or after const or var.  A quoted
 #: value ends on its line; a bare one may be a literal or the name of a constant.
 _PAIR = re.compile(
-    r"""(?<![\w.-])(?P<name>[A-Za-z_][\w.-]{0,80})["']?[\x20\t]*(?::=|=>|=|:)[\x20\t]*"""
+    r"""(?<![\w.-])(?:(?P<decl>const|var)[\x20\t]++)?(?P<name>[A-Za-z_][\w.-]*+)(?:"""
+    rf"""["']?[?!]?[\x20\t]*+:[\x20\t]*+(?P<type>{_TYPE})(?:[\x20\t]++=(?![=>~])|=(?=[\x20\t]*+["']))"""
+    rf"""|[\x20\t]++(?:\[\w*+\])*+\*?(?P<after>(?(decl)[A-Za-z_][\w.]*+|{_PLAIN_TYPES}))[\x20\t]*+=(?![=>~])"""
+    r"""|["']?[\x20\t]*(?::=|=>|=|:))[\x20\t]*"""
     r"""(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|(?P<bare>[^\s"',;#()\[\]{}<>]+))"""
 )
+_IS_PLAIN_TYPE = re.compile(_PLAIN_TYPES + r"\Z")
+#: Words with which name: begins a statement; what follows the colon is then a target and no type.
+_OPENS = re.compile(r"\b(?:if|elif|while|case|when|not|and|or|in|is)[\x20\t]+\Z")
+_OPEN_WORDS = frozenset("else try finally default do".split())
 #: How much a part of a target name says about its value.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "pass": 0.8, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
@@ -60,11 +83,21 @@ def look(literal: str) -> float:
     return min(1.0, n / 16) * min(1.0, bits / 3.5) * (0.4 if kinds < 2 else 1.0)
 
 
+def targets(text: str, m: re.Match) -> list[str]:
+    """The names that an assignment may be to."""
+    if m["type"] and (m["name"] in _OPEN_WORDS or _OPENS.search(text, max(0, m.start() - 20), m.start("name"))):
+        return [m["type"]]
+    if m["after"] and not _IS_PLAIN_TYPE.match(m["after"]):
+        return [m["name"], m["after"]]
+    return [m["name"]]
+
+
 def literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly or through names of constants.
 
     Assignments are read in order; a bare value that names an earlier target stands for that
     target's literal, so a chain of constants is followed to where the literal is written.
+    Of a name and a type in either order (const String key, const key Text) both are targets.
     """
     known: dict[str, tuple[int, int]] = {}
     best: dict[tuple[int, int], float] = {}
@@ -76,8 +109,9 @@ def literals(text: str) -> list[tuple[int, int]]:
         if kind == "bare" and value in known:
             span = known[value]
             value = text[slice(*span)]
-        known[m["name"]] = span
-        weight = name_weight(m["name"])
+        names = targets(text, m)
+        known.update(dict.fromkeys(names, span))
+        weight = max(map(name_weight, names))
         if weight and span[1] > span[0]:
             best[span] = max(best.get(span, 0.0), weight * look(value))
     return [s for s, score in best.items() if score >= REPORT]
