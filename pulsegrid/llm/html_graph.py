@@ -41,11 +41,12 @@ class Node:
     linked: int = 0
 
 
-def parse(source: str) -> list[Node]:
+def parse(source: str, labels: bool = False) -> list[Node]:
     """The block elements and text blocks of a page, parents before children.
 
     Inline elements belong to the text block around them.  Tags that are never closed, closed
     twice or out of order are tolerated; comments and elements without text of the page go.
+    ``labels``: data-y is the state of an element; else it is an attribute like any other.
     """
     nodes = [Node("#root", -1)]
     stack: list[tuple[str, int]] = [("#root", 0)]  # tag, its node (that of the block around, for inline tags)
@@ -135,7 +136,7 @@ def parse(source: str) -> list[Node]:
             for name, *value in _NAMES.findall(m[3]):
                 value = "".join(value)
                 if name.lower() == "data-y":
-                    node.label = int(value)
+                    node.label = int(value) if labels else None
                 else:
                     node.names += [w.lower() for w in _WORDS.findall(value)]
             nodes.append(node)
@@ -223,7 +224,7 @@ def fit(pages: list[str]) -> Model:
     """
     seen, total, edges = Counter(), Counter(), Counter()
     for page in pages:
-        nodes = parse(page)
+        nodes = parse(page, labels=True)
         for k, x in enumerate(nodes):
             p = nodes[x.parent] if k else None
             if x.label is None:
