@@ -142,7 +142,9 @@ def longitudinal_change(beats: DataFrame) -> DataFrame:
 def match_events(detected: DataFrame, truth: DataFrame, tolerance: float) -> DataFrame:
     """One-to-one matching in order of detection: each takes the nearest free truth within tolerance, the first of equals.
 
-    Greedy over time, so it runs in a task of its own for each record: record, tp, fp, fn, precision, recall, f1.
+    Greedy over time.  No match spans a gap longer than the tolerance, so a record is cut at gaps of
+    twice that, and only pieces with both sides are scanned, each in a group of its own: record, tp,
+    fp, fn, precision, recall, f1.
     """
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -154,9 +156,19 @@ def match_events(detected: DataFrame, truth: DataFrame, tolerance: float) -> Dat
             if len(near):
                 free[near[np.argmin(np.abs(t[near] - x))]] = False
                 tp += 1
-        fp, fn = len(d) - tp, len(t) - tp
-        p, r = tp / len(d) if len(d) else 0.0, tp / len(t) if len(t) else 0.0
-        return pd.DataFrame({"record": [pdf.record.iloc[0]], "tp": [tp], "fp": [fp], "fn": [fn], "precision": [round(p, 6)], "recall": [round(r, 6)], "f1": [round(2 * p * r / (p + r), 6) if p + r else 0.0]})
+        return pd.DataFrame({"record": [pdf.record.iloc[0]], "d": [0], "t": [0], "tp": [tp]})
 
     both = detected.select("record", "t", F.lit(0).alias("side")).unionByName(truth.select("record", "t", F.lit(1).alias("side")))
-    return both.groupBy("record").applyInPandas(match, "record long, tp long, fp long, fn long, precision double, recall double, f1 double")
+    new = F.coalesce((F.col("t") - F.lag("t").over(_by("t")) > 2 * tolerance).cast("int"), F.lit(0))
+    pieces = both.withColumn("new", new).withColumn("piece", F.sum("new").over(_by("t").rowsBetween(Window.unboundedPreceding, 0)))
+    piece = Window.partitionBy("record", "piece")
+    mixed = pieces.withColumn("mixed", F.min("side").over(piece) < F.max("side").over(piece)).where("mixed")
+    matched = mixed.select("record", "piece", "t", "side").groupBy("record", "piece").applyInPandas(match, "record long, d long, t long, tp long")
+    counts = both.groupBy("record").agg(F.count_if(F.col("side") == 0).alias("d"), F.count_if(F.col("side") == 1).alias("t"), F.lit(0).cast("long").alias("tp"))
+    out = counts.unionByName(matched).groupBy("record").agg(F.sum("d").alias("d"), F.sum("t").alias("t"), F.sum("tp").alias("tp"))
+    p, r = (F.when(F.col(c) > 0, F.col("tp") / F.col(c)).otherwise(0.0) for c in "dt")
+    f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    return out.select(
+        F.col("record").cast("long"), "tp", (F.col("d") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"),
+        F.bround(p, 6).alias("precision"), F.bround(r, 6).alias("recall"), F.bround(f1, 6).alias("f1"),
+    )

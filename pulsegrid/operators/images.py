@@ -50,18 +50,25 @@ def layout(pixels: DataFrame) -> DataFrame:
     return a.select("image", "width", "height", r6(F.col("n") / (F.col("width") * F.col("height"))).alias("density"), r6(F.col("n") / F.col("columns")).alias("per_column"))
 
 
+def _median(y: np.ndarray, n: np.ndarray) -> float:
+    """The median of ascending values that stand for n each."""
+    ends = np.cumsum(n)
+    return float(y[np.searchsorted(ends, [(ends[-1] - 1) // 2, ends[-1] // 2], "right")].mean())
+
+
 def following_trace(pixels: DataFrame, jump: float = 0.12, momentum: float = 0.0) -> DataFrame:
     """From column to column the pixel nearest to where the trace points; columns without one within ``jump`` of the height are skipped.
 
-    With momentum 0 it points to the last height, with 1 along the last step.  The scan
-    carries state, so it runs per image.
+    With momentum 0 it points to the last height, with 1 along the last step; it starts at the
+    median of the first column.  The scan carries state, so it runs per image, over one row a
+    place with the count of its pixels: the size of an image bounds a group, not that of the table.
     """
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         height, out, last, step = max(1.0, float(pdf.y.max() - pdf.y.min() + 1)), [], None, 0.0
-        for x, g in pdf.groupby("x"):
-            y = np.sort(g.y.to_numpy(float))
-            aim = np.median(y) if last is None else last + momentum * step
+        for x, g in pdf.sort_values("y").groupby("x"):
+            y = g.y.to_numpy(float)
+            aim = _median(y, g.n.to_numpy()) if last is None else last + momentum * step
             best = float(y[np.abs(y - aim).argmin()])
             if last is not None and abs(best - aim) > jump * height:
                 continue
@@ -69,4 +76,5 @@ def following_trace(pixels: DataFrame, jump: float = 0.12, momentum: float = 0.0
             out.append((int(g.image.iloc[0]), int(x), best))
         return pd.DataFrame(out, columns=["image", "x", "y"])
 
-    return pixels.select("image", "x", "y").groupBy("image").applyInPandas(f, "image long, x long, y double")
+    places = pixels.groupBy("image", "x", "y").agg(F.count("*").alias("n"))
+    return places.groupBy("image").applyInPandas(f, "image long, x long, y double")

@@ -65,20 +65,22 @@ def desaturations(spo2: DataFrame, drop: float, width: int, least: int, gap: int
     """Desaturation events with recovery: from the first reading below baseline - drop until recovery to
     within 1 of the baseline at the start, or until no such reading came for ``gap`` seconds.
 
-    The scan carries state from reading to reading, so it runs per record.
+    The scan carries state from reading to reading, but no event outlasts ``gap`` seconds without a
+    low reading, or a reading within 1 of the highest baseline so far.  A record is cut there, and
+    each piece, from a low reading to ``gap`` after its last one, is a group of its own.
     """
     schema = "record long, start long, end long, duration_s double, depth double, nadir double, area double"
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        x, base, out = pdf.spo2.to_numpy(), pdf.baseline.to_numpy(), []
+        pdf = pdf.sort_values("i")
+        x, base, out, first = pdf.spo2.to_numpy(), pdf.baseline.to_numpy(), [], int(pdf.i.iloc[0])
         start = last = -1
 
         def close(start: int, last: int) -> None:
             part = x[start : last + 1]
             if len(part) >= least:
                 under = np.maximum(0, base[start] - part)
-                out.append((pdf.record.iloc[0], start, last + 1, len(part) / rate, round(base[start] - part.min(), 6), part.min(), round(float(np.trapezoid(under)) / rate, 6)))
+                out.append((pdf.record.iloc[0], first + start, first + last + 1, len(part) / rate, round(base[start] - part.min(), 6), part.min(), round(float(np.trapezoid(under)) / rate, 6)))
 
         for i in range(len(x)):
             if x[i] < base[i] - drop:
@@ -90,4 +92,12 @@ def desaturations(spo2: DataFrame, drop: float, width: int, least: int, gap: int
             close(start, last)
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return rolling_baseline(spo2, width).groupBy("record").applyInPandas(scan, schema)
+    before, so_far = _order().rowsBetween(Window.unboundedPreceding, -1), _order().rowsBetween(Window.unboundedPreceding, 0)
+    low = F.col("spo2") < F.col("baseline") - drop
+    rows = rolling_baseline(spo2, width).withColumns({"i": F.row_number().over(_order()).cast("long") - 1, "low": F.coalesce(low, F.lit(False)), "top": F.max("baseline").over(so_far)})
+    rows = rows.withColumns({"low_at": F.when(F.col("low"), F.col("i")), "free_at": F.when(~F.col("low") & (F.col("spo2") >= F.col("top") - 1), F.col("i"))})
+    rows = rows.withColumns({"last_low": F.last("low_at", True).over(before), "last_free": F.last("free_at", True).over(before)})
+    apart = F.col("last_low").isNull() | ((F.col("i") - 1 - F.col("last_low")) / rate > gap) | F.coalesce(F.col("last_free") > F.col("last_low"), F.lit(False))
+    rows = rows.withColumn("piece", F.sum((F.col("low") & apart).cast("int")).over(so_far))
+    near = rows.where(F.col("low") | ((F.col("i") - F.col("last_low")) / rate <= gap))
+    return near.select("record", "piece", "i", "spo2", "baseline").groupBy("record", "piece").applyInPandas(scan, schema)
