@@ -1,10 +1,20 @@
-"""Secret scans: base patterns, and assignment-aware lexing with constant propagation."""
+"""Secret scans: base patterns, and assignment-aware lexing with constant propagation.
+
+A text is lexed as source or configuration (strings, names, operators, brackets, tags).  Each
+assignment gives a target name and a value: ``name = value`` and ``name: value`` with or without
+a type, subscripts, keyword arguments, quoted keys, XML elements and attributes, calls that name
+what they set, command line flags.  A value is a literal, several literals joined, or the name
+of a constant, which stands for what that constant holds, defined before or after.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from collections import defaultdict
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,35 +31,6 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
-def _nested(levels: int) -> str:
-    """What stands between brackets of a type, itself with brackets down to some levels."""
-    inner = r"""[^\[\]<>(){}=\n"]"""
-    out = rf"{inner}*+"
-    for _ in range(levels):
-        out = rf"(?:{inner}++|[\[<(]{out}[\])>])*+"
-    return out
-
-
-#: A type in a declaration: words with paths, brackets (up to five deep), references, marks and alternatives.
-_BRACKETS = rf"[\[<(]{_nested(4)}[\])>]"
-_TYPE_WORD = rf"(?:[&*]*+(?:'\w++[\x20\t]++)?(?:(?:mut|dyn|const|readonly)[\x20\t]++)*(?:[A-Za-z_](?:[\w.]|::)*+(?:{_BRACKETS})*+|(?:{_BRACKETS})++(?:[A-Za-z_][\w.]*+)?)[?!]*+)"
-_TYPE = rf"{_TYPE_WORD}(?:[\x20\t]*+[|&][\x20\t]*+{_TYPE_WORD})*+"
-#: Types that stand behind a name without any sign between them.
-_PLAIN_TYPES = r"(?:string|byte|rune|any|error|bool|u?int\d*+|float\d++)\b"
-#: Name, operator and value of an assignment in source or configuration syntax: name = value,
-#: name: type = value, and name type = value with a plain type or after const or var.  A quoted
-#: value ends on its line; a bare one may be a literal or the name of a constant.
-_PAIR = re.compile(
-    r"""(?<![\w.-])(?:(?P<decl>const|var)[\x20\t]++)?(?P<name>[A-Za-z_][\w.-]*+)(?:"""
-    rf"""["']?[?!]?[\x20\t]*+:[\x20\t]*+(?P<type>{_TYPE})(?:[\x20\t]++=(?![=>~])|=(?=[\x20\t]*+["']))"""
-    rf"""|[\x20\t]++(?:\[\w*+\])*+\*?(?P<after>(?(decl)[A-Za-z_][\w.]*+|{_PLAIN_TYPES}))[\x20\t]*+=(?![=>~])"""
-    r"""|["']?[\x20\t]*(?::=|=>|=|:))[\x20\t]*"""
-    r"""(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|(?P<bare>[^\s"',;#()\[\]{}<>]+))"""
-)
-_IS_PLAIN_TYPE = re.compile(_PLAIN_TYPES + r"\Z")
-#: Words with which name: begins a statement; what follows the colon is then a target and no type.
-_OPENS = re.compile(r"\b(?:if|elif|while|case|when|not|and|or|in|is)[\x20\t]+\Z")
-_OPEN_WORDS = frozenset("else try finally default do".split())
 #: How much a part of a target name says about its value.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "pass": 0.8, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
@@ -57,12 +38,39 @@ SENSITIVE = {
 }
 #: One of these is in every text with a sensitive name: all parts but those that hold a shorter one.
 _SENSITIVE_BYTES = tuple(sorted(w.encode() for w in SENSITIVE if not any(v != w and v in w for v in SENSITIVE)))
+_MARKS = (b"=", b":", b"(", b"</", b"--")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|none|null|true|false|todo|changeme|example.*|your.*|dummy.*|test|<.*>|\$\{?.*|%.*%|\{\{.*)$")
 #: A literal is reported if the weight of its target name times its look reaches this.
 REPORT = 0.45
 LITERAL_LEAST = 8
 
+#: Tokens of source and configuration.  A quote opens a string only where no word stands before it.
+_TOKEN = re.compile(
+    r'''(?P<str>(?<![\w\\])(?:[rbufRBUF]{1,2}|[@$])?(?:"""(?:[^\\"]|\\.|"(?!""))*+"""|\'\'\'(?:[^\\']|\\.|'(?!''))*+\'\'\''''
+    r'''|"(?:[^"\\\n]|\\.)*+"|(?<![&<])'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`)|\\"(?:[^"\\\n]|\\[^"\n])*+\\")'''
+    r"|(?P<life>(?<=[&<])'\w++)"
+    r"|(?P<flag>(?<![\w-])--[A-Za-z][\w-]*+(?=[\x20\t]+[^\s=-]))"
+    r"|(?P<name>[A-Za-z_$][\w$]*+(?:(?:[.-]|->|::)\w++)*+)"
+    r"|(?P<cmp>[=!]==?|[<>]=|=~)"
+    r"|(?P<op>:=|=>|<-|[+?|]*=|:)"
+    r"|(?P<open>[(\[{<])|(?P<close>[)\]}>])|(?P<plus>\+|\.\.?)|(?P<comma>,)|(?P<end>[;\n])|(?P<mark>[&*?!|])",
+    re.DOTALL,
+)
+_CLOSERS = {")": "(", "]": "[", "}": "{", ">": "<"}
+_BARE = re.compile(r"""[^\s"',;#()\[\]{}<>&`]+""")
+_BLOCK = re.compile(r"[|>][+-]?[\x20\t]*\n")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>([^<>]+)</\1\s*>")
+#: Words that open a statement: what their colon ends is no type.  Declarations name type or target first.
+_OPENERS = frozenset("if elif while case when not and or in is for with else try finally default do except return".split())
+_DECLARES = frozenset(("const", "var"))
+_PLAIN_TYPE = re.compile(r"(?:string|byte|rune|any|error|bool|u?int\d*|float\d+)\Z")
+#: Calls that hand their literal on, calls that set what their first literal names, and fields of a name and its value.
+_WRAPS = frozenset("str bytes string bytearray b64decode frombase64 atob fromhex unhexlify encode decode from quote secretstr securestring of strip trim buffer".split())
+_SETS = re.compile(r"(?i)(?:^|[._>:])(?:set|put|add|define|with|use)\w*\Z")
+_LOOKS_UP = re.compile(r"(?i)(?:^|[._>:])(?:get|env)\w*\Z")
+_KEYS, _VALUES = frozenset(("name", "key", "id", "field", "variable")), frozenset(("value", "val", "content", "default", "stringvalue"))
+
 
 def name_weight(name: str) -> float:
     """The weight of a target name: its parts' weights combined as independent hints, or 0 without a hint."""
@@ -74,6 +82,8 @@ def name_weight(name: str) -> float:
 
 def look(literal: str) -> float:
     """How much a literal looks like a secret: length, entropy and mixed kinds of characters, 0 to 1."""
+    if "PRIVATE KEY-----" in literal:
+        return 1.0
     n = len(literal)
     if n < LITERAL_LEAST or any(c.isspace() for c in literal) or _PLACEHOLDER.match(literal):
         return 0.0
@@ -83,38 +93,268 @@ def look(literal: str) -> float:
     return min(1.0, n / 16) * min(1.0, bits / 3.5) * (0.4 if kinds < 2 else 1.0)
 
 
-def targets(text: str, m: re.Match) -> list[str]:
-    """The names that an assignment may be to."""
-    if m["type"] and (m["name"] in _OPEN_WORDS or _OPENS.search(text, max(0, m.start() - 20), m.start("name"))):
-        return [m["type"]]
-    if m["after"] and not _IS_PLAIN_TYPE.match(m["after"]):
-        return [m["name"], m["after"]]
-    return [m["name"]]
+def is_words(bare: str) -> bool:
+    """Whether an unquoted value reads as an identifier: words of letters joined by points, underscores or capitals."""
+    parts = _PARTS.findall(bare.rstrip("0123456789"))
+    joined = any(c in "._-:/" for c in bare) or not any(c.isdigit() for c in bare)
+    return joined and bool(parts) and all(p.isalpha() for p in parts) and sum(map(len, parts)) >= 3.5 * len(parts)
 
 
-def literals(text: str) -> list[tuple[int, int]]:
-    """Spans of literals that reach a sensitive name, directly or through names of constants.
+Span = tuple[int, int]
 
-    Assignments are read in order; a bare value that names an earlier target stands for that
-    target's literal, so a chain of constants is followed to where the literal is written.
-    Of a name and a type in either order (const String key, const key Text) both are targets.
-    """
-    known: dict[str, tuple[int, int]] = {}
-    best: dict[tuple[int, int], float] = {}
-    at = 0
-    while m := _PAIR.search(text, at):
-        kind = m.lastgroup
-        span, value = m.span(kind), m[kind]
-        at = max(span[1], m.end("name") + 1)
-        if kind == "bare" and value in known:
-            span = known[value]
-            value = text[slice(*span)]
-        names = targets(text, m)
-        known.update(dict.fromkeys(names, span))
+
+@dataclass
+class Value:
+    """What is assigned: spans of literals and names of constants, in order; ``bare``: an unquoted value, a literal unless it names a constant."""
+
+    parts: list[Span | str] = field(default_factory=list)
+    bare: Span | None = None
+
+
+class Lexer:
+    """Pairs of target names and values in a text, with all constants it defines."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.pairs: list[tuple[int, tuple[str, ...], Value]] = []
+        self.constants: dict[str, list[tuple[int, Value]]] = defaultdict(list)
+        todo = [(0, len(text))]
+        while todo:  # strings may hold assignments themselves (commands, JSON, connection strings)
+            todo += self._lex(*todo.pop())
+        for m in _ELEMENT.finditer(text):
+            s, e = self._trim(m.start(2), m.end(2))
+            self.pairs.append((m.start(), (m[1],), Value([(s, e)])))
+        for at, names, value in self.pairs:
+            for name in names:
+                self.constants[name.rsplit(".", 1)[-1]].append((at, value))
+        for held in self.constants.values():
+            held.sort(key=lambda x: x[0])
+
+    def _trim(self, s: int, e: int) -> Span:
+        part = self.text[s:e]
+        return s + len(part) - len(part.lstrip()), e - len(part) + len(part.rstrip())
+
+    def _lex(self, first: int, last: int) -> list[Span]:
+        self.tokens = [(m.lastgroup, m.start(), m.end()) for m in _TOKEN.finditer(self.text, first, last)]
+        self.last = last
+        self.run = (0, 0, False)  # the unquoted run seen last, and whether it is the value of a sensitive name
+        inner = [self._content(t) for t in self.tokens if t[0] == "str"]
+        inner = [(s, e) for s, e in inner if ("=" in self.text[s:e] or ":" in self.text[s:e])]
+        self.partner = self._brackets()
+        targets, annotations = {}, set()
+        for i, (kind, s, e) in enumerate(self.tokens):
+            if kind == "op" and i and self.text[s:e] != ":":
+                targets[i] = self._targets(i, annotations)
+        named: tuple[int, str] | None = None
+        for i, (kind, s, _) in enumerate(self.tokens):
+            if kind == "op" and i and i not in annotations:
+                names = targets.get(i) or self._targets(i, annotations)
+                value = self._value(i + 1, names)
+            elif kind == "flag":
+                names = (self._word(i).lstrip("-"),)
+                value = self._value(i + 1, names)
+            elif kind == "open" and i and self.text[s] == "(" and self.tokens[i - 1][0] == "name":
+                names, value = self._call(i)
+            else:
+                continue
+            if not names or not (value.parts or value.bare):
+                continue
+            short = names[-1].lower()
+            if short in _KEYS and len(value.parts) < 2:
+                named = (i, value.parts[0] if value.parts and isinstance(value.parts[0], str) else self.text[slice(*(value.bare or value.parts[0]))])
+            elif short in _VALUES and named and i - named[0] < 12:
+                names = (*names, named[1])
+            self.pairs.append((s, names, value))
+        return inner
+
+    def _brackets(self) -> dict[int, int]:
+        """The opening bracket of each closing one."""
+        out, stack = {}, []
+        for i, (kind, s, _) in enumerate(self.tokens):
+            if kind == "open":
+                stack.append((self.text[s], i))
+            elif kind == "close":
+                want = _CLOSERS[self.text[s]]
+                if want != "<":
+                    while stack and stack[-1][0] == "<":
+                        stack.pop()
+                if stack and stack[-1][0] == want:
+                    out[i] = stack.pop()[1]
+        return out
+
+    def _word(self, i: int) -> str:
+        return self.text[self.tokens[i][1] : self.tokens[i][2]]
+
+    def _content(self, token) -> Span:
+        """What stands between the quotes of a string."""
+        _, s, e = token
+        while self.text[s] not in "\"'`":
+            s += 1
+        quote = self.text[s]
+        wide = 3 if e - s >= 6 and self.text.startswith(quote * 3, s) else 1
+        end = e - wide
+        if self.text.startswith('\\"', token[1]):
+            end -= 1
+        return s + wide, max(s + wide, end)
+
+    def _name(self, i: int) -> str:
+        return self.text[slice(*self._content(self.tokens[i]))] if self.tokens[i][0] == "str" else self._word(i)
+
+    def _targets(self, i: int, annotations: set[int]) -> tuple[str, ...]:
+        """The names that the operator at token i may assign to; colons found to open a type are noted."""
+        j = i - 1
+        kind = self.tokens[j][0]
+        first: tuple[str, ...] = ()
+        if kind == "str":
+            return (self._name(j),)
+        if kind == "close" and self._word(j) == "]" and j in self.partner:
+            at = self.partner[j]  # a subscript: the words in it, after what it is taken from
+            words = [self._name(k) for k in range(at, j) if self.tokens[k][0] in ("str", "name")]
+            base = [self._word(at - 1)] if at and self.tokens[at - 1][0] == "name" else []
+            first = (".".join(base + words),) if words else ()
+        op, space = self._word(i), self.tokens[i][1] > self.tokens[j][2]
+        if op == ":":
+            while j > 0 and self.tokens[j][0] == "mark":
+                j -= 1
+            return first or ((self._word(j),) if self.tokens[j][0] in ("name", "flag") else ())
+        k, names = j, 0
+        while k >= 0 and self.tokens[k][0] in ("name", "close", "mark", "life"):
+            names += self.tokens[k][0] == "name"
+            k = self.partner[k] - 1 if k in self.partner else k - 1 if self.tokens[k][0] != "close" else -1
+        colon = k > 0 and self.tokens[k][0] == "op" and self._word(k) == ":" and names + len(first) > 0
+        if colon and (space or self.text[self.tokens[i][2] : self.tokens[i][2] + 2].lstrip()[:1] in ('"', "'")):
+            annotations.add(k)
+            q = k - 1
+            while q > 0 and self.tokens[q][0] == "mark":
+                q -= 1
+            opener = q > 0 and self.tokens[q - 1][0] == "name" and self._word(q - 1) in _OPENERS or self._word(q) in _OPENERS
+            if not opener and self.tokens[q][0] == "name" and not (q and self.tokens[q - 1][0] == "cmp"):
+                return (self._word(q),)
+        if first or kind != "name":
+            return first
+        here, q = self._word(j), j - 1
+        while q > 0 and self.tokens[q][0] in ("mark", "open", "close") and self._word(q) in "*[]":
+            q -= 1
+        if q >= 0 and self.tokens[q][0] == "name" and "\n" not in self.text[self.tokens[q][2] : self.tokens[j][1]]:
+            declared = q > 0 and self.tokens[q - 1][0] == "name" and self._word(q - 1) in _DECLARES
+            if _PLAIN_TYPE.match(here):
+                return (self._word(q),)
+            if declared:
+                return (self._word(q), here)
+        return (here,)
+
+    def _value(self, i: int, names: tuple[str, ...] = ()) -> Value:
+        """The value that begins at token i: literals and constants joined by signs of concatenation."""
+        out, depth, at = Value(), 0, self.tokens[i - 1][2]
+        while i < len(self.tokens):
+            kind, s, e = self.tokens[i]
+            if kind == "str":
+                out.parts.append(self._trim(*self._content(self.tokens[i])))
+            elif kind == "open" and self._word(i) == "(" and not out.parts:
+                depth += 1
+            elif kind == "end" and (depth or not out.parts) and i + 1 < len(self.tokens) and self.tokens[i + 1][0] in ("str", "end") and self.text[s] == "\n":
+                pass
+            elif kind == "name" and i + 1 < len(self.tokens) and self.tokens[i + 1][1:] == (e, e + 1) and self._word(i + 1) == "(":
+                if self._word(i).rsplit(".", 1)[-1].lower() not in _WRAPS:
+                    break
+                i, depth = i + 1, depth + 1
+            elif kind == "name" and (out.parts or self._whole(s, e)) and not (out.parts and self.tokens[i - 1][0] != "plus"):
+                out.parts.append(self._word(i))
+            elif kind == "plus" and out.parts and self.tokens[i - 1][0] in ("str", "name"):
+                if self._word(i) == "." and self.tokens[i - 1][2] == s and i + 1 < len(self.tokens) and self.tokens[i + 1][0] == "name":
+                    break  # a method of the value
+            else:
+                break
+            i += 1
+        if out.parts:
+            if len(out.parts) == 1 and isinstance(out.parts[0], str):
+                out.bare = self.tokens[i - 1][1:]
+            return out
+        while at < self.last and self.text[at] in " \t":
+            at += 1
+        if m := _BLOCK.match(self.text, at, self.last):
+            return self._block(at, m.end())
+        return self._run(at, names)
+
+    def _run(self, at: int, names: tuple[str, ...]) -> Value:
+        """An unquoted value; what is assigned inside the value of a sensitive name is part of that value."""
+        first, end, taken = self.run
+        if not first <= at < end:
+            m = _BARE.match(self.text, at, self.last)
+            if m is None:
+                return Value()
+            end, taken = m.end(), False
+        if taken or self.text.startswith("(", end):
+            return Value()
+        self.run = (at, end, bool(names) and max(map(name_weight, names)) >= REPORT)
+        return Value(bare=(at, end))
+
+    def _block(self, at: int, first: int) -> Value:
+        """The lines below a key that stand deeper than it."""
+        line = self.text.rfind("\n", 0, at) + 1
+        indent = len(self.text[line:at]) - len(self.text[line:at].lstrip())
+        m = re.compile(rf"(?:[\x20\t]{{{indent + 1},}}[^\n]*\n?)+").match(self.text, first, self.last)
+        return Value([self._trim(*m.span())]) if m else Value()
+
+    def _whole(self, s: int, e: int) -> bool:
+        """Whether a name ends where an unquoted value ends."""
+        return e == self.last or _BARE.match(self.text, e, e + 1) is None
+
+    def _call(self, i: int) -> tuple[tuple[str, ...], Value]:
+        """A call that sets what it names: set_secret("..."), or put("secret", "...")."""
+        name, n = self._word(i - 1), len(self.tokens)
+        if i + 1 >= n or self.tokens[i + 1][0] != "str":
+            return (), Value()
+        sets = _SETS.search(name)
+        if i + 3 < n and self.tokens[i + 2][0] == "comma" and (sets or _LOOKS_UP.search(name)):
+            return (self._name(i + 1),), self._value(i + 3)
+        return ((name,), self._value(i + 1)) if sets else ((), Value())
+
+    def literal(self, value: Value, at: int) -> tuple[list[Span], str]:
+        """The spans of the literals a value stands for, and what they say together.
+
+        Constants are followed along chains: a name stands for its last value before, else its first one after,
+        and for nothing where its chain comes back to it.
+        An unquoted value that reads as an identifier is no literal.
+        """
+        spans, said, bare, seen = [], [], value.bare, set()
+        todo = [(p, at) for p in reversed(value.parts)]
+        while todo:
+            part, at = todo.pop()
+            if not isinstance(part, str):
+                spans.append(part)
+                said.append(self.text[slice(*part)])
+                continue
+            held = self.constants.get(part.rsplit(".", 1)[-1])
+            if held is None or part in seen:
+                continue
+            seen.add(part)
+            at, value = held[max(0, bisect_left(held, at, key=lambda x: x[0]) - 1)]
+            bare = value.bare or bare
+            todo += [(p, at) for p in reversed(value.parts)]
+        if not spans and bare:
+            word = self.text[slice(*bare)]
+            return ([], "") if is_words(word) else ([bare], word)
+        return spans, "".join(said)
+
+
+def literals(text: str) -> list[Span]:
+    """Spans of literals that reach a sensitive name, directly, joined with others, or through constants."""
+    lexer = Lexer(text)
+    best: dict[Span, float] = {}
+    looks: dict[tuple[Span, ...], float] = {}
+    for at, names, value in lexer.pairs:
         weight = max(map(name_weight, names))
-        if weight and span[1] > span[0]:
-            best[span] = max(best.get(span, 0.0), weight * look(value))
-    return [s for s, score in best.items() if score >= REPORT]
+        if weight >= REPORT:
+            spans, said = lexer.literal(value, at)
+            key = tuple(spans)
+            if key not in looks:
+                looks[key] = look(said)
+            score = weight * looks[key]
+            for s, e in spans:
+                if e > s:
+                    best[s, e] = max(best.get((s, e), 0.0), score)
+    return sorted(s for s, score in best.items() if score >= REPORT)
 
 
 def scan(text: str) -> list[tuple[int, str, int]]:
@@ -126,17 +366,19 @@ def scan(text: str) -> list[tuple[int, str, int]]:
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    if (b"=" in low or b":" in low) and any(w in low for w in _SENSITIVE_BYTES):
+    if any(w in low for w in _SENSITIVE_BYTES) and any(m in low for m in _MARKS):
         out += [(s, 3, e) for s, e in literals(text)]
     return [(s, KINDS[k], e) for s, k, e in sorted(out)]
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
-    """Secrets in the whole text of each document (doc_id, text), one row per input row.
+    """Secrets in the whole text of each document (doc_id, text, ...), one row per input row.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256 (over the spans of these kinds as
     kind:start:end) and spans, which also holds the literals found by lexing.  Null text is
-    empty text and has no spans; an empty table gives an empty result.
+    empty text and has no spans; an empty table gives an empty result.  Each row is scanned on
+    its own: repeated rows give repeated results, other columns are not read.  Time and memory
+    grow in proportion to a text, however long, but for chains of constants joined to others.
     """
     arrow_batches(docs.sparkSession)
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
