@@ -1,4 +1,4 @@
-"""Tokenizing columns of text with the tokenizers library, one cached word at a time."""
+"""Tokenizing columns of text with the tokenizers library, one remembered word at a time."""
 
 from __future__ import annotations
 
@@ -12,9 +12,15 @@ from collections.abc import Iterator
 _WIDE = (0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
 _RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, _WIDE)) + "]")
 #: Words, and pieces of words, that a worker remembers, for vocabularies without and with spaces in
-#: words; with more it starts anew, so its memory stays bounded (about 150 and 400 MB).
-CACHE_WORDS = {False: 300_000, True: 1_000_000}
-CACHE_PIECES = {False: 500_000, True: 1_000_000}
+#: words; with more it starts anew, so its memory stays bounded (about 200 and 350 MB).
+CACHE_WORDS = {False: 700_000, True: 1_000_000}
+CACHE_PIECES = 200_000
+#: Letters and numbers among the characters up to U+00FF, and the splitters of both vocabularies for such words.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
+_SPLIT = {
+    True: re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"),
+    False: re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+"),
+}
 
 
 def _byte_chars() -> dict[int, int]:
@@ -42,27 +48,25 @@ class WordCache:
     character other than white space follows.  So a text is cut at such spaces, every new
     word is encoded once, and its ids are remembered.  ``spaced``: words keep their space
     (byte-level vocabularies); else white space is dropped (word vocabularies).  Texts with
-    rarer white space, runs of spaces or the string of an added token are encoded whole.  A
-    word of Latin letters is one piece for the model, and a comma or full stop after it
-    another; other words go through the tokenizer's own normalizer and splitter.
-    ``special``: strings of added tokens become those tokens, as the library's plain call
-    has it; else they are ordinary text.
+    rarer white space, runs of spaces or the string of an added token are encoded whole, so
+    that such strings become those tokens as in the library's plain call.  Words of characters
+    up to U+00FF are split here, others by the tokenizer's own normalizer and splitter; pieces
+    go to its model.
     """
 
-    def __init__(self, path: str, spaced: bool, special: bool = False) -> None:
+    def __init__(self, path: str, spaced: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary has ids beyond 16 bits")
-        self.tok.encode_special_tokens = not special
         #: Texts with one of these are encoded whole; NUL marks the first word of a text.
         self.whole = ("\0", *(t.content for t in self.tok.get_added_tokens_decoder().values()))
         self.model = self.tok.model
         self.spaced = spaced
         self.words = _Words(self._word)
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Words(self._piece)
         self.chars = _byte_chars()
 
     def _encode(self, text: str) -> bytes:
@@ -70,33 +74,26 @@ class WordCache:
         return array("H", ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        """The ids of what the splitter would hand to the model, its bytes still as they are."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if piece.isascii():  # letters, a comma or a full stop, after a space at most
-                shown = "\u0120" + piece[1:] if piece[0] == " " else piece
-            else:
-                shown = piece.encode().decode("latin-1").translate(self.chars)
-            ids = self.pieces[piece] = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return ids
+        """The ids of a piece of characters up to U+00FF."""
+        shown = piece.encode().decode("latin-1").translate(self.chars)
+        return array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        start = ""
+        if word.isascii() and word.isalpha():  # what most words are: one piece
+            shown = "\u0120" + word if self.spaced else word.lower()
+            return array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if word[-1:] in (",", ".") and word[:-1].isalpha() and max(word) <= "ÿ":  # two pieces, the first maybe known
+            return self.words[word[:-1]] + self.pieces[word[-1]]
         if self.spaced:
-            start, word = ("", word[1:]) if word[:1] == "\0" else (" ", word)
-        if word and (word.isascii() or max(word) <= "ÿ"):
-            if not self.spaced:
-                word = word.lower()
-            if word.isalpha():
-                return self._piece(start + word)
-            if word[-1] in ",." and word[:-1].isalpha():
-                return self._piece(start + word[:-1]) + self._piece(word[-1])
-        text = start + word
-        if not text:
+            word = word[1:] if word[:1] == "\0" else " " + word
+        if not word:
             return b""
+        if max(word) <= "ÿ":
+            pieces = _SPLIT[self.spaced].findall(word if self.spaced else word.lower())
+            return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
         if self.tok.normalizer is not None:
-            text = self.tok.normalizer.normalize_str(text)
-        shown = [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+            word = self.tok.normalizer.normalize_str(word)
+        shown = [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(word)]
         return array("H", [t.id for p in shown for t in self.model.tokenize(p)]).tobytes()
 
     def _cut(self, text: str) -> list[str] | None:
@@ -113,7 +110,7 @@ class WordCache:
         for text in texts:
             if len(self.words) > CACHE_WORDS[self.spaced]:
                 self.words.clear()
-            if len(self.pieces) > CACHE_PIECES[self.spaced]:
+            if len(self.pieces) > CACHE_PIECES:
                 self.pieces.clear()
             words = self._cut(text)
             yield self._encode(text) if words is None else b"".join(map(self.words.__getitem__, words))
@@ -127,5 +124,5 @@ _caches: dict[tuple[str, bool], WordCache] = {}
 def word_cache(path: str, spaced: bool) -> WordCache:
     """The cache of this worker; tasks that follow find it filled."""
     if (path, spaced) not in _caches:
-        _caches[path, spaced] = WordCache(path, spaced, special=True)
+        _caches[path, spaced] = WordCache(path, spaced)
     return _caches[path, spaced]
