@@ -17,9 +17,12 @@ from .common import arrow_batches
 
 #: Elements of HTML, by how they are read (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt msub msup mtext q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+)
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
-DROPPED = frozenset("script style title textarea iframe noembed noframes template svg math object canvas audio video select button option datalist head".split())
+#: What holds no text of the page.  All else is for the model to tell.
+DROPPED = frozenset("script style title textarea iframe noembed noframes template head".split())
 #: Elements that a start tag of the key closes, up to the nearest of the elements that bound it.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -138,7 +141,9 @@ def parse(source: str, labels: bool = False) -> list[Node]:
                 if name.lower() == "data-y":
                     node.label = int(value) if labels else None
                 else:
-                    node.names += [w.lower() for w in _WORDS.findall(value)]
+                    for token in value.split():
+                        node.names.append(f"token={token.lower()}")
+                        node.names += [f"part={w.lower()}" for w in _WORDS.findall(token)]
             nodes.append(node)
             here = len(nodes) - 1
         else:
@@ -157,7 +162,7 @@ def parse(source: str, labels: bool = False) -> list[Node]:
 
 def features(node: Node, parent: Node | None) -> list[str]:
     if node.tag != "#text":
-        return [f"tag={node.tag}", *(f"name={w}" for w in node.names)]
+        return [f"tag={node.tag}", *dict.fromkeys(node.names)]
     text = " ".join("".join(node.text).split())
     words = text.count(" ") + 1
     share = node.linked / max(1, len(text))
@@ -169,8 +174,12 @@ def features(node: Node, parent: Node | None) -> list[str]:
     ]
 
 
-#: The features of a text block say much the same, so each counts for this part of its evidence.
+#: The features of a text block say much the same, so each counts for this part of its evidence; so do a tag, and the words of a
+#: class or id beside the whole of it.  And how much of its overall rate a feature keeps in states where it was not seen.
 TEXT_WEIGHT = 0.4
+TAG_WEIGHT = 0.6
+PART_WEIGHT = 0.7
+SMOOTH = 0.002
 #: States of a node: the rest of a page, its content, and a frame that holds both.
 REST, CONTENT, FRAME = STATES = (0, 1, 2)
 
@@ -218,7 +227,7 @@ def kind(node: Node) -> str:
 
 
 def fit(pages: list[str]) -> Model:
-    """Smoothed maximum likelihood from pages whose elements carry data-y, a state; others take that of their parent.
+    """Smoothed rates from pages whose elements carry data-y, a state; others take that of their parent.
 
     Text directly in a frame is content.
     """
@@ -237,8 +246,10 @@ def fit(pages: list[str]) -> Model:
     node = {}
     for f in {f for f, _ in seen}:
         k = "text" if f.split("=")[0] in ("in", "words", "links", "end") else "element"
-        weight = TEXT_WEIGHT if k == "text" else 1.0
-        node[f] = tuple(weight * math.log((seen[f, y] + 0.3) / (total[k, y] + 1)) for y in STATES)
+        weight = TEXT_WEIGHT if k == "text" else PART_WEIGHT if f.startswith("part=") else TAG_WEIGHT if f.startswith("tag=") else 1.0
+        often = sum(seen[f, y] for y in STATES) / sum(total[k, y] for y in STATES)
+        # smoothed in proportion to how common the feature is, so that it says nothing between states without it
+        node[f] = tuple(weight * math.log(seen[f, y] / max(1, total[k, y]) + SMOOTH * often) for y in STATES)
     rows = {(k, p): sum(edges[k, p, y] for y in STATES) for k in ("element", "text") for p in STATES}
     edge = {k: [[math.log((edges[k, p, y] + 0.3) / (rows[k, p] + 0.9)) for y in STATES] for p in STATES] for k in ("element", "text")}
     return Model(node, edge)
@@ -256,6 +267,8 @@ def labelled_pages() -> list[str]:
         f"<p>{long * 6}</p><figure><figcaption>The bridge</figcaption></figure><p>Then it fell.</p>",
         f"<div><p>{long}</p></div><section><h3>Later</h3><p>{long * 2}</p><ol><li>a</li><li>b c d</li></ol></section>",
         f"{long} {long}",
+        f"<p>{long}</p><ul><li>{long}</li><li>{long[:9]}</li><li>{long[:20]}</li></ul><p>{long}</p><ol><li>{long[:30]}</li><li>{long}</li><li>two days</li></ol>",
+        f"<h2>List</h2><ul><li>a cup</li><li>two spoons</li><li>{long}</li><li>{long[:40]}</li></ul><p>{long}</p><ul><li>{long}</li></ul>",
     ]
     holders = [
         "<article>{}</article>", "<article class=post>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class=content>{}</div>",
@@ -270,24 +283,41 @@ def labelled_pages() -> list[str]:
         f"<div data-y=0 class=ad>{long}</div>", f"<div data-y=0 class=advert>{line}</div>", f"<div data-y=0 class='banner promo'>{long}</div>", f"<div data-y=0 class=sponsored>{line}</div>",
         f"<div data-y=0 class=cookie-notice>{long} <button>OK</button></div>", f"<div data-y=0 id=cookie-consent>{line}</div>", f"<div data-y=0 class='notice alert'>{long}</div>",
         f"<div data-y=0 class=breadcrumbs>{menu}</div>", f"<div data-y=0 id=navigation class=navbar>{menu}</div>", f"<div data-y=0 id=header><p>{long[:30]}</p></div>",
-        f"<form data-y=0 class=search>Find {long[:20]} <input name=q></form>", f"<div data-y=0 class=topbar role=navigation>{menu}</div>", f"<div data-y=0 role=banner>{line}</div>",
+        f"<form data-y=0 class=search>Find {long[:20]} <input name=q><select><option>All<option>News</select></form>", f"<div data-y=0 class=topbar role=navigation>{menu}</div>", f"<div data-y=0 role=banner>{line}</div>",
+        f"<noscript data-y=0>{long}</noscript>", f"<div data-y=0 class=ad-slot>{long}</div>", f"<div data-y=0 class=page-header>{line}</div>", f"<div data-y=0 class='main-menu menu-list'>{menu}</div>",
     ]
     after = [
         f"<footer data-y=0>&copy; site &middot; {long[:60]}</footer>", f"<footer data-y=0><p>{long}</p>{menu}</footer>", f"<div data-y=0 id=footer class=copyright>{line}</div>",
         f"<aside data-y=0>{line}{menu}</aside>", f"<aside data-y=0 class=sidebar><h3>More</h3><p>{long}</p></aside>", f"<div data-y=0 class='sidebar widget'>{line}{line}</div>",
         f"<section data-y=0 id=comments><h2>Comments</h2>{talk}</section>", f"<div data-y=0 class=comments>{talk}{talk}</div>", f"<ol data-y=0 class=comment-list><li><p>{said}</p></li></ol>",
         f"<div data-y=0 class='related recommended'><h3>Read on</h3>{menu}</div>", f"<div data-y=0 class='share social'>{menu}</div>", f"<div data-y=0 class=disqus id=respond>{talk}</div>",
-        f"<form data-y=0 class=newsletter><p>{long}</p><label>Mail</label><input></form>", f"<form data-y=0>{line}<label>Your name</label></form>", f"<div data-y=0 class=subscribe>{line}</div>",
+        f"<form data-y=0 class=newsletter><p>{long}</p><label>Mail</label><input></form>", f"<form data-y=0>{line}<label>Your name</label><button>Send</button></form>", f"<div data-y=0 class=subscribe>{line}</div>",
         f"<div data-y=0 class=replies>{talk}</div>", f"<div data-y=0 role=complementary>{line}</div>", f"<div data-y=0 role=contentinfo>{line}</div>", f"<div data-y=0 class=pagination>{menu}</div>",
+        f"<div data-y=0 class='ad-container google-ad'>{line}</div>", f"<div data-y=0 class=footer-links>{menu}</div>", f"<div data-y=0 class=comment-thread>{talk}</div>",
+        f"<div data-y=0 class=ad-box>{line}</div>", f"<div data-y=0 class='top-ad'>{long}</div>", f"<div data-y=0 id=ad-unit-1><p>Save now</p></div>",
+        f"<div data-y=0 class=footer-wrapper>{line}</div>", f"<div data-y=0 class=nav-container>{menu}</div>", f"<div data-y=0 id=comments-wrapper>{talk}</div>", f"<div data-y=0 class='promo-wrapper'>{line}</div>",
+    ]
+    # content whose names share words with what is not
+    contrary = [
+        "header-image", "ad-free", "image-header", "sidebar-free text", "notice-free", "article-header", "menu-card text", "comment-free", "story-header", "free-text", "image-caption", "text-block", "quote", "key-facts", "image-text ad-free",
+        "header-text", "body-text", "story-text share-free", "banner-image", "footer-free image",
+    ]
+    within = [f"<div class='{{}}'><p>{long}</p></div>", f"<section class='{{}}'><p>{long}</p><p>{long[:40]}</p></section>", f"<figure class='{{}}'><figcaption>{long}</figcaption></figure>", "<div class='{}'><p>It was so.</p></div>"]
+    unusual = [
+        f"<object><p>{long}</p></object>", f"<p>{long} <button>See the map</button> {long[:30]}</p>", f"<video><p>{long}</p></video>", f"<svg><text>{long[:30]}</text></svg>", f"<details><summary>{long[:30]}</summary><p>{long}</p></details>",
+        f"<dl><dt>River</dt><dd>{long}</dd></dl>", f"<canvas>{long}</canvas>", f"<audio>{long[:40]}</audio>",
     ]
     pages = []
-    for i in range(240):
+    for i in range(480):
         holder = holders[i % len(holders)].replace(">{", " data-y=1>{").format(body[(i // 3) % len(body)])
         frame = before + after
         if i % 3 == 0:
             holder = holder.replace("data-y=1>", "data-y=1>" + frame[(7 * i + 3) % len(frame)], 1)
         if i % 3 == 1:
             holder = holder.replace("</p><", f"</p>{frame[(11 * i + 5) % len(frame)]}<", 1)
+        more = within[(i // 2) % len(within)].format(contrary[(i // 5) % len(contrary)]) if i % 4 < 2 else unusual[(i // 4) % len(unusual)] if i % 4 == 2 else ""
+        cut = holder.rfind("</")
+        holder = holder[:cut] + more + holder[cut:] if cut > 0 else holder
         head, tail = before[i % len(before)] + before[(5 * i + 1) % len(before)], after[i % len(after)] + after[(3 * i + 2) % len(after)]
         wrap = ("{}", "<div class=wrapper data-y=2>{}</div>", "<div id=page class=container data-y=2>{}</div>")[i % 3]
         if i % 8 == 7:  # a page without a holder
