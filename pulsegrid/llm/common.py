@@ -5,47 +5,76 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to Python at once.  Documents can be long, so far fewer than Spark's default.
 ARROW_ROWS = 256
+#: Bytes handed over at once; a row that is longer goes alone.
+ARROW_BYTES = 8 << 20
 
 
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keeps Arrow batches small enough for long texts (a session setting of Spark).
+    """Keeps Arrow batches small enough for long texts, by rows and by bytes (session settings of Spark).
 
     Also lets Python workers find this package where it is on the driver's path only.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), root)))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where none is set."""
+    """The folder all executors share: spark.checkpoint.dir.  Only a local session may do without it."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pulsegrid-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, below one folder for each application."""
+    return f"{shared_dir(spark)}/pulsegrid-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 
-    This cuts the lineage and survives lost executors.  The tables of an application
-    stand together under ``pulsegrid-<application id>`` and can go when it ends.
+    This cuts the lineage and survives lost executors.  Results may still be read from such
+    a table after the operator has returned, so the tables stay until ``clear_scratch``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pulsegrid-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all tables that operators of this application have written to the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pulsegrid-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Names that clash with none of ``taken``, whatever the case of letters."""
+    low = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name = f"_{name}"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -10,16 +10,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import arrow_batches
+from .common import arrow_batches, fresh
 
 #: Bytes in a window, widths of the filters, and filters of each width.
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12
-#: Documents of a language learned from, characters cut out of each, and steps of training.
+#: Labelled documents of a language, and windows of these documents, that are learned from; and steps of training.
 DOCS_PER_LANGUAGE = 500
-CUT_CHARS = 1200
+WINDOWS_PER_LANGUAGE = 6_000
 STEPS = 400
+#: Windows classified at once.
+AT_ONCE = 8_192
 #: A prediction below this score is rejected; with four languages chance gives 0.25.
 REJECT_BELOW = 0.4
 
@@ -69,17 +71,18 @@ def windows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 5) -> Model | None:
-    """Fits the network by Adam on random windows; None where there is nothing to learn from."""
-    languages = sorted(set(labels))
-    if not languages:
-        return None
-    rng = np.random.default_rng(seed)
+    """Fits the network on all windows of whole texts."""
     x, of, size = windows_of(texts)
-    y = np.searchsorted(languages, labels)[of]
-    x = x[size >= 4]
-    y, of = y[size >= 4], of[size >= 4]
+    return fit(x, size, [labels[i] for i in of], steps, seed)
+
+
+def fit(x: np.ndarray, size: np.ndarray, labels: list[str], steps: int = STEPS, seed: int = 5) -> Model | None:
+    """Fits the network by Adam on windows (n, WINDOW) with ``size`` bytes of text and a label each; None where there is nothing to learn from."""
+    languages = sorted(set(labels))
+    x, y = x[size >= 4], np.searchsorted(languages, labels)[size >= 4] if languages else np.zeros(0, np.int64)
     if not len(x):
         return None
+    rng = np.random.default_rng(seed)
     k, f = len(languages), FILTERS
     params = [rng.normal(0, 0.3, (w, 256, f)).astype(np.float32) for w in WIDTHS]
     params += [np.zeros(3 * f, np.float32), rng.normal(0, 0.2, (3 * f, k)).astype(np.float32), np.zeros(k, np.float32)]
@@ -130,69 +133,91 @@ def fold(doc_id):
 def learn(docs: DataFrame) -> Model | None:
     """Learns from text and lang of documents whose fold is not 1.
 
-    At most DOCS_PER_LANGUAGE documents of each language, the first by a hash of the id,
-    and CUT_CHARS characters from a hashed place in each, come to the driver.
+    At most DOCS_PER_LANGUAGE documents of each language, the first by a hash of the id, are
+    cut into windows, from their first byte to their last; of these at most
+    WINDOWS_PER_LANGUAGE, again by a hash, come to the driver.  A first pass counts the
+    documents of each language, so that of a frequent one only a share that the bound needs is
+    read and ordered.  Of each language the driver gets one count and these windows.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 1)).select("doc_id", "lang", "text")
-    place = F.xxhash64("doc_id", F.lit("cut"))
-    start = F.pmod(place, F.greatest(F.length("text") - CUT_CHARS, F.lit(1))) + 1
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "cut"))
-    cut = known.select("doc_id", "lang", F.substr("text", start.cast("int"), F.lit(CUT_CHARS)).alias("cut")).where(F.col("cut").rlike(r"\p{L}"))
-    rows = cut.withColumn("nth", order).where(F.col("nth") <= DOCS_PER_LANGUAGE).orderBy("lang", "nth").select("cut", "lang").collect()
-    return train([r["cut"] for r in rows], [r["lang"] for r in rows])
+    known = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 1)).select("doc_id", "lang", "text")
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language, as in the network's last layer
+    if not counts:
+        return None
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    shares = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 4.0 * DOCS_PER_LANGUAGE / n))])
+    some = known.where((spread <= shares[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+    some = some.withColumn("nth", order).where(F.col("nth") <= DOCS_PER_LANGUAGE)
+
+    def cut(batches):
+        for b in batches:
+            x, of, size = windows_of(b.column("text").to_pylist())
+            lang, nth = (b.column(c).take(pa.array(of)) for c in ("lang", "nth"))
+            yield pa.RecordBatch.from_arrays([lang, nth, pa.array(np.arange(len(of))), pa.array(size), pa.array([w.tobytes() for w in x], pa.binary())], ["lang", "nth", "at", "size", "bytes"])
+
+    windows = some.mapInArrow(cut, "lang string, nth int, at long, size long, bytes binary").where("size >= 4")
+    windows = windows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("nth", "at"), "nth", "at", "bytes")))
+    rows = windows.where(F.col("rank") <= WINDOWS_PER_LANGUAGE).orderBy("lang", "rank").select("lang", "size", "bytes").collect()
+    x = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8).reshape(-1, WINDOW)
+    return fit(x, np.array([r["size"] for r in rows], np.int64), [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of docs with lang_pred and score, for the whole text of each row.
+def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of docs with the language and its score, for the whole text of each row.
 
     All windows of a text are classified; their probabilities are averaged by bytes.  Null
     texts and texts without a letter are ``und`` with score 0, and so is everything where
     nothing could be learned.
     """
     arrow_batches(docs.sparkSession)
-    kept = [docs.schema[c] for c in keep]
-    schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*(docs.schema[c] for c in keep), StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def run(batches):
         tables = model.tables() if model else None
         for b in batches:
             pred, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
-            at = np.flatnonzero(np.asarray(b.column("_letters").cast(pa.int8()))) if model else []
+            at = np.flatnonzero(np.asarray(b.column(1).cast(pa.int8()))) if model else []
             if len(at):
-                texts = b.column("_text").take(pa.array(at)).to_pylist()
-                x, of, size = windows_of(texts)
-                p = model.predict(x, tables).astype(np.float64) * size[:, None]
-                first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                mean = np.add.reduceat(p, first, axis=0) / np.add.reduceat(size, first)[:, None]
+                x, of, size = windows_of(b.column(0).take(pa.array(at)).to_pylist())
+                mean = np.zeros((len(at), len(model.languages)))
+                for i in range(0, len(x), AT_ONCE):
+                    p, o, n = model.predict(x[i : i + AT_ONCE], tables), of[i : i + AT_ONCE], size[i : i + AT_ONCE]
+                    first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+                    mean[o[first]] += np.add.reduceat(p * n[:, None].astype(np.float64), first, axis=0)
+                mean /= np.bincount(of, size, len(at))[:, None]
                 best = mean.argmax(axis=1)
                 for i, k in zip(at, best, strict=True):
                     pred[i] = model.languages[k]
                 score[at] = np.clip(mean[np.arange(len(at)), best], 0, 1)
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(pred, pa.string()), pa.array(score)], schema.names)
 
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col("text").alias("_text"), letters.alias("_letters"), *keep).mapInArrow(run, schema)
+    text, letters = fresh(keep, "text", "letters")
+    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return docs.select(F.col("text").alias(text), has_letter.alias(letters), *keep).mapInArrow(run, schema)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, lang, ...) whose language is known: neither ``und`` nor scored below REJECT_BELOW.
 
-    Where nothing could be learned, for want of labels, all rows stay.
+    Null and empty texts and texts without a letter are ``und`` and go; repeated rows are judged
+    alike; texts of any length are read whole.  Other columns, whatever their names, stay as
+    they are.  Where nothing could be learned, for want of labels, all rows stay; an empty
+    table stays empty.
     """
     model = learn(docs)
     if model is None:
         return docs
-    keep = tuple(docs.columns)
-    if {"lang_pred", "score", "_text", "_letters"} & set(keep):
-        raise ValueError("columns of docs clash with those of the prediction")
-    return identify(docs, model, keep).where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT_BELOW)).select(*keep)
+    names = tuple(fresh(docs.columns, "lang_pred", "score"))
+    told = identify(docs, model, tuple(docs.columns), names)
+    return told.where((F.col(names[0]) != "und") & (F.col(names[1]) >= REJECT_BELOW)).select(*docs.columns)
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of documents (doc_id, text, lang), one row per input row.
 
     The network learns from the folds that are not held out.  A null doc_id is in no fold: it
-    is not learned from and not held out.  An empty table gives an empty result.
+    is not learned from and not held out.  Repeated rows get the same result each; null texts are
+    ``und``; texts of any length are read whole; an empty table gives an empty result.
     """
     out = identify(docs.select(F.col("doc_id").cast("long"), "text"), learn(docs))
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize, shared_dir, text_or_empty
+from .common import arrow_batches, materialize, scratch_path, text_or_empty  # noqa: F401
 from .tokens import word_cache
 
 #: The longest code; a table of 2 ** MAX_BITS entries decodes every code in one step.
@@ -202,9 +202,3 @@ def index_tokens(spark: SparkSession, out: str) -> DataFrame:
     before = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("doc_id", "row_key").rowsBetween(Window.unboundedPreceding, -1))
     rows = read_tokens(spark, out).drop("ids").withColumn("before", F.coalesce(before, F.lit(0)))
     return rows.join(place, "file").select("doc_id", (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/pulsegrid-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
