@@ -3,22 +3,26 @@
 1. Each document becomes its set of shingles; equal sets are merged (one representative each).
 2. Sets are put in one order: shingles that are frequent in the corpus last, the others by
    hash.  Two sets that link share a shingle among the first n - ceil(0.75 n) + 1 of each
-   (prefix filtering), so the documents that share such a shingle form a tile.
+   (prefix filtering).  Their sizes differ by a third at most, so they stand in the same size
+   band or in neighbouring ones.  A tile holds the documents of one band that share such a
+   shingle, and as visitors those of the band below.
 3. In each tile the document of the smallest id is compared with the others: a number of pairs
    linear in the tile.  Components of these links merge large groups of near copies.
-4. What is left are tiles with documents of different components.  Pairs in the same size
-   band whose places and bitmaps allow enough overlap say which components may touch.
-5. Each such component is a tile once more, compared with the documents of others by wider
-   bitmaps; what these allow is compared exactly.  Large tiles are cut into blocks.
+4. What is left are tiles with documents of different components.  Pairs whose places and
+   bitmaps allow enough overlap say which components may touch.
+5. Each such component is a tile once more, cut into blocks, with the sorted shingles of its
+   documents.  Documents of the others are compared with it, by bitmaps first and then exactly,
+   until one link joins both components; only such links leave a task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, connected_components, materialize
@@ -34,8 +38,11 @@ LOCAL_SHINGLES = 2_000_000
 LOCAL_LEAST = 3
 #: Bits an element in wide bitmaps.
 WIDE = 8
-#: Documents in a block of a tile.
+#: Documents in a block of a tile, and shingles in a block of a component.
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
+#: Rows and bytes of whole tiles handled together.
+TILE_ROWS, TILE_BYTES = 20_000, 32 << 20
 
 
 def need(n):
@@ -48,6 +55,11 @@ def need_both(na, nb):
     return (PERCENT * (na + nb) + 99 + PERCENT) // (100 + PERCENT)
 
 
+def band(n: Column) -> Column:
+    """The size band of a set: sizes of sets that link are in one band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / PERCENT) - 1e-9).cast("int")
+
+
 def bitmap_of(s: np.ndarray, room: int = 2) -> bytes:
     """A bitmap with the hashed bits of a set; its width, a power of two of ``room`` bits an element, is the set's size band."""
     bits = max(64, 1 << int(room * len(s) - 1).bit_length()) if len(s) else 64
@@ -177,6 +189,23 @@ def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(_both(pairs, texts, "text").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
 
 
+def tiles_of(reps: DataFrame) -> DataFrame:
+    """(token, band, own, doc, n, pos, lead): the rows of tiles with two documents or more, ``own`` false for visitors; lead is the smallest document.
+
+    Shingles that stand in one prefix only, by far the most, are dropped by a count that
+    combines before its shuffle; what is left is joined, so that AQE can split a hot shingle.
+    """
+    tokens = reps.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("doc"), "n")
+    shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1").select("token"), "shared")
+    both = F.explode(F.array(F.lit(True), F.lit(False)))
+    rows = tokens.join(shared, "token").withColumn("own", both).withColumn("band", band(F.col("n")) + F.when(F.col("own"), 0).otherwise(1))
+    rows = materialize(rows.select("token", "band", "own", "doc", "n", "pos"), "tokens")
+    # a tile without documents of its own band has no pair that is not in another tile
+    lead = F.min(F.struct("doc", "n", "pos")).alias("lead")
+    full = rows.groupBy("token", "band").agg(F.count("*").alias("docs"), F.max("own").alias("any"), lead).where("docs > 1 and any").select("token", "band", "lead")
+    return materialize(rows.join(materialize(full, "full"), ["token", "band"]).select(*rows.columns, "lead"), "index")
+
+
 def star_pairs(index: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs of each tile's smallest document with the others, where sizes, places and bitmaps allow a link."""
     least = F.ceil(PERCENT * (F.col("n") + F.col("lead.n")) / (100 + PERCENT))
@@ -192,12 +221,12 @@ def star_pairs(index: DataFrame, sigs: DataFrame) -> DataFrame:
     return _both(pairs, sigs, "n", "bitmap").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(run, "a long, b long")
 
 
-def whole_tiles(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int) -> Iterator[pa.Table]:
-    """Cuts a stream sorted by keys into tables of whole groups, of about ``rows`` rows."""
+def whole_tiles(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Cuts a stream sorted by keys into tables of whole groups, of about TILE_ROWS rows or TILE_BYTES bytes."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         held.append(b)
-        if sum(x.num_rows for x in held) >= rows:
+        if sum(x.num_rows for x in held) >= TILE_ROWS or sum(x.nbytes for x in held) >= TILE_BYTES:
             t = pa.Table.from_batches(held)
             k = np.stack([np.asarray(t.column(c)) for c in keys], axis=1)
             new = np.flatnonzero((k[1:] != k[:-1]).any(axis=1))
@@ -216,28 +245,30 @@ def touching(index: DataFrame, components: DataFrame, sigs: DataFrame) -> DataFr
     a tile only needs pairs for which this holds.  Of tiles with the same documents the one
     whose shingle stands first in them is enough.
     """
-    tile = Window.partitionBy("token")
     label = F.coalesce("component", F.col("doc"))
-    member = index.select("token", "doc", "n", "pos").join(components.withColumnRenamed("id", "doc"), "doc", "left").select("token", "doc", "n", "pos", label.alias("label"))
-    by_size = tile.orderBy("n", "doc")
-    member = member.withColumns({"lo": F.min("label").over(tile), "hi": F.max("label").over(tile), "below": F.lag("n").over(by_size), "above": F.lead("n").over(by_size)})
-    member = member.where(f"lo <> hi and (100 * below >= {PERCENT} * n or 100 * n >= {PERCENT} * above)").drop("lo", "hi", "below", "above")
+    member = index.join(components.withColumnRenamed("id", "doc"), "doc", "left").select("token", "band", "own", "doc", "n", "pos", label.alias("label"))
     member = materialize(member, "members")
-    h = F.xxhash64("doc")
-    tiles = member.groupBy("token").agg(F.bit_xor(h).alias("k1"), F.sum(F.shiftright(h, 24)).alias("k2"), F.count("*").alias("size"), F.sum("pos").alias("at"))
-    tiles = tiles.groupBy("k1", "k2", "size").agg(F.min(F.struct("at", "token")).alias("t")).where("size > 1").select("t.token", "size")
+    h = F.xxhash64("doc", "own")
+    tiles = member.groupBy("token", "band").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(h).alias("k1"), F.sum(F.shiftright(h, 24)).alias("k2"), F.count("*").alias("size"), F.sum("pos").alias("at")
+    )
+    tiles = tiles.where("lo <> hi").groupBy("band", "k1", "k2", "size").agg(F.min(F.struct("at", "token")).alias("t")).select("t.token", "band", "size")
+    member = member.join(materialize(tiles, "tiles"), ["token", "band"])
     blocks = F.ceil(F.col("size") / BLOCK)
     mine = F.pmod(F.xxhash64("doc"), blocks)
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    dealt = member.join(tiles, "token").select("token", "doc", "n", "pos", "label", mine.cast("long").alias("block"), other.alias("other"))
+    dealt = member.select("token", "band", "own", "doc", "n", "pos", "label", mine.cast("long").alias("block"), other.alias("other"))
     dealt = dealt.join(sigs.select(F.col("doc_id").alias("doc"), "bitmap"), "doc")
-    dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "n", "pos", "label", "bitmap")
+    order = ("token", "band", "i", "j")
+    dealt = dealt.select("token", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "own", "doc", "n", "pos", "label", "bitmap")
 
     def run(batches):
-        for t in whole_tiles(batches, ("token", "i", "j"), 20_000):
-            token, i, j, block, doc, n, pos, label = (np.asarray(t.column(c)) for c in ("token", "i", "j", "block", "doc", "n", "pos", "label"))
+        for t in whole_tiles(batches, order):
+            keys = np.stack([np.asarray(t.column(c)) for c in order], axis=1)
+            i, j, block, doc, n, pos, label = (np.asarray(t.column(c)) for c in ("i", "j", "block", "doc", "n", "pos", "label"))
+            own = np.asarray(t.column("own").combine_chunks().cast(pa.int8())).astype(bool)
             maps = t.column("bitmap").to_pylist()
-            group = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            group = np.cumsum(np.concatenate([[False], (keys[1:] != keys[:-1]).any(axis=1)]))
             at = np.arange(len(doc))
             seen: list[np.ndarray] = []
             for d in range(1, len(doc)):
@@ -247,116 +278,150 @@ def touching(index: DataFrame, components: DataFrame, sigs: DataFrame) -> DataFr
                     break
                 x, y = at, at + d
                 least = need_both(n[x], n[y])
-                ok = (doc[x] != doc[y]) & (label[x] != label[y]) & ((i[x] == j[x]) | (block[x] != block[y])) & (n[x] - pos[x] >= least) & (n[y] - pos[y] >= least)
+                ok = (own[x] | own[y]) & (label[x] != label[y]) & ((i[x] == j[x]) | (block[x] != block[y])) & (n[x] - pos[x] >= least) & (n[y] - pos[y] >= least)
                 x, y = x[ok], y[ok]
                 ok = may_link(n[x], [maps[k] for k in x], n[y], [maps[k] for k in y])
-                seen.append(np.stack([np.minimum(label[x], label[y])[ok], np.maximum(label[x], label[y])[ok]], axis=1))
+                if ok.any():
+                    seen.append(np.unique(np.stack([np.minimum(label[x], label[y])[ok], np.maximum(label[x], label[y])[ok]], axis=1), axis=0))
             if seen:
                 pairs = np.unique(np.concatenate(seen), axis=0)
                 yield _batch((pairs[:, 0], pairs[:, 1]), "a long, b long")
 
-    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
 
 
-def wide_bitmaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc, n, bitmap) with wide bitmaps for the documents of ids (doc)."""
+def shingled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, n, bitmap, shingles) with wide bitmaps and sorted shingles for the documents of ids (doc)."""
+    schema = "doc long, n long, bitmap binary, shingles array<long>"
 
     def run(batches):
         for b in batches:
             sets = shingle_sets(b.column(1))
-            yield _batch((b.column(0), [len(s) for s in sets], [bitmap_of(s, WIDE) for s in sets]), "doc long, n long, bitmap binary")
+            yield _batch((b.column(0), [len(s) for s in sets], [bitmap_of(s, WIDE) for s in sets], [s.view(np.int64) for s in sets]), schema)
+
+    return docs.join(ids, docs["doc_id"] == ids["doc"], "left_semi").select("doc_id", "text").mapInArrow(run, schema)
 
-    return docs.join(ids, docs["doc_id"] == ids["doc"], "left_semi").select("doc_id", "text").mapInArrow(run, "doc long, n long, bitmap binary")
 
+class Block:
+    """Documents of one component: bitmaps and sorted shingles by document."""
 
-def touching_pairs(touch: DataFrame, components: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs of documents of touching components that wide bitmaps allow to link.
+    def __init__(self) -> None:
+        self.doc: list[int] = []
+        self.n: list[int] = []
+        self.bits: list[bytes] = []
+        self.sets: list[np.ndarray] = []
+        self.joined: set[int] = set()  # components that a link has joined to this one
+        self.sizes: np.ndarray | None = None
+
+    def link(self, doc: int, n: int, bits: bytes, s: np.ndarray) -> int | None:
+        """A document of the block that the given one links with, if any."""
+        have = self.sizes = np.array(self.n) if self.sizes is None else self.sizes
+        near = np.flatnonzero(need(np.maximum(have, n)) <= np.minimum(have, n))
+        for at in np.split(near, range(64, len(near), 64)):
+            ok = at[may_link(have[at], [self.bits[x] for x in at], np.full(len(at), n), [bits] * len(at))]
+            for x in ok:
+                both = len(np.intersect1d(self.sets[x], s, assume_unique=True))
+                if self.doc[x] != doc and 100 * both >= PERCENT * (n + self.n[x] - both):
+                    return self.doc[x]
+        return None
+
+
+def joining_links(touch: DataFrame, components: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between documents of touching components, one for each block and component that joins it.
 
     The larger component of each pair is a tile: its documents stand in blocks, and the
-    documents of the smaller ones ask every block.
+    documents of the smaller ones ask every block, until one of them links.
     """
     touch = materialize(touch, "touching")
     sizes = components.groupBy("component").agg(F.count("*").alias("size"))
     for end in ("a", "b"):
         touch = touch.join(sizes.select(F.col("component").alias(end), F.col("size").alias(f"size_{end}")), end, "left").fillna(1, [f"size_{end}"])
     swap = F.col("size_b") > F.col("size_a")
-    touch = touch.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("tile"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("asker"), F.ceil(F.greatest("size_a", "size_b") / BLOCK).alias("blocks"))
-    touch = materialize(touch, "tiles")
+    touch = materialize(touch.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("tile"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("asker")), "tiles")
 
     def members(rows: DataFrame, of: str) -> DataFrame:
         inside = rows.join(components.withColumnRenamed("component", of), of, "left")
         return inside.withColumn("doc", F.coalesce("id", of)).drop("id")
 
-    targets = members(touch.select("tile", "blocks").distinct(), "tile").select("tile", F.pmod(F.xxhash64("doc"), "blocks").cast("long").alias("block"), F.lit(False).alias("asks"), "doc")
-    asks = members(touch, "asker").select("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "doc").distinct()
-    rows = materialize(targets.unionByName(asks), "asks")
-    maps = materialize(wide_bitmaps(docs, materialize(rows.select("doc").distinct(), "ids", 1)), "wide")
+    held = materialize(members(touch.select("tile").distinct(), "tile").select("tile", "doc"), "held")
+    asks = materialize(members(touch, "asker").select("tile", "asker", "doc"), "asks")
+    ids = materialize(held.select("doc").unionByName(asks.select("doc")).distinct(), "ids", 1)
+    sets = materialize(shingled(docs, ids), "shingled")
+    held = held.join(sets, "doc")
+    blocks = held.groupBy("tile").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).alias("blocks"))
+    blocks = materialize(blocks, "blocks")
+    held = held.join(blocks, "tile").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("long")).withColumn("asker", F.lit(None).cast("long"))
+    asks = asks.join(blocks, "tile").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(sets, "doc")
+    cols = ("tile", "block", "asker", "doc", "n", "bitmap", "shingles")
 
     def run(batches):
-        now, held = None, []
+        now, block = None, Block()
         for b in batches:
-            tile, block, doc, n = (np.asarray(b.column(c)) for c in ("tile", "block", "doc", "n"))
-            asks, bits = np.asarray(b.column("asks").cast(pa.int8())), b.column("bitmap").to_pylist()
-            cuts = np.flatnonzero((tile[1:] != tile[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1
-            for i, j in zip([0, *cuts], [*cuts, len(doc)], strict=True):
-                if j == i:
-                    continue
-                if (tile[i], block[i]) != now:
-                    now, held = (tile[i], block[i]), []
-                if not asks[i]:
-                    held += zip(doc[i:j].tolist(), n[i:j].tolist(), bits[i:j], strict=True)
-                    continue
-                if not held:
-                    continue
-                hd, hn = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-                for k in range(i, j):
-                    near = np.flatnonzero(need(np.maximum(hn, n[k])) <= np.minimum(hn, n[k]))
-                    ok = near[may_link(hn[near], [held[x][2] for x in near], np.full(len(near), n[k]), [bits[k]] * len(near))]
-                    ok = ok[hd[ok] != doc[k]]
-                    if len(ok):
-                        yield _batch((np.minimum(hd[ok], doc[k]), np.maximum(hd[ok], doc[k])), "a long, b long")
-
-    dealt = rows.join(maps, "doc").repartition("tile", "block").sortWithinPartitions("tile", "block", "asks")
-    return dealt.select("tile", "block", "asks", "doc", "n", "bitmap").mapInArrow(run, "a long, b long").distinct()
+            found: list[tuple[int, int]] = []
+            tile, at, asker, doc, n, bits = (b.column(c).to_pylist() for c in cols[:-1])
+            sets = b.column("shingles")
+            for k in range(b.num_rows):
+                if (tile[k], at[k]) != now:
+                    now, block = (tile[k], at[k]), Block()
+                s = np.asarray(sets[k].values).view(np.uint64)
+                if asker[k] is None:
+                    block.doc.append(doc[k])
+                    block.n.append(n[k])
+                    block.bits.append(bits[k])
+                    block.sets.append(s)
+                elif asker[k] not in block.joined and block.doc:
+                    other = block.link(doc[k], n[k], bits[k], s)
+                    if other is not None:
+                        block.joined.add(asker[k])
+                        found.append((min(other, doc[k]), max(other, doc[k])))
+            if found:
+                yield _batch(zip(*found, strict=True), "a long, b long")
+
+    dealt = held.select(*cols).unionByName(asks.select(*cols)).repartition("tile", "block").sortWithinPartitions("tile", "block", F.col("asker").asc_nulls_first(), "doc")
+    return materialize(dealt.mapInArrow(run, "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, checked: Callable[[DataFrame], None] | None = None) -> DataFrame:
-    """Near-duplicate components of documents (doc_id, text) by 5-word shingles.
+    """Near-duplicate components of documents (doc_id, text, ...) by 5-word shingles.
 
     Returns one row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable
     by links, itself included).  Shingles are compared by 64-bit hashes.  Null and blank texts have
     no shingles and stand alone.  Rows without doc_id stand alone and have a null component; rows
-    of one doc_id count as one document.  An empty table gives an empty result.
+    of one doc_id count as one document with several texts.  Other columns are not read; texts of
+    any length are compared whole; an empty table gives an empty result.
     ``checked`` gets the table of verified links, for tests.
     """
     arrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sigs = materialize(signatures(docs, frequent_shingles(docs)), "signatures")
     named = sigs.where("n > 0 and doc_id is not null")
-    first = named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    copies = materialize(named.select("doc_id", "k1", "k2", "n").join(first, ["k1", "k2", "n"]).where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep")), "copies")
-    reps = named.join(copies, "doc_id", "left_anti")
-
-    tile = Window.partitionBy("token")
-    tokens = reps.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("doc"), "n")
-    index = tokens.withColumns({"size": F.count("*").over(tile), "lead": F.min(F.struct("doc", "n", "pos")).over(tile)}).where("size > 1")
-    index = materialize(index.select("token", "doc", "n", "pos", "lead"), "index")
-
+    sets = named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    copies = named.select("doc_id", "k1", "k2", "n").join(materialize(sets, "sets"), ["k1", "k2", "n"]).where("doc_id <> rep")
+    copies = materialize(copies.select("doc_id", "rep", "k1", "k2").distinct(), "copies")
+    reps = named.join(copies.drop("rep"), ["doc_id", "k1", "k2"], "left_anti")
+    # an id with several texts may link with others by each of them
+    several = named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    several = copies.join(materialize(several, "several"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    rep_of = copies.groupBy("doc_id").agg(F.min("rep").alias("rep"))
+
+    index = tiles_of(reps)
     links = _exact(star_pairs(index, sigs), docs)
-    near = materialize(connected_components(links), "components")
-    more = _exact(touching_pairs(touching(index, near, sigs), near, docs), docs)
+    near = materialize(connected_components(links.unionByName(several)), "components")
+    more = joining_links(touching(index, near, sigs), near, docs)
     if checked:
         checked(links.unionByName(more))
-    if more.isEmpty():
-        joined = near
-    else:
-        joined = connected_components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
-    out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(copies, "doc_id", "left")
-    out = out.withColumn("rep", F.coalesce("rep", "doc_id")).join(joined.withColumnRenamed("id", "rep"), "rep", "left")
+    if not more.isEmpty():
+        near = connected_components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(rep_of, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    out = out.join(near.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text, ...) that represent their component: the one of the smallest id, and rows without id."""
+    """The rows of docs (doc_id, text, ...) that represent their component: those of the smallest id, and rows without id.
+
+    Null and blank texts stand alone and stay, and so do rows that repeat the id of a row that
+    stays; all columns of docs are returned as they are; an empty table stays empty.
+    """
     gone = jaccard_components(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)

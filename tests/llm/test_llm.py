@@ -395,6 +395,38 @@ def test_hot_cells_are_cut_into_blocks(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got} == {(99, 0)}
 
 
+@pytest.mark.parametrize("lines", [1, 2, 3, 4])
+def test_recall_is_alike_for_every_number_of_strip_lines(spark, lines):
+    rng = np.random.default_rng(lines)
+    base = rng.standard_normal((150, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.standard_normal((450, 24))
+    x = base[np.arange(450) % 150] + 0.195 * off / np.linalg.norm(off, axis=1, keepdims=True) * rng.uniform(0.2, 1, (450, 1))
+    x = np.concatenate([base, x, base[:40], 2 * base[:20], base[:40]])
+    schema = "vec_id long, embedding array<double>, label string"
+    df = spark.createDataFrame([(i, r.tolist(), "a") for i, r in enumerate(x)], schema)
+    got = sorted(embed_dups.near_duplicates(df, strip_lines=((0, lines),)).collect())
+    n = np.linalg.norm(x, axis=1)
+    cos = x @ x.T / np.outer(n, n)
+    link = (cos >= 0.98) & ~np.eye(len(x), dtype=bool)
+    have = np.array([r.n_links for r in got])
+    assert (have <= link.sum(axis=1) + ((np.abs(cos - 0.98) < 1e-12).sum(axis=1))).all()
+    assert have.sum() >= 0.99 * link.sum() and link.sum() > 1000
+    assert (have[600:640] >= 2).all()
+
+
+def test_copies_of_a_vector_are_compared_once(spark):
+    rows = [(i, [1.0, 2.0, 0.0], 1) for i in range(3000)] + [(5000, [1.0, 2.0, 0.05], 1), (6000, [1.0, 2.0, -0.0], 1), (7000, [1.0, 2.0, 0.0], 2)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dups.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert {got[i] for i in (*range(3000), 6000)} == {(3001, 0)} and got[5000] == (3001, 0) and got[7000] == (0, 7000)
+
+
+def test_strips_part_the_same_share():
+    d = np.abs(np.random.default_rng(5).standard_normal((400_000, 4)))
+    for k in (1, 2, 3, 4):
+        assert abs((d[:, :k] > embed_dups.strip_width(k)).any(axis=1).mean() - embed_dups.PARTED) < 0.001
+
+
 def test_collisions_are_calibrated():
     k = embed_dups.least_collisions()
     d = np.abs(np.random.default_rng(3).standard_normal((40_000, embed_dups.LINES)))
