@@ -3,13 +3,14 @@
 1. Each document becomes its set of shingles; equal sets are merged (one representative each).
 2. Sets are put in one order: shingles that are frequent in the corpus last, the others by
    hash.  Two sets that link share a shingle among the first n - ceil(0.75 n) + 1 of each
-   (prefix filtering).  Their sizes differ by a third at most, so they stand in the same size
-   band or in neighbouring ones.  A tile holds the documents of one band that share such a
-   shingle, and as visitors those of the band below.
-3. In each tile the document of the smallest id is compared with the others: a number of pairs
-   linear in the tile.  Components of these links merge large groups of near copies.
-4. What is left are tiles with documents of different components.  Pairs whose places and
-   bitmaps allow enough overlap say which components may touch.
+   (prefix filtering).
+3. The document of the smallest id that has such a shingle is compared with the others that
+   have it: a number of pairs linear in these.  Components of these links merge large groups
+   of near copies.
+4. What is left are shingles of different components.  Sizes of sets that link differ by a third
+   at most, so they stand in one size band or in neighbouring ones.  A tile holds the documents
+   of one band that share a shingle, and as visitors those of the band below.  Pairs of a tile
+   whose places and bitmaps allow enough overlap say which components may touch.
 5. Each such component is a tile once more, cut into blocks, with the sorted shingles of its
    documents.  Documents of the others are compared with it, by bitmaps first and then exactly,
    until one link joins both components; only such links leave a task.
@@ -22,7 +23,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, connected_components, materialize
@@ -57,7 +58,7 @@ def need_both(na, nb):
 
 def band(n: Column) -> Column:
     """The size band of a set: sizes of sets that link are in one band or in neighbouring ones."""
-    return F.floor(F.log(n.cast("double")) / math.log(100 / PERCENT) - 1e-9).cast("int")
+    return F.greatest(F.lit(0), F.floor(F.log(n.cast("double")) / math.log(100 / PERCENT) - 1e-9)).cast("int")
 
 
 def bitmap_of(s: np.ndarray, room: int = 2) -> bytes:
@@ -141,24 +142,26 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, k1, k2, prefix, bitmap): size, 128-bit key, first shingles in the common order, bitmap."""
-    schema = "doc_id long, n long, k1 long, k2 long, prefix array<long>, bitmap binary"
+    """(doc_id, n, k1, k2, prefix, rare, bitmap): size, 128-bit key, first shingles in the common order, how many of them are not frequent, bitmap."""
+    schema = "doc_id long, n long, k1 long, k2 long, prefix array<long>, rare long, bitmap binary"
 
     def run(batches):
         for b in batches:
             sets = shingle_sets(b.column(1))
-            k1, k2, prefix, maps = [], [], [], []
+            k1, k2, prefix, rare, maps = [], [], [], [], []
             for s in sets:
                 k1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                 k2.append(int(mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
                 if len(frequent) and len(s):
                     hot = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                     ordered = np.concatenate([s[~hot], s[hot]])
+                    rare.append(len(s) - int(hot.sum()))
                 else:
                     ordered = s
+                    rare.append(len(s))
                 prefix.append(ordered[: len(s) - need(len(s)) + 1 if len(s) else 0].view(np.int64))
                 maps.append(bitmap_of(s))
-            yield _batch((b.column(0), [len(s) for s in sets], k1, k2, prefix, maps), schema)
+            yield _batch((b.column(0), [len(s) for s in sets], k1, k2, prefix, rare, maps), schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -189,25 +192,28 @@ def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(_both(pairs, texts, "text").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
 
 
-def tiles_of(reps: DataFrame) -> DataFrame:
-    """(token, band, own, doc, n, pos, lead): the rows of tiles with two documents or more, ``own`` false for visitors; lead is the smallest document.
+def shared_shingles(reps: DataFrame) -> DataFrame:
+    """(token, doc, n, pos, lead, bands): the places of shingles that stand in several prefixes.
 
-    Shingles that stand in one prefix only, by far the most, are dropped by a count that
-    combines before its shuffle; what is left is joined, so that AQE can split a hot shingle.
+    lead is the smallest document of a shingle, bands has a bit for each size band of its
+    documents.  A shingle that is not frequent makes up so small a share of all that its rows
+    fit a task's sort: these are dealt once and looked at by windows.  Frequent ones are counted
+    with a combining aggregate and joined, so that AQE can split a hot shingle.
     """
-    tokens = reps.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("doc"), "n")
-    shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1").select("token"), "shared")
-    both = F.explode(F.array(F.lit(True), F.lit(False)))
-    rows = tokens.join(shared, "token").withColumn("own", both).withColumn("band", band(F.col("n")) + F.when(F.col("own"), 0).otherwise(1))
-    rows = materialize(rows.select("token", "band", "own", "doc", "n", "pos"), "tokens")
-    # a tile without documents of its own band has no pair that is not in another tile
-    lead = F.min(F.struct("doc", "n", "pos")).alias("lead")
-    full = rows.groupBy("token", "band").agg(F.count("*").alias("docs"), F.max("own").alias("any"), lead).where("docs > 1 and any").select("token", "band", "lead")
-    return materialize(rows.join(materialize(full, "full"), ["token", "band"]).select(*rows.columns, "lead"), "index")
+    tokens = reps.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("doc"), "n", "rare")
+    bit = F.expr("shiftleft(1L, least(band, 62))")
+    found = {"docs": F.count("*"), "lead": F.min(F.struct("doc", "n", "pos")), "bands": F.bit_or(bit)}
+    cols = ("token", "doc", "n", "pos", "lead", "bands")
+    tile = Window.partitionBy("token")
+    rare = tokens.where("pos < rare").drop("rare").withColumn("band", band(F.col("n")))
+    rare = rare.withColumns({k: v.over(tile) for k, v in found.items()}).where("docs > 1").select(*cols)
+    often = tokens.where("pos >= rare").drop("rare").withColumn("band", band(F.col("n")))
+    shared = materialize(often.groupBy("token").agg(*[v.alias(k) for k, v in found.items()]).where("docs > 1"), "shared")
+    return materialize(rare.unionByName(often.join(shared, "token").select(*cols)), "index")
 
 
 def star_pairs(index: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs of each tile's smallest document with the others, where sizes, places and bitmaps allow a link."""
+    """Pairs of the smallest document of each shingle with the others, where sizes, places and bitmaps allow a link."""
     least = F.ceil(PERCENT * (F.col("n") + F.col("lead.n")) / (100 + PERCENT))
     near = (F.col("doc") != F.col("lead.doc")) & (F.col("n") - F.col("pos") >= least) & (F.col("lead.n") - F.col("lead.pos") >= least)
     pairs = index.where(near).select(F.col("lead.doc").alias("a"), F.col("doc").alias("b")).distinct()
@@ -241,18 +247,26 @@ def whole_tiles(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Ite
 def touching(index: DataFrame, components: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs of components (a, b) with documents in one tile whose sizes, places and bitmaps allow a link.
 
-    If a pair links, its first common shingle leaves both sets enough elements behind it, so
-    a tile only needs pairs for which this holds.  Of tiles with the same documents the one
-    whose shingle stands first in them is enough.
+    A tile (token, band) holds the documents of a size band that share a shingle, and as visitors
+    those of the band below; only shingles of several components have tiles.  If a pair links,
+    its first common shingle leaves both sets enough elements behind it, so a tile only needs
+    pairs for which this holds.  Of tiles with the same documents the one whose shingle stands
+    first in them is enough.
     """
     label = F.coalesce("component", F.col("doc"))
-    member = index.join(components.withColumnRenamed("id", "doc"), "doc", "left").select("token", "band", "own", "doc", "n", "pos", label.alias("label"))
+    member = index.join(components.withColumnRenamed("id", "doc"), "doc", "left").select("token", "doc", "n", "pos", "bands", label.alias("label"))
     member = materialize(member, "members")
+    mixed = member.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    above = F.expr("bands & shiftleft(1L, least(own_band + 1, 62))") != 0
+    member = member.join(materialize(mixed, "mixed"), "token").withColumn("own_band", band(F.col("n")))
+    member = member.withColumn("own", F.explode(F.when(above, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    member = member.withColumn("band", F.col("own_band") + F.when(F.col("own"), 0).otherwise(1)).select("token", "band", "own", "doc", "n", "pos", "label")
+    member = materialize(member, "placed")
     h = F.xxhash64("doc", "own")
     tiles = member.groupBy("token", "band").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(h).alias("k1"), F.sum(F.shiftright(h, 24)).alias("k2"), F.count("*").alias("size"), F.sum("pos").alias("at")
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("own").alias("any"), F.bit_xor(h).alias("k1"), F.sum(F.shiftright(h, 24)).alias("k2"), F.count("*").alias("size"), F.sum("pos").alias("at")
     )
-    tiles = tiles.where("lo <> hi").groupBy("band", "k1", "k2", "size").agg(F.min(F.struct("at", "token")).alias("t")).select("t.token", "band", "size")
+    tiles = tiles.where("lo <> hi and any").groupBy("band", "k1", "k2", "size").agg(F.min(F.struct("at", "token")).alias("t")).select("t.token", "band", "size")
     member = member.join(materialize(tiles, "tiles"), ["token", "band"])
     blocks = F.ceil(F.col("size") / BLOCK)
     mine = F.pmod(F.xxhash64("doc"), blocks)
@@ -404,7 +418,7 @@ def jaccard_components(docs: DataFrame, checked: Callable[[DataFrame], None] | N
     several = copies.join(materialize(several, "several"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     rep_of = copies.groupBy("doc_id").agg(F.min("rep").alias("rep"))
 
-    index = tiles_of(reps)
+    index = shared_shingles(reps)
     links = _exact(star_pairs(index, sigs), docs)
     near = materialize(connected_components(links.unionByName(several)), "components")
     more = joining_links(touching(index, near, sigs), near, docs)
