@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import r6, ratio
+from ..functions.columns import flags, r6, ratio
+from ..sources.scratch import written
 
 
 def inverted_index(entries: DataFrame) -> DataFrame:
@@ -21,18 +22,21 @@ def universe(tools: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.groupingSets([[], ["modality"], ["kind"], ["modality", "kind"]], "modality", "kind").agg(level.alias("level"), F.count("*").alias("tools"), F.count("known").alias("with_source"))
 
 
-def closure(edges: DataFrame, most: int = 32) -> DataFrame:
-    """All (tool, needs) pairs reachable over dependency edges (tool, needs), by doubling; circles are fine."""
-    paths = edges.select("tool", "needs").distinct()
-    size = paths.count()
-    for _ in range(most):
-        further = paths.alias("a").join(paths.alias("b"), F.col("a.needs") == F.col("b.tool")).select("a.tool", "b.needs")
-        paths = paths.unionByName(further).distinct().checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else paths.unionByName(further).distinct()
-        now = paths.count()
-        if now == size:
-            return paths
-        size = now
-    raise RuntimeError("dependencies go too deep")
+def closure(edges: DataFrame) -> DataFrame:
+    """All (tool, needs) pairs reachable over dependency edges (tool, needs); circles are fine.
+
+    Each round joins only the paths found last with all paths, which doubles their length, and
+    writes what is new; so there are as many rounds as the logarithm of the longest path.
+    """
+    newest = written(edges.select("tool", "needs").distinct(), "paths")
+    paths = newest
+    while not newest.isEmpty():
+        a, b = newest.alias("a"), paths.alias("b")
+        ahead = a.join(b, F.col("a.needs") == F.col("b.tool")).select("a.tool", "b.needs")
+        behind = b.join(a, F.col("b.needs") == F.col("a.tool")).select("b.tool", "a.needs")
+        newest = written(ahead.unionByName(behind).distinct().join(paths, ["tool", "needs"], "left_anti"), "paths")
+        paths = paths.unionByName(newest)
+    return paths
 
 
 def infer_modality(questions: DataFrame, hints: dict[str, list[str]]) -> DataFrame:
@@ -118,3 +122,50 @@ def padded_sequences(rows: DataFrame, length: int) -> DataFrame:
     rows = rows.withColumn("m", mid).withColumn("z", ratio(F.col("x") - F.col("m"), 1.4826 * F.median(F.abs(F.col("x") - F.col("m"))).over(whole))).withColumn("k", F.row_number().over(whole.orderBy("idx"))).where(F.col("k") <= length)
     out = rows.groupBy("record").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "z"))), lambda s: r6(F.least(F.greatest(s["z"], F.lit(-6.0)), F.lit(6.0)))).alias("z"))
     return out.select("record", F.size("z").cast("long").alias("n"), F.concat("z", F.array_repeat(F.lit(0.0), length - F.size("z"))).alias("sequence"))
+
+
+def tool_profile(tools: DataFrame) -> DataFrame:
+    """Kind, evidence, failure modes and limitation of tools (tool, modality, name, text) by words in their name and description."""
+    text = F.lower(F.concat_ws(" ", "name", "text"))
+    has = lambda c, *words: F.coalesce(F.greatest(*[F.contains(c, F.lit(w)) for w in words], F.lit(False)), F.lit(False))
+    kind = F.when(has(text, "_dl", "_cnn", "_ml", "deep", "model", "classif"), "learned").when(has(text, "proxy", "screen_", "estimate_", "risk"), "rule").otherwise("signal_processing")
+    evidence = F.when(has(text, "proxy"), "proxy").when(has(text, "trained", "benchmark", "auroc", "f1", "mae"), "benchmarked").when(has(text, "quality", "detect", "compute", "summarize", "estimate"), "algorithmic").otherwise("experimental")
+    name, image = F.lower("name"), F.lower("modality") == "image"
+    modes = flags(
+        (F.lit(True), "artifact_or_motion"), (has(name, "peak", "hrv"), "false_peaks"), (F.lit(True), "low_signal_quality"), (has(name, "digitize") | image, "missing_axis_scale"),
+        (has(name, "peak", "hrv"), "missed_peaks"), (F.lit(True), "out_of_distribution"), (has(name, "proxy", "screen"), "proxy_not_diagnostic"), (has(name, "digitize") | image, "unclear_trace"),
+    )
+    limit = F.when(evidence == "proxy", "screening_only").when(image, "depends_on_visible_trace").when(evidence == "benchmarked", "validated_on_listed_data").otherwise("check_signal_quality")
+    return tools.select("tool", kind.alias("kind"), evidence.alias("evidence"), F.array_join(modes, ",").alias("failure_modes"), limit.alias("limitation"))
+
+
+#: What an ablation switches off: words in the names of tools.
+ABLATIONS = {"modality_router": ("classify_modality",), "scale": ("scale", "ocr"), "digitization": ("digitize",), "quality_gate": ("assess_quality",), "learned": ("_dl", "_cnn", "_ml", "classify")}
+
+
+def ablate(plans: DataFrame, off: str) -> DataFrame:
+    """Plans (id, tools array) without the tools that the ablation ``off`` removes, each tool once, in order."""
+    kept = F.filter(F.array_distinct("tools"), lambda t: ~F.greatest(*[F.contains(F.lower(t), F.lit(w)) for w in ABLATIONS[off]], F.lit(False)))
+    return plans.select("id", F.size(F.array_distinct("tools")).alias("before"), F.size(kept).alias("after"), F.array_join(kept, ",").alias("tools"))
+
+
+def missing_categories(cases: DataFrame, stage: str) -> DataFrame:
+    """Why tools are missing from a case (id, missing array, task, input, modality): the first category that fits."""
+    names = F.lower(F.array_join("missing", " "))
+    has = lambda *words: F.greatest(*[F.contains(names, F.lit(w)) for w in words], F.lit(False))
+    category = (
+        F.when(has("classify_modality"), "modality_router")
+        .when(has("scale", "ocr", "axis"), "scale_ocr")
+        .when(has("digitize") | (F.col("task") == "image_to_signal_digitization") | (F.col("input") == "image"), "image_digitization")
+        .when(has("quality"), "quality_gate")
+        .when(has("proxy", "screen"), "screening_or_proxy_tool")
+        .when(F.contains("modality", F.lit("+")) | (F.col("input") == "session"), "multimodal_tool")
+        .otherwise("expected_tool")
+    )
+    return cases.where(F.size("missing") > 0).select("id", F.concat(F.lit(f"{stage}_"), category, F.lit("_missing")).alias("category"))
+
+
+def metric_snippets(entries: DataFrame, words: tuple[str, ...] = ("f1", "auroc", "accuracy", "mae", "recall", "specificity")) -> DataFrame:
+    """The notes of entries (id, notes array) that name a measure, in order."""
+    found = F.filter("notes", lambda n: F.greatest(*[F.contains(F.lower(n), F.lit(w)) for w in words], F.lit(False)))
+    return entries.select("id", F.size(found).alias("n"), F.array_join(found, " | ").alias("snippets"))

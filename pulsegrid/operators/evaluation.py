@@ -15,30 +15,71 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.replace(text, F.lit("-"), F.lit("_"))), F.lit(TOKEN), 0)
 
 
+#: Rows of a table of asked tokens that may be sent to every task.
+SMALL = 200_000
+
+
+def _small(asked: DataFrame) -> DataFrame:
+    """asked with a broadcast hint where it is checked to have no more than SMALL rows; else Catalyst joins it as it sees fit."""
+    return F.broadcast(asked) if asked.limit(SMALL + 1).count() <= SMALL else asked
+
+
 def tfidf_top(queries: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
     """The k best entries of a catalog (id, text) for each query (q, text).
 
     A token of the query that an entry holds tf times adds (1 + ln tf) (ln((1 + N) / (1 + df)) + 1),
     as often as the query has it; ties go to the smaller id.
+
+    Entries are dealt by id once, so counts and scores of an entry stay in its task; the best k
+    of each task go on.
     """
     asked = queries.select("q", F.explode(tokens(F.col("text"))).alias("token")).groupBy("q", "token").agg(F.count("*").alias("m"))
-    # only tokens that are asked for are counted and scored; the others go before the shuffle where the queries are few
-    words = catalog.select("id", F.explode(tokens(F.col("text"))).alias("token"))
-    held = words.join(asked.select("token").distinct(), "token", "left_semi").groupBy("id", "token").agg(F.count("*").alias("tf"))
+    words = catalog.select("id", "text").repartition("id").select("id", F.explode(tokens(F.col("text"))).alias("token"))
+    held = words.join(_small(asked.select("token").distinct()), "token", "left_semi").groupBy("id", "token").agg(F.count("*").alias("tf"))
     df = held.groupBy("token").agg(F.count("*").alias("df"))
     total = catalog.agg(F.count("*").alias("total"))
     idf = df.crossJoin(total).select("token", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
-    part = F.col("m") * (1 + F.log("tf")) * F.col("idf")
-    score = asked.join(idf, "token").join(held, "token").groupBy("q", "id").agg(r6(F.sum(part)).alias("score"))
+    weights = _small(asked.join(idf, "token").select("q", "token", (F.col("m") * F.col("idf")).alias("weight")))
+    score = held.join(weights, "token").groupBy("q", "id").agg(r6(F.sum(F.col("weight") * (1 + F.log("tf")))).alias("score"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     return score.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
+def retrieve(queries: DataFrame, catalog: DataFrame, k: int, boost: float = 0.5) -> DataFrame:
+    """The k entries of a catalog (id, name, modality, text) for queries (q, text, modality), with fallback by modality.
+
+    Candidates are the entries of the query's modality and those of modality any; of a query
+    without modality, all.  Scores are those of ``tfidf_top`` plus ``boost`` where a token of the
+    query is a word of the name (between underscores and spaces); ties go by name.  With a
+    modality the best entries come first and others of it follow by name until there are k.
+    """
+    asked = queries.select("q", "modality", F.explode(tokens(F.col("text"))).alias("token")).groupBy("q", "modality", "token").agg(F.count("*").alias("m"))
+    words = catalog.repartition("id").select("id", "name", F.lower("modality").alias("of"), F.explode(tokens(F.col("text"))).alias("token"))
+    held = words.join(_small(asked.select("token").distinct()), "token", "left_semi").groupBy("id", "name", "of", "token").agg(F.count("*").alias("tf"))
+    idf = held.groupBy("token").agg(F.count("*").alias("df")).crossJoin(catalog.agg(F.count("*").alias("total")))
+    idf = idf.select("token", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weights = _small(asked.join(idf, "token").select("q", "modality", "token", (F.col("m") * F.col("idf")).alias("weight")))
+    fits = F.col("modality").isNull() | F.col("of").isin("any") | (F.col("of") == F.lower("modality"))
+    hits = held.join(weights, "token").where(fits).select("q", "id", "name", (F.col("weight") * (1 + F.log("tf"))).alias("part"))
+    named = catalog.repartition("id").select("id", "name", F.lower("modality").alias("of"), F.explode(F.array_distinct(F.split(F.lower("name"), "[ _-]+"))).alias("token"))
+    named = named.join(_small(asked.select("q", "modality", "token")), "token").where(fits).select("q", "id", "name").distinct().withColumn("part", F.lit(boost))
+    first = Window.partitionBy("of").orderBy("name", "id")
+    fill = catalog.select("id", "name", F.lower("modality").alias("of")).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= 2 * k)
+    fill = fill.withColumn("on", F.col("of")).join(queries.where("modality is not null").select("q", F.explode(F.array_distinct(F.array(F.lower("modality"), F.lit("any")))).alias("on")), "on")
+    rows = hits.unionByName(named).unionByName(fill.select("q", "id", "name", F.lit(0.0).alias("part")))
+    score = rows.groupBy("q", "id", "name").agg(r6(F.sum("part")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "name", "id"))
+    return score.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("q", "id", "score", "rank")
+
+
 def replay(queries: DataFrame, known: DataFrame, least: int = 3) -> DataFrame:
-    """The known question (id, text) each query (q, text) replays: of equal text, else of most shared tokens, at least ``least``; the smaller id of equals."""
+    """The known question (id, text) each query (q, text) replays: of equal text, else of most shared tokens, at least ``least``; the smaller id of equals.
+
+    Known questions are dealt by id once; each task counts the tokens its own share with the queries.
+    """
     same = queries.join(known, "text").groupBy("q").agg(F.min("id").alias("same"))
     words = lambda d, key: d.select(key, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    shared = words(queries, "q").join(words(known, "id"), "token").groupBy("q", "id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    shared = words(known.repartition("id"), "id").join(_small(words(queries, "q")), "token").groupBy("q", "id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("n"), "id"))
     best = shared.withColumn("rank", rank).where("rank = 1").select("q", F.col("id").alias("near"), "n")
     out = queries.select("q").join(same, "q", "left").join(best, "q", "left")
@@ -81,10 +122,17 @@ def hash_split(cases: DataFrame, seed: str) -> DataFrame:
     """held_out, dev or train for cases (id, task, modality): first by hash within a stratum (task, modality).
 
     max(1, round(0.2 n)) are held out where n >= 5, then max(1, round(0.1 n)) are dev where n >= 8; round goes half to even.
+    A stratum of any size is ordered in buckets by the first digits of the hash, placed by counts of the buckets before.
     """
     h = F.sha2(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"), "task", "modality"), 256)
-    stratum = Window.partitionBy("task", "modality")
-    rows = cases.withColumn("h", h).withColumn("k", F.row_number().over(stratum.orderBy("h"))).withColumn("n", F.count("*").over(stratum))
+    rows = cases.withColumn("h", h).withColumn("bucket", F.substring("h", 1, 3))
+    stratum, bucket = ["task", "modality"], ["task", "modality", "bucket"]
+    sizes = rows.groupBy(*bucket).agg(F.count("*").alias("size"))
+    ahead = F.sum("size").over(Window.partitionBy(*stratum).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumns({"ahead": F.coalesce(ahead, F.lit(0)), "n": F.sum("size").over(Window.partitionBy(*stratum))}).drop("size")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in bucket]
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*bucket).orderBy("h"))).alias("r").join(sizes.alias("s"), same)
+    rows = rows.select("id", "r.task", "r.modality", "n", (F.col("ahead") + F.col("nth")).alias("k"))
     held = F.when(F.col("n") >= 5, F.greatest(F.lit(1.0), F.bround(0.2 * F.col("n")))).otherwise(0.0)
     dev = F.when(F.col("n") >= 8, F.greatest(F.lit(1.0), F.bround(0.1 * F.col("n")))).otherwise(0.0)
     return rows.select("id", "task", "modality", F.when(F.col("k") <= held, "held_out").when(F.col("k") <= held + dev, "dev").otherwise("train").alias("split"))

@@ -172,3 +172,53 @@ def match_events(detected: DataFrame, truth: DataFrame, tolerance: float) -> Dat
         F.col("record").cast("long"), "tp", (F.col("d") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"),
         F.bround(p, 6).alias("precision"), F.bround(r, 6).alias("recall"), F.bround(f1, 6).alias("f1"),
     )
+
+
+def match_intervals(detected: DataFrame, truth: DataFrame, rule: str, tolerance: float) -> DataFrame:
+    """One-to-one matching of intervals (record, start, end) in order, by one of three rules: record, tp, fp, fn, precision, recall, f1, mean_iou.
+
+    ``edges``: each detection takes the free truth with both ends within tolerance and the least sum of differences.
+    ``overlap``: each takes the free truth it overlaps most, for ``tolerance`` seconds at least.
+    ``after``: each truth takes the first free detection that starts at most ``tolerance`` after its start.
+    The first of equals counts.  No match reaches across a gap of more than the tolerance, so a
+    record is cut there, and only pieces with both sides are scanned, each in a group of its own.
+    """
+
+    def score(a: tuple, b: tuple) -> float | None:
+        if rule == "edges":
+            ok = abs(a[0] - b[0]) <= tolerance and abs(a[1] - b[1]) <= tolerance
+            return abs(a[0] - b[0]) + abs(a[1] - b[1]) if ok else None
+        if rule == "overlap":
+            shared = min(a[1], b[1]) - max(a[0], b[0])
+            return -shared if shared > 0 and shared >= tolerance else None
+        return b[0] - a[0] if 0 <= b[0] - a[0] <= tolerance else None
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["start", "end"])
+        sides = [list(zip(g.start, g.end, strict=True)) for g in (pdf[pdf.side == 0], pdf[pdf.side == 1])]
+        asks, held = sides if rule != "after" else sides[::-1]
+        free, iou = set(range(len(held))), []
+        for a in asks:
+            near = [(s, j) for j in sorted(free) if (s := score(a, held[j])) is not None]
+            if near:
+                b = held[min(near)[1]]
+                free.discard(min(near)[1])
+                iou.append(max(0.0, min(a[1], b[1]) - max(a[0], b[0])) / max(max(a[1], b[1]) - min(a[0], b[0]), 1e-12))
+        return pd.DataFrame({"record": [pdf.record.iloc[0]], "d": [0], "t": [0], "tp": [len(iou)], "iou": [float(sum(iou))]})
+
+    side = lambda d, k: d.select("record", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.lit(k).alias("side"))
+    both = side(detected, 0).unionByName(side(truth, 1))
+    order = _by("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col("start") > reach + max(tolerance, 0.0)).cast("int"), F.lit(1))
+    pieces = both.withColumn("new", new).withColumn("piece", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    piece = Window.partitionBy("record", "piece")
+    mixed = pieces.withColumn("mixed", F.min("side").over(piece) < F.max("side").over(piece)).where("mixed")
+    matched = mixed.select("record", "piece", "start", "end", "side").groupBy("record", "piece").applyInPandas(match, "record long, d long, t long, tp long, iou double")
+    counts = both.groupBy("record").agg(F.count_if(F.col("side") == 0).alias("d"), F.count_if(F.col("side") == 1).alias("t"), F.lit(0).cast("long").alias("tp"), F.lit(0.0).alias("iou"))
+    out = counts.unionByName(matched).groupBy("record").agg(*[F.sum(c).alias(c) for c in ("d", "t", "tp", "iou")])
+    p, r = ratio(F.col("tp"), F.col("d")), ratio(F.col("tp"), F.col("t"))
+    return out.select(
+        F.col("record").cast("long"), "tp", (F.col("d") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"), F.bround(p, 6).alias("precision"), F.bround(r, 6).alias("recall"),
+        F.bround(ratio(2 * p * r, p + r), 6).alias("f1"), F.bround(ratio(F.col("iou"), F.col("tp")), 6).alias("mean_iou"),
+    )

@@ -15,9 +15,9 @@ def column_traces(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image", "x").agg(r6(F.avg("y")).alias("mean_y"), F.median("y").alias("median_y"), F.count("*").alias("pixels"))
 
 
-def filled_trace(pixels: DataFrame) -> DataFrame:
-    """The median trace with empty columns on the line between their neighbours."""
-    trace = pixels.groupBy("image", "x").agg(F.median("y").alias("y"))
+def filled_trace(pixels: DataFrame, least: int = 1) -> DataFrame:
+    """The median trace; columns of fewer than ``least`` pixels are on the line between their neighbours."""
+    trace = pixels.groupBy("image", "x").agg(F.median("y").alias("y"), F.count("*").alias("pixels")).where(F.col("pixels") >= least).drop("pixels")
     span = trace.groupBy("image").agg(F.min("x").alias("a"), F.max("x").alias("b"))
     dense = span.select("image", F.explode(F.sequence("a", "b")).alias("x")).join(trace, ["image", "x"], "left")
     order = Window.partitionBy("image").orderBy("x")

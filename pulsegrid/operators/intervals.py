@@ -65,15 +65,14 @@ def hrv_time(beats: DataFrame) -> DataFrame:
     )
 
 
-def beat_labels(beats: DataFrame, most: int = 200) -> DataFrame:
-    """Each beat between two others: premature, pause or normal, by both intervals against the record's median; the first ``most``."""
+def beat_labels(beats: DataFrame) -> DataFrame:
+    """Each beat between two others: premature, pause or normal, by both intervals against the record's median."""
     prev, after = F.col("t") - F.lag("t").over(_order()), F.lead("t").over(_order()) - F.col("t")
     rows = beats.withColumn("prev", prev).withColumn("next", after)
     both = rows.select("record", F.explode(F.array("prev", "next")).alias("v")).groupBy("record").agg(F.median("v").alias("med"))
     rows = rows.where("prev is not null and next is not null").join(both, "record")
     label = F.when((F.col("prev") < 0.75 * F.col("med")) & (F.col("next") > 1.15 * F.col("med")), "premature").when(F.col("prev") > 1.4 * F.col("med"), "pause").otherwise("normal")
-    rows = rows.withColumn("label", label).withColumn("nth", F.row_number().over(_order())).where(F.col("nth") <= most)
-    return rows.select("record", "idx", r6("prev").alias("prev_s"), r6("next").alias("next_s"), "label")
+    return rows.select("record", "idx", r6("prev").alias("prev_s"), r6("next").alias("next_s"), label.alias("label"))
 
 
 def interval_features(beats: DataFrame) -> DataFrame:

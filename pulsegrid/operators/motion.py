@@ -39,7 +39,7 @@ def sleep_wake(samples: DataFrame, epoch: int) -> DataFrame:
 
 def axis_features(axes: DataFrame) -> DataFrame:
     """Magnitude and correlations of three axes (record, x, y, z)."""
-    m = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
+    m = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.coalesce(F.col("z") ** 2, F.lit(0.0)))
     return axes.withColumn("m", m).groupBy("record").agg(
         r6(F.avg("m")).alias("mean_magnitude"), r6(F.stddev_pop("m")).alias("sd_magnitude"), r6(F.corr("x", "y")).alias("corr_xy"), r6(F.corr("x", "z")).alias("corr_xz"), r6(F.corr("y", "z")).alias("corr_yz"),
     )

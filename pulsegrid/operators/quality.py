@@ -27,11 +27,11 @@ def signal_quality(samples: DataFrame, *keys: str) -> DataFrame:
 
 def artifact_flags(samples: DataFrame) -> DataFrame:
     """Flat, clipped and jumping signals: flags and low, moderate or high artifact level."""
-    whole = Window.partitionBy("record")
-    rows = samples.withColumn("step", F.abs(F.col("x") - F.lag("x").over(whole.orderBy("idx"))))
-    rows = rows.withColumn("range", F.percentile("x", F.lit(0.95)).over(whole) - F.percentile("x", F.lit(0.05)).over(whole))
-    rows = rows.withColumn("jump_at", F.greatest(5 * F.stddev_pop("x").over(whole), 0.5 * F.col("range"), F.lit(1e-8))).withColumn("top", F.max(F.abs("x")).over(whole))
-    out = rows.groupBy("record").agg(F.first("range").alias("range"), share(F.abs("x") >= 0.999 * F.col("top")).alias("clip"), ratio(F.count_if(F.col("step") > F.col("jump_at")), F.count("step")).alias("jump"))
+    x = F.col("x")
+    edges = samples.groupBy("record").agg((F.percentile("x", F.lit(0.95)) - F.percentile("x", F.lit(0.05))).alias("range"), F.stddev_pop("x").alias("sd"), F.max(F.abs("x")).alias("top"))
+    rows = samples.withColumn("step", F.abs(x - F.lag("x").over(Window.partitionBy("record").orderBy("idx")))).join(edges, "record")
+    jump_at = F.greatest(5 * F.col("sd"), 0.5 * F.col("range"), F.lit(1e-8))
+    out = rows.groupBy("record", "range").agg(share(F.abs("x") >= 0.999 * F.col("top")).alias("clip"), ratio(F.count_if(F.col("step") > jump_at), F.count("step")).alias("jump"))
     found = flags((F.col("range") <= 1e-8, "flatline"), (F.col("clip") > 0.05, "clipping"), (F.col("jump") > 0.01, "jumps"))
     level = F.when((F.size(found) >= 2) | (F.col("range") <= 1e-8), "high").when(F.size(found) == 1, "moderate").otherwise("low")
     return out.select("record", r6("range").alias("signal_range"), r6("clip").alias("clip_ratio"), r6("jump").alias("jump_ratio"), F.array_join(found, ",").alias("flags"), level.alias("level"))
@@ -39,7 +39,7 @@ def artifact_flags(samples: DataFrame) -> DataFrame:
 
 def distribution_moments(samples: DataFrame) -> DataFrame:
     """Mean, deviation, population skewness and excess kurtosis, quartiles, IQR and scaled MAD of each signal."""
-    rows = samples.withColumn("med", F.median("x").over(Window.partitionBy("record")))
+    rows = samples.join(samples.groupBy("record").agg(F.median("x").alias("med")), "record")
     out = rows.groupBy("record").agg(
         F.count("*").alias("n"), r6(F.avg("x")).alias("mean"), r6(F.stddev_pop("x")).alias("sd"), r6(F.skewness("x")).alias("skewness"), r6(F.kurtosis("x")).alias("kurtosis"),
         r6(F.percentile("x", F.lit(0.25))).alias("q25"), r6(F.first("med")).alias("median"), r6(F.percentile("x", F.lit(0.75))).alias("q75"),

@@ -103,3 +103,51 @@ SELECT record, count(*) AS n, round(sum(z), 6) AS total FROM z WHERE idx <= 40 G
 def padded_sequences(spark, sf_dir):
     rows = op.padded_sequences(beats(spark, sf_dir), 40)
     return rows.select("record", "n", F.round(F.aggregate("sequence", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+
+
+def _has(c: str, *words: str) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+@query("tool_profile", f"""WITH t AS (SELECT doc_id AS tool, lang = 'image' AS image, lower(source) AS name, lower(concat_ws(' ', source, text)) AS t FROM documents),
+e AS (SELECT *, CASE WHEN {_has("t", "proxy")} THEN 'proxy' WHEN {_has("t", "trained", "benchmark", "auroc", "f1", "mae")} THEN 'benchmarked' WHEN {_has("t", "quality", "detect", "compute", "summarize", "estimate")} THEN 'algorithmic' ELSE 'experimental' END AS evidence FROM t)
+SELECT tool, CASE WHEN {_has("t", "_dl", "_cnn", "_ml", "deep", "model", "classif")} THEN 'learned' WHEN {_has("t", "proxy", "screen_", "estimate_", "risk")} THEN 'rule' ELSE 'signal_processing' END AS kind, evidence,
+  array_to_string(list_filter(['artifact_or_motion', CASE WHEN {_has("name", "peak", "hrv")} THEN 'false_peaks' END, 'low_signal_quality', CASE WHEN {_has("name", "digitize")} OR image THEN 'missing_axis_scale' END, CASE WHEN {_has("name", "peak", "hrv")} THEN 'missed_peaks' END,
+    'out_of_distribution', CASE WHEN {_has("name", "proxy", "screen")} THEN 'proxy_not_diagnostic' END, CASE WHEN {_has("name", "digitize")} OR image THEN 'unclear_trace' END], lambda z: z IS NOT NULL), ',') AS failure_modes,
+  CASE WHEN evidence = 'proxy' THEN 'screening_only' WHEN image THEN 'depends_on_visible_trace' WHEN evidence = 'benchmarked' THEN 'validated_on_listed_data' ELSE 'check_signal_quality' END AS limitation FROM e""")
+def tool_profile(spark, sf_dir):
+    return op.tool_profile(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tool"), F.col("lang").alias("modality"), F.col("source").alias("name"), "text"))
+
+
+_TOOLS = ("ecg_assess_quality", "ppg_detect_ml", "signal_classify_modality", "image_estimate_scale", "image_digitize", "resp_rate_proxy", "spo2_summary")
+_TOOL_SQL = "[" + ", ".join(f"'{t}'" for t in _TOOLS) + "]"
+
+
+def _plans(spark, sf_dir, where: str):
+    """For each order the tools of its lines, in order."""
+    name = F.element_at(F.array(*[F.lit(t) for t in _TOOLS]), (F.col("l_suppkey") % len(_TOOLS) + 1).cast("int"))
+    line = F.struct("l_linenumber", name.alias("tool"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.when(F.expr(where), line))).alias("lines"))
+    return rows.select("id", F.transform("lines", lambda s: s["tool"]).alias("tools"))
+
+
+@query("plan_ablation", f"""WITH p AS (SELECT l_orderkey AS id, list({_TOOL_SQL}[l_suppkey % 7 + 1] ORDER BY l_linenumber, {_TOOL_SQL}[l_suppkey % 7 + 1]) AS tools FROM lineitem GROUP BY 1),
+d AS (SELECT id, list_filter(tools, lambda t, i: list_position(tools, t) = i) AS tools FROM p), k AS (SELECT id, tools, list_filter(tools, lambda t: NOT ({_has("t", "_dl", "_cnn", "_ml", "classify")})) AS kept FROM d)
+SELECT id, len(tools) AS before, len(kept) AS after, array_to_string(kept, ',') AS tools FROM k""")
+def plan_ablation(spark, sf_dir):
+    return op.ablate(_plans(spark, sf_dir, "true"), "learned")
+
+
+@query("missing_tool_categories", f"""WITH p AS (SELECT l_orderkey AS id, array_to_string(list({_TOOL_SQL}[l_suppkey % 7 + 1] ORDER BY l_linenumber) FILTER (WHERE l_quantity > 40), ' ') AS m FROM lineitem GROUP BY 1),
+c AS (SELECT id, m, CASE o_orderstatus WHEN 'F' THEN 'session' ELSE 'text' END AS input, o_orderpriority AS modality FROM p JOIN orders ON o_orderkey = id WHERE m IS NOT NULL)
+SELECT id, 'plan_' || CASE WHEN contains(m, 'classify_modality') THEN 'modality_router' WHEN {_has("m", "scale", "ocr", "axis")} THEN 'scale_ocr' WHEN contains(m, 'digitize') THEN 'image_digitization' WHEN contains(m, 'quality') THEN 'quality_gate'
+  WHEN {_has("m", "proxy", "screen")} THEN 'screening_or_proxy_tool' WHEN contains(modality, '+') OR input = 'session' THEN 'multimodal_tool' ELSE 'expected_tool' END || '_missing' AS category FROM c""")
+def missing_tool_categories(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("rate").alias("task"), F.when(F.col("o_orderstatus") == "F", "session").otherwise("text").alias("input"), F.col("o_orderpriority").alias("modality"))
+    return op.missing_categories(_plans(spark, sf_dir, "l_quantity > 40").withColumnRenamed("tools", "missing").join(orders, "id"), "plan")
+
+
+@query("metric_snippets", f"""WITH n AS (SELECT doc_id AS id, list_filter(string_split(text, '. '), lambda z: {_has("lower(z)", "f1", "auroc", "accuracy", "mae", "recall", "specificity")}) AS f FROM documents)
+SELECT id, len(f) AS n, array_to_string(f, ' | ') AS snippets FROM n""")
+def metric_snippets(spark, sf_dir):
+    return op.metric_snippets(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.split("text", r"\. ").alias("notes")))

@@ -143,3 +143,21 @@ SELECT id, n, supported, round(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE supported /
 def numeric_grounding(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return op.grounding(e.select(F.col("event_id").alias("id"), F.col("props").alias("text"), F.array(F.col("value"), F.col("value") / 2).alias("known")))
+
+
+_TOPICS = ("en", "de", None)
+
+
+@query("tool_retrieval", f"""WITH cat AS (SELECT doc_id AS id, source AS name, lower(lang) AS of, text FROM documents), qs AS (SELECT item_id AS q, text, CASE item_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END AS modality FROM benchmark),
+h AS (SELECT id, name, of, token, count(*) AS tf FROM (SELECT id, name, of, unnest({TOK}) AS token FROM cat) GROUP BY ALL), a AS (SELECT q, modality, token, count(*) AS m FROM (SELECT q, modality, unnest({TOK}) AS token FROM qs) GROUP BY ALL),
+i AS (SELECT token, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM h GROUP BY token),
+hits AS (SELECT q, id, name, m * idf * (1 + ln(tf)) AS part FROM a JOIN i USING (token) JOIN h USING (token) WHERE modality IS NULL OR of = 'any' OR of = modality),
+named AS (SELECT DISTINCT q, id, name, 0.5::DOUBLE AS part FROM (SELECT id, name, of, unnest(string_split_regex(lower(name), '[ _-]+')) AS token FROM cat) JOIN a USING (token) WHERE modality IS NULL OR of = 'any' OR of = modality),
+f AS (SELECT *, row_number() OVER (PARTITION BY of ORDER BY name, id) AS nth FROM cat), fill AS (SELECT q, id, name, 0.0::DOUBLE AS part FROM f JOIN qs ON of = modality OR of = 'any' AND modality IS NOT NULL WHERE nth <= 10),
+s AS (SELECT q, id, name, round(sum(part), 6) AS score FROM (SELECT * FROM hits UNION ALL SELECT * FROM named UNION ALL SELECT * FROM fill) GROUP BY ALL)
+SELECT q, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, name, id) AS rank FROM s) WHERE rank <= 5""")
+def tool_retrieval(spark, sf_dir):
+    topic = F.element_at(F.array(*[F.lit(t) for t in _TOPICS]), (F.col("item_id") % 3 + 1).cast("int"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text", topic.alias("modality"))
+    catalog = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("lang").alias("modality"), "text")
+    return op.retrieve(asked, catalog, 5)

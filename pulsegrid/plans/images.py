@@ -18,12 +18,12 @@ def image_column_traces(spark, sf_dir):
     return op.column_traces(pixels(spark, sf_dir))
 
 
-@query("image_filled_trace", PIXELS + """, t AS (SELECT image, x, median(y) AS y FROM px WHERE x % 3 = 0 GROUP BY 1, 2), d AS (SELECT s.image, s.x, y FROM (SELECT image, unnest(generate_series(min(x), max(x))) AS x FROM t GROUP BY image) s LEFT JOIN t USING (image, x)),
+@query("image_filled_trace", PIXELS + """, t AS (SELECT image, x, median(y) AS y FROM px GROUP BY 1, 2 HAVING count(*) >= 10), d AS (SELECT s.image, s.x, y FROM (SELECT image, unnest(generate_series(min(x), max(x))) AS x FROM t GROUP BY image) s LEFT JOIN t USING (image, x)),
 k AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN x END IGNORE NULLS) OVER p AS x0, last_value(y IGNORE NULLS) OVER p AS y0, first_value(CASE WHEN y IS NOT NULL THEN x END IGNORE NULLS) OVER q AS x1, first_value(y IGNORE NULLS) OVER q AS y1 FROM d
   WINDOW p AS (PARTITION BY image ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY image ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT image, x, round(coalesce(y, y0 + (y1 - y0) * (x - x0) / (x1 - x0)::DOUBLE), 6) AS y, y IS NULL AS filled FROM k""")
 def image_filled_trace(spark, sf_dir):
-    return op.filled_trace(pixels(spark, sf_dir).where("x % 3 = 0"))
+    return op.filled_trace(pixels(spark, sf_dir), least=10)
 
 
 @query("image_profile_peaks", PIXELS + """, p AS (SELECT image, x, sum(y) AS p FROM px GROUP BY 1, 2),

@@ -37,12 +37,13 @@ def sleep_wake_rule(spark, sf_dir):
     return op.sleep_wake(samples(spark, sf_dir), 8)
 
 
-@query("axis_magnitude_corr", """WITH a AS (SELECT vec_id AS record, embedding[i]::DOUBLE AS x, embedding[i + 21]::DOUBLE AS y, embedding[i + 42]::DOUBLE AS z FROM (SELECT vec_id, embedding, unnest(generate_series(1, 21)) AS i FROM embeddings)),
-m AS (SELECT *, sqrt(x * x + y * y + z * z) AS m FROM a)
+@query("axis_magnitude_corr", """WITH a AS (SELECT vec_id AS record, embedding[i]::DOUBLE AS x, embedding[i + 22]::DOUBLE AS y, embedding[i + 44]::DOUBLE AS z FROM (SELECT vec_id, embedding, unnest(generate_series(1, 22)) AS i FROM embeddings)),
+m AS (SELECT *, sqrt(x * x + y * y + coalesce(z * z, 0)) AS m FROM a)
 SELECT record, round(avg(m), 6) AS mean_magnitude, round(stddev_pop(m), 6) AS sd_magnitude, round(corr(x, y), 6) AS corr_xy, round(corr(x, z), 6) AS corr_xz, round(corr(y, z), 6) AS corr_yz FROM m GROUP BY record""")
 def axis_magnitude_corr(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record"), F.col("embedding").cast("array<double>").alias("e"))
-    axis = lambda k: F.slice("e", k * 21 + 1, 21)
+    third = F.ceil(F.size("e") / 3).cast("int")
+    axis = lambda k: F.slice("e", k * third + 1, third)
     rows = e.select("record", F.explode(F.arrays_zip(axis(0).alias("x"), axis(1).alias("y"), axis(2).alias("z"))).alias("a")).select("record", "a.x", "a.y", "a.z")
     return op.axis_features(rows)
 

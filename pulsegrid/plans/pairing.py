@@ -118,3 +118,24 @@ def session_window_stream(spark, sf_dir):
     from ..streaming.windows import event_rows, sessions
 
     return sessions(event_rows(spark, sf_dir))
+
+
+def _spans(spark, sf_dir, kind, late):
+    """Events of a kind as intervals whose length follows from their value."""
+    t = F.col("t") + late
+    return beats(spark, sf_dir).where(F.col("kind") == kind).select("record", t.alias("start"), (t + 0.2 + F.col("x") / 100).alias("end"))
+
+
+@query("edge_matching")
+def edge_matching(spark, sf_dir):
+    return op.match_intervals(_spans(spark, sf_dir, "click", 0.0), _spans(spark, sf_dir, "view", 0.1), "edges", 1.0)
+
+
+@query("overlap_matching")
+def overlap_matching(spark, sf_dir):
+    return op.match_intervals(_spans(spark, sf_dir, "click", 0.0), _spans(spark, sf_dir, "view", 0.1), "overlap", 0.1)
+
+
+@query("directional_matching")
+def directional_matching(spark, sf_dir):
+    return op.match_intervals(_spans(spark, sf_dir, "click", 0.0), _spans(spark, sf_dir, "view", 0.1), "after", 1.0)

@@ -56,7 +56,7 @@ p AS (SELECT *, t - lag(t) OVER w AS prev, lead(t) OVER w - t AS next FROM beats
 m AS (SELECT record, median(v) AS med FROM (SELECT record, unnest([prev, next]) AS v FROM p) GROUP BY record),
 l AS (SELECT p.*, CASE WHEN prev < 0.75 * med AND next > 1.15 * med THEN 'premature' WHEN prev > 1.4 * med THEN 'pause' ELSE 'normal' END AS label
   FROM p JOIN m USING (record) WHERE prev IS NOT NULL AND next IS NOT NULL)
-SELECT record, idx, round(prev, 6) AS prev_s, round(next, 6) AS next_s, label FROM l QUALIFY row_number() OVER (PARTITION BY record ORDER BY idx) <= 200""")
+SELECT record, idx, round(prev, 6) AS prev_s, round(next, 6) AS next_s, label FROM l""")
 def beat_labels(spark, sf_dir):
     return op.beat_labels(beats(spark, sf_dir))
 

@@ -4,11 +4,14 @@ from ..streaming.windows import epochs, event_rows, event_stream, run_available
 from . import query
 
 
-@query("stream_epochs")
+EPOCHS_SQL = "SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2"
+
+
+@query("stream_epochs", EPOCHS_SQL)
 def stream_epochs(spark, sf_dir):
-    return run_available(epochs(event_stream(spark, sf_dir).withWatermark("ts", "1 hour")))
+    return run_available(epochs(event_stream(spark, sf_dir).withWatermark("ts", "1 hour")), ["start_us", "event_type"])
 
 
-@query("batch_epochs", """SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2""")
+@query("batch_epochs", EPOCHS_SQL)
 def batch_epochs(spark, sf_dir):
     return epochs(event_rows(spark, sf_dir))

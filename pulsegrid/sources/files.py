@@ -54,9 +54,9 @@ def read_delimited(spark: SparkSession, path: str, column: str | None = None, se
     reader = spark.read.option("header", True).option("sep", sep)
     rows = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     x = F.col(value_column(rows.schema, column)).try_cast("double")
-    rows = rows.select(F.input_file_name().alias("record"), F.monotonically_increasing_id().alias("_at"), x.alias("x"))
+    rows = rows.select(F.input_file_name().alias("record"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), x.alias("x"))
     rows = rows.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
-    order = Window.partitionBy("record").orderBy("_at")
+    order = Window.partitionBy("record").orderBy("_block", "_at")
     return rows.select("record", (F.row_number().over(order) - 1).cast("long").alias("idx"), "x")
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
+from ..sources.scratch import shared_path
 from ..sources.tables import micros, table
 
 
@@ -39,18 +37,20 @@ def epochs(rows: DataFrame, width: str = "1 day") -> DataFrame:
     return out.select(F.unix_micros("w.start").alias("start_us"), "event_type", "n", "mean_value")
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns what it wrote, as a table in the shared folder.
+def run_available(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs an aggregating stream over what is there and returns its rows, as a table in the shared folder.
 
-    Windows that the watermark has not closed stay in the state of the query, as append mode asks.
+    In update mode each batch gives the rows it changed, open windows included; the last row of each
+    key (``keys``) counts.  A batch that is run again writes the same place.
     """
     spark = stream.sparkSession
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pulsegrid-"))
-        base = sc.getCheckpointDir()
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    path = shared_path(spark, "stream")
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
+
+    q = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/out")
+    last = F.max_by(F.struct(*stream.columns), "batch").alias("row")
+    return rows.groupBy(*keys).agg(last).select("row.*")
