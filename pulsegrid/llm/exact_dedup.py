@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize, text_or_empty
+from .common import arrow_batches, fresh, materialize, text_or_empty
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of distinct contents that a task keeps in its table; what is beyond goes to spill files.
@@ -167,18 +167,22 @@ def drop_copies(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     """The rows of docs (doc_id, text, ...) without copies: one row of each group of equal texts.
 
     Most copies go by their ids, a narrow table that Catalyst can broadcast while it is small.
-    Only ids that are null or repeat are looked up by id and text.
+    Only ids that are null or repeat are looked up by id and text.  Null text is empty text, and
+    one empty text stays; other columns, whatever their names, are returned as they are; an
+    empty table gives an empty result.
     """
+    sha = F.sha2(F.regexp_replace(text_or_empty(), SPACE, " "), 256)
     decided = exact_dedup(docs.select("doc_id", "text"), budget).select("doc_id", "text_sha256", "kept")
     decided = materialize(decided, "decided")
     ids = decided.groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
     gone = materialize(ids.where("doc_id is not null and not stays").select("doc_id"), "gone", 1)
-    odd = materialize(ids.where("doc_id is null or (stays and n > 1)").select(F.col("doc_id").alias("_id")), "odd", 1)
+    odd_id, key_id, key, mine = fresh(docs.columns, "odd_id", "key_id", "key", "sha")
+    odd = materialize(ids.where("doc_id is null or (stays and n > 1)").select(F.col("doc_id").alias(odd_id)), "odd", 1)
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if odd.isEmpty():
         return left
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    keep = decided.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key")).join(odd.withColumnRenamed("_id", "_odd"), F.col("_id").eqNullSafe(F.col("_odd"))).drop("_odd")
-    sha = F.sha2(F.regexp_replace(text_or_empty(), SPACE, " "), 256)
-    again = left.withColumn("_sha", sha).join(keep, same & (F.col("_sha") == F.col("_key"))).dropDuplicates(["_id", "_key"])
-    return left.join(odd, same, "left_anti").unionByName(again.select(*docs.columns))
+    kept = decided.where("kept").select(F.col("doc_id").alias(key_id), F.col("text_sha256").alias(key))
+    kept = kept.join(odd, F.col(key_id).eqNullSafe(F.col(odd_id))).drop(odd_id)
+    again = left.withColumn(mine, sha).join(kept, F.col("doc_id").eqNullSafe(F.col(key_id)) & (F.col(mine) == F.col(key))).dropDuplicates([key_id, key])
+    rest = left.join(odd, F.col("doc_id").eqNullSafe(F.col(odd_id)), "left_anti")
+    return rest.unionByName(again.select(*docs.columns))

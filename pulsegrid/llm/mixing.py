@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh, materialize
+
 #: A word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hash buckets within a source, named by three hexadecimal digits.
@@ -67,6 +69,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.substring(key, 1, 16).alias("h"),
     ).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
+    sized = materialize(sized, "sized")  # a narrow table, so that texts are read and their words counted once
     target = source_targets(sized, weights, share, max_epochs)
     plan = target.withColumn(
         "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -85,11 +88,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 
 def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as ``mixed`` takes it (rows of one doc_id are the same document)."""
-    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    return (
-        docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
-        .where("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*docs.columns)
-    )
+    """The rows of docs (doc_id, ...), each as often as ``mixed`` takes its doc_id; null ids are one document.
+
+    Rows of one doc_id are the same document.  Null and empty texts have size 0 and are taken in
+    whole copies only, so where a source is taken less than once they go.  Other columns, whatever
+    their names, are returned as they are; an empty table gives an empty result.
+    """
+    key, copies, copy = fresh(docs.columns, "key", "copies", "copy")
+    times = mixed.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(copies)).where(F.col(copies) > 0)
+    rows = docs.join(times, docs["doc_id"].eqNullSafe(F.col(key)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
