@@ -45,11 +45,24 @@ def image_layout(spark, sf_dir):
     return op.layout(pixels(spark, sf_dir))
 
 
-@query("image_nearest_trace")
+def _following(jump: float, momentum: float) -> str:
+    """The trace column by column: state (last height, last step), and the points so far."""
+    near = "list_min(list_transform(ys, lambda y: {{'d': abs(y - {aim}), 'y': y}})).y"
+    return (
+        PIXELS.replace("WITH ", "WITH RECURSIVE ", 1)
+        + f""", c AS (SELECT image, x, list(DISTINCT y) AS ys, median(y) AS m FROM px GROUP BY image, x), o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY x) AS k FROM c), h AS (SELECT image, greatest(1, max(y) - min(y) + 1) AS h FROM px GROUP BY image),
+t AS (SELECT image, k, x, {near.format(aim="m")}::DOUBLE AS y, true AS ok, {near.format(aim="m")}::DOUBLE AS la, 0.0::DOUBLE AS st FROM o WHERE k = 1 UNION ALL
+  SELECT image, k, x, best, ok, CASE WHEN ok THEN best ELSE la END, CASE WHEN ok THEN best - la ELSE st END FROM (
+    SELECT *, abs(best - aim) <= {jump} * h AS ok FROM (SELECT o.image, o.k, o.x, h, la, st, la + {momentum} * st AS aim, {near.format(aim=f"(la + {momentum} * st)")}::DOUBLE AS best FROM t JOIN o ON o.image = t.image AND o.k = t.k + 1 JOIN h ON h.image = t.image)))
+SELECT image, x, y FROM t WHERE ok"""
+    )
+
+
+@query("image_nearest_trace", _following(0.12, 0.0))
 def image_nearest_trace(spark, sf_dir):
     return op.following_trace(pixels(spark, sf_dir))
 
 
-@query("image_momentum_trace")
+@query("image_momentum_trace", _following(0.3, 0.5))
 def image_momentum_trace(spark, sf_dir):
     return op.following_trace(pixels(spark, sf_dir), 0.3, 0.5)

@@ -1,12 +1,35 @@
 """Queries that need numeric kernels; tests hold them against formulas and synthetic signals."""
 
 from ..operators import cardiac, intervals, neuro, spectral as op
-from ..sources.tables import beats, table
+from ..sources.tables import SAMPLES_SQL, beats, table
 from . import query
 from pyspark.sql import functions as F
 
 RATE = 64.0
 
+#: The windowed periodogram of 64 samples in SQL, term by term: record, k (hertz at 64 a second), p.
+PERIODOGRAM_SQL = SAMPLES_SQL + """, mu AS (SELECT record, avg(x) AS mu FROM samples GROUP BY record), fk AS (SELECT unnest(range(0, 33)) AS k),
+ft AS (SELECT s.record, k, sum((x - mu) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * idx / 64)) * cos(2 * pi() * k * idx / 64)) AS c, sum((x - mu) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * idx / 64)) * sin(2 * pi() * k * idx / 64)) AS d
+  FROM samples s JOIN mu USING (record) CROSS JOIN fk GROUP BY s.record, k),
+pg AS (SELECT record, k, (c * c + d * d) / (64 * 24) * CASE WHEN k BETWEEN 1 AND 31 THEN 2 ELSE 1 END AS p FROM ft)"""
+#: The size of the analytic signal of 64 samples in SQL: record, idx, x (centred), e.
+
+
+def envelope_sql(centre: str) -> str:
+    return f"""md AS (SELECT record, {centre}(x) AS md FROM samples GROUP BY record), ce AS (SELECT s.record, idx, x - md AS x FROM samples s JOIN md USING (record)), hk AS (SELECT unnest(range(1, 32)) AS k),
+cs AS (SELECT record, k, sum(x * cos(2 * pi() * k * idx / 64)) AS c, sum(x * sin(2 * pi() * k * idx / 64)) AS d FROM ce CROSS JOIN hk GROUP BY record, k),
+hi AS (SELECT e.record, e.idx, any_value(x) AS x, 2 / 64.0::DOUBLE * sum(c * sin(2 * pi() * k * idx / 64) - d * cos(2 * pi() * k * idx / 64)) AS h FROM ce e JOIN cs USING (record) GROUP BY e.record, e.idx),
+en AS (SELECT record, idx, x, sqrt(x * x + h * h) AS e FROM hi)"""
+
+
+def spectrum_sql(edges: tuple[float, ...]) -> str:
+    bands = ", ".join(f"round(coalesce(sum(p) FILTER (WHERE k >= {a} AND k < {b}), 0) / (sum(p) FILTER (WHERE k >= {edges[0]} AND k < {edges[-1]}) + 1e-12::DOUBLE), 6) AS band_{i}" for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)))
+    return f"""WITH {PERIODOGRAM_SQL}, {envelope_sql("median")}, cu AS (SELECT *, sum(p) OVER (PARTITION BY record ORDER BY k) AS c, sum(p) OVER (PARTITION BY record) AS t FROM pg),
+sp AS (SELECT record, round(min(k) FILTER (WHERE c >= t / 2)::DOUBLE, 6) AS median_hz, round(sum(p / (t + 1e-12::DOUBLE) * k), 6) AS mean_hz, round(min(struct_pack(v := -p, k := k)).k::DOUBLE, 6) AS peak_hz,
+  round(-sum(p / (t + 1e-12::DOUBLE) * log2(p / (t + 1e-12::DOUBLE) + 1e-12::DOUBLE)) / log2(33), 6) AS entropy, {bands} FROM cu GROUP BY record),
+ev AS (SELECT record, round(sqrt(avg(x * x) + 1e-12::DOUBLE), 6) AS rms, round(max(abs(x)) / sqrt(avg(x * x) + 1e-12::DOUBLE), 6) AS crest, round(stddev_pop(e) / (avg(e) + 1e-12::DOUBLE), 6) AS envelope_cv, round(quantile_cont(e, 0.95) / (median(e) + 1e-12::DOUBLE), 6) AS envelope_p95 FROM en GROUP BY record)
+SELECT * FROM sp JOIN ev USING (record)"""
+
 
 def signals(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record"), F.col("embedding").alias("values"))
@@ -17,12 +40,21 @@ def pressure_signals(spark, sf_dir):
     return signals(spark, sf_dir).withColumn("values", F.transform("values", lambda v: 90 + 300 * v))
 
 
-@query("eeg_bandpower")
+@query("eeg_bandpower", f"""WITH {PERIODOGRAM_SQL}, bd AS (SELECT * FROM (VALUES ('delta', 1, 3), ('theta', 4, 7), ('alpha', 8, 12), ('beta', 13, 29), ('gamma', 30, 32)) AS t(band, lo, hi)),
+bp AS (SELECT record, band, sum(p) - (sum(p) FILTER (WHERE k = lo) + sum(p) FILTER (WHERE k = hi)) / 2 AS v FROM pg JOIN bd ON k BETWEEN lo AND hi GROUP BY record, band),
+w AS (SELECT record, sum(v) FILTER (WHERE band = 'delta') AS d, sum(v) FILTER (WHERE band = 'theta') AS t, sum(v) FILTER (WHERE band = 'alpha') AS a, sum(v) FILTER (WHERE band = 'beta') AS b, sum(v) FILTER (WHERE band = 'gamma') AS g, greatest(sum(v), 1e-12::DOUBLE) AS s FROM bp GROUP BY record)
+SELECT record, round(d, 6) AS delta, round(t, 6) AS theta, round(a, 6) AS alpha, round(b, 6) AS beta, round(g, 6) AS gamma, round(s, 6) AS total,
+  CASE WHEN d / s > 0.45 THEN 'deep' WHEN t / s > 0.30 AND a / s < 0.20 THEN 'light' WHEN a / s > 0.25 OR b / s > 0.25 THEN 'wake' ELSE 'uncertain' END AS stage FROM w""")
 def eeg_bandpower(spark, sf_dir):
     return op.bandpower(signals(spark, sf_dir), RATE)
 
 
-@query("spectrogram_features")
+@query("spectrogram_features", f"""WITH {SAMPLES_SQL}, g AS (SELECT record, s, idx - s AS i, x FROM samples CROSS JOIN (VALUES (0), (16), (32)) AS t(s) WHERE idx >= s AND idx < s + 32), m AS (SELECT record, s, avg(x) AS mu FROM g GROUP BY record, s), k AS (SELECT unnest(range(0, 17)) AS k),
+f AS (SELECT record, s, k, sum((x - mu) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / 32)) * cos(2 * pi() * k * i / 32)) AS c, sum((x - mu) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / 32)) * sin(2 * pi() * k * i / 32)) AS d FROM g JOIN m USING (record, s) CROSS JOIN k GROUP BY record, s, k),
+p AS (SELECT record, s, k, (c * c + d * d) / (64 * 12) AS p FROM f), av AS (SELECT record, k, avg(p) AS p FROM p GROUP BY record, k), q AS (SELECT record, k, p / greatest(sum(p) OVER (PARTITION BY record), 1e-12::DOUBLE) AS q, sum(p) OVER (PARTITION BY record ORDER BY k) / greatest(sum(p) OVER (PARTITION BY record), 1e-12::DOUBLE) AS c FROM av),
+u AS (SELECT record, sum(p) AS t FROM p GROUP BY record, s), v AS (SELECT record, round(stddev_pop(t) / greatest(avg(t), 1e-12::DOUBLE), 6) AS temporal_cv FROM u GROUP BY record)
+SELECT record, 3 AS bins, round(sum(q * k * 2), 6) AS centroid_hz, round(min(k * 2.0::DOUBLE) FILTER (WHERE c >= 0.85::DOUBLE - 1e-12::DOUBLE), 6) AS rolloff_hz, round(-sum(q * log2(greatest(q, 1e-12::DOUBLE))) / log2(17), 6) AS entropy, any_value(temporal_cv) AS temporal_cv
+FROM q JOIN v USING (record) GROUP BY record""")
 def spectrogram_features(spark, sf_dir):
     return op.spectrogram(signals(spark, sf_dir), RATE)
 
@@ -37,12 +69,15 @@ def bcg_candidate_arbitration(spark, sf_dir):
     return op.candidate_arbitration(signals(spark, sf_dir), RATE, [(2.0, 8.0), (3.0, 12.0), (4.0, 16.0), (5.0, 20.0), (6.0, 24.0)])
 
 
-@query("pcg_cycle")
+@query("pcg_cycle", f"""WITH {SAMPLES_SQL}, {envelope_sql("avg")}, z AS (SELECT record, idx, e - avg(e) OVER (PARTITION BY record) AS e FROM en), v AS (SELECT record, sum(e * e) AS v FROM z GROUP BY record),
+r AS (SELECT a.record, b.idx - a.idx AS lag, sum(a.e * b.e) AS r FROM z a JOIN z b ON a.record = b.record AND b.idx - a.idx BETWEEN 6 AND 38 GROUP BY 1, 2), t AS (SELECT record, min(struct_pack(v := -r, lag := lag)) AS t FROM r GROUP BY record)
+SELECT record, round(t.lag / 64.0::DOUBLE, 6) AS cycle_s, round(-t.v / greatest(v.v, 1e-12::DOUBLE), 6) AS periodicity FROM t JOIN v USING (record)""")
 def pcg_cycle(spark, sf_dir):
     return op.dominant_cycle(signals(spark, sf_dir), RATE, 0.1, 0.6)
 
 
-@query("emg_median_frequency")
+@query("emg_median_frequency", f"""WITH {PERIODOGRAM_SQL}, c AS (SELECT *, sum(p) OVER (PARTITION BY record ORDER BY k) AS c, sum(p) OVER (PARTITION BY record) AS t FROM pg WHERE k BETWEEN 2 AND 30), m AS (SELECT record, min(k) FILTER (WHERE c >= t / 2) AS k FROM c GROUP BY record)
+SELECT record, round(k::DOUBLE, 6) AS median_hz, k < 32 / 3.0 AS fatigue FROM m""")
 def emg_median_frequency(spark, sf_dir):
     return op.median_frequency(signals(spark, sf_dir), RATE, 2.0, 30.0)
 

@@ -56,7 +56,18 @@ def apnea_risk(spark, sf_dir):
     return op.apnea_risk(oximetry(spark, sf_dir), 20)
 
 
-@query("desaturation_events")
+#: The scan of ``desaturations`` reading by reading: state (start, last), and the closed events so far.
+DESATURATIONS = BASELINE.replace("WITH ", "WITH RECURSIVE ", 1) + """, a AS (SELECT record, list(spo2 ORDER BY idx) AS x, list(baseline ORDER BY idx) AS b, count(*) AS n FROM base GROUP BY record),
+r AS (SELECT record, 0::BIGINT AS i, 0::BIGINT AS st, 0::BIGINT AS la, []::STRUCT(s BIGINT, l BIGINT)[] AS ev FROM a UNION ALL
+  SELECT record, i + 1, CASE WHEN low AND st = 0 THEN i + 1 WHEN shut THEN 0 ELSE st END, CASE WHEN low THEN i + 1 ELSE la END, CASE WHEN shut THEN list_append(ev, {'s': st, 'l': la}) ELSE ev END
+  FROM (SELECT r.*, n, x[i + 1] < b[i + 1] - 3 AS low, NOT (x[i + 1] < b[i + 1] - 3) AND st > 0 AND (x[i + 1] >= b[st] - 1 OR i + 1 - la > 3) AS shut FROM r JOIN a USING (record) WHERE i < n)),
+fin AS (SELECT record, CASE WHEN st > 0 THEN list_append(ev, {'s': st, 'l': la}) ELSE ev END AS ev FROM r JOIN a USING (record) WHERE i = n),
+e AS (SELECT record, unnest(ev) AS e FROM fin), p AS (SELECT e.record, e.s AS s, e.l AS l, b[e.s] AS b0, x[e.s:e.l] AS part FROM e JOIN a USING (record)),
+u AS (SELECT *, list_transform(part, lambda z: greatest(0, b0 - z)) AS under FROM p)
+SELECT record, s - 1 AS start, l AS "end", (l - s + 1)::DOUBLE AS duration_s, round(b0 - list_min(part), 6) AS depth, list_min(part) AS nadir, round(list_sum(under) - (under[1] + under[len(under)]) / 2, 6) AS area FROM u"""
+
+
+@query("desaturation_events", DESATURATIONS)
 def desaturation_events(spark, sf_dir):
     return op.desaturations(oximetry(spark, sf_dir), 3.0, 20, 1)
 

@@ -106,7 +106,16 @@ def window_majority_label(spark, sf_dir):
     return op.majority_labels(beats(spark, sf_dir), 10.0)
 
 
-@query("tolerance_matching")
+#: Each click in order takes the nearest free view within half a second, the first of equals.
+MATCHING = f"""WITH RECURSIVE {BEATS_SQL}, m AS (SELECT record, coalesce(list(t ORDER BY t) FILTER (WHERE kind = 'click'), []) AS ds, coalesce(list(t ORDER BY t) FILTER (WHERE kind = 'view'), []) AS ts FROM beats WHERE kind IN ('click', 'view') GROUP BY record),
+r AS (SELECT record, 0::BIGINT AS i, []::BIGINT[] AS used FROM m UNION ALL
+  SELECT record, i + 1, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.j) END FROM (
+    SELECT r.record, i, used, list_min(list_transform(list_filter(range(1, len(ts) + 1), lambda j: abs(ts[j] - ds[i + 1]) <= 0.5 AND NOT list_contains(used, j)), lambda j: {{'d': abs(ts[j] - ds[i + 1]), 'j': j}})) AS best FROM r JOIN m USING (record) WHERE i < len(ds))),
+f AS (SELECT record, len(used) AS tp, len(ds) AS d, len(ts) AS t FROM r JOIN m USING (record) WHERE i = len(ds)), g AS (SELECT *, CASE WHEN d > 0 THEN tp / d::DOUBLE ELSE 0 END AS p, CASE WHEN t > 0 THEN tp / t::DOUBLE ELSE 0 END AS q FROM f)
+SELECT record, tp, d - tp AS fp, t - tp AS fn, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6) AS f1 FROM g"""
+
+
+@query("tolerance_matching", MATCHING)
 def tolerance_matching(spark, sf_dir):
     return op.match_events(_kind(spark, sf_dir, "click"), _kind(spark, sf_dir, "view"), 0.5)
 
