@@ -193,23 +193,31 @@ def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def shared_shingles(reps: DataFrame) -> DataFrame:
-    """(token, doc, n, pos, lead, bands): the places of shingles that stand in several prefixes.
+    """(token, doc, n, pos, lead, bands): the places of shingles that stand in several prefixes, of those with the same documents only the first.
 
     lead is the smallest document of a shingle, bands has a bit for each size band of its
-    documents.  A shingle that is not frequent makes up so small a share of all that its rows
-    fit a task's sort: these are dealt once and looked at by windows.  Frequent ones are counted
-    with a combining aggregate and joined, so that AQE can split a hot shingle.
+    documents.  Copied passages give long rows of shingles with the same documents; the one that
+    stands first in them allows all pairs that the others do, so it stands for them all.
+
+    A shingle that is not frequent makes up so small a share of all that its rows fit a task's
+    sort: these are dealt once and looked at by windows.  Frequent ones are counted with a
+    combining aggregate and joined, so that AQE can split a hot shingle.
     """
     tokens = reps.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("doc"), "n", "rare")
-    bit = F.expr("shiftleft(1L, least(band, 62))")
-    found = {"docs": F.count("*"), "lead": F.min(F.struct("doc", "n", "pos")), "bands": F.bit_or(bit)}
-    cols = ("token", "doc", "n", "pos", "lead", "bands")
+    bit, h = F.expr("shiftleft(1L, least(band, 62))"), F.xxhash64("doc")
+    found = {
+        "docs": F.count("*"), "lead": F.min(F.struct("doc", "n", "pos")), "bands": F.bit_or(bit),
+        "k1": F.bit_xor(h), "k2": F.sum(F.shiftright(h, 24)), "at": F.sum("pos"),
+    }
+    cols = ("token", "doc", "n", "pos", *found)
     tile = Window.partitionBy("token")
     rare = tokens.where("pos < rare").drop("rare").withColumn("band", band(F.col("n")))
     rare = rare.withColumns({k: v.over(tile) for k, v in found.items()}).where("docs > 1").select(*cols)
     often = tokens.where("pos >= rare").drop("rare").withColumn("band", band(F.col("n")))
     shared = materialize(often.groupBy("token").agg(*[v.alias(k) for k, v in found.items()]).where("docs > 1"), "shared")
-    return materialize(rare.unionByName(often.join(shared, "token").select(*cols)), "index")
+    index = materialize(rare.unionByName(often.join(shared, "token").select(*cols)), "index")
+    first = index.groupBy("k1", "k2", "docs").agg(F.min(F.struct("at", "token"))["token"].alias("token")).select("token")
+    return materialize(index.drop("k1", "k2", "at", "docs").join(materialize(first, "first"), "token"), "tiles")
 
 
 def star_pairs(index: DataFrame, sigs: DataFrame) -> DataFrame:
