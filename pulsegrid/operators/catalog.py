@@ -169,3 +169,45 @@ def metric_snippets(entries: DataFrame, words: tuple[str, ...] = ("f1", "auroc",
     """The notes of entries (id, notes array) that name a measure, in order."""
     found = F.filter("notes", lambda n: F.greatest(*[F.contains(F.lower(n), F.lit(w)) for w in words], F.lit(False)))
     return entries.select("id", F.size(found).alias("n"), F.array_join(found, " | ").alias("snippets"))
+
+
+def plan_cases(cases: DataFrame, backends: list[str]) -> DataFrame:
+    """The plan of each case (id, expected, retrieved, replayed and ruled arrays) by each backend: id, backend, tools, plan, note.
+
+    ``none`` plans nothing, ``oracle`` what is expected, ``retrieval`` what was retrieved, ``replay`` a known plan
+    and where there is none that of the rules, with a note; every other backend plans by the rules.
+    """
+    missed = (F.col("backend") == "replay") & (F.size("replayed") == 0)
+    chosen = (
+        F.when(F.col("backend") == "none", F.array().cast("array<string>"))
+        .when(F.col("backend") == "oracle", F.col("expected"))
+        .when(F.col("backend") == "retrieval", F.col("retrieved"))
+        .when((F.col("backend") == "replay") & ~missed, F.col("replayed"))
+        .otherwise(F.col("ruled"))
+    )
+    rows = cases.withColumn("backend", F.explode(F.array(*[F.lit(b) for b in backends]))).withColumn("plan", F.array_distinct(chosen))
+    return rows.select("id", "backend", F.size("plan").alias("tools"), F.array_join("plan", ",").alias("plan"), F.when(missed, "replay_missed").otherwise("").alias("note"))
+
+
+def session_samples(runs: DataFrame) -> DataFrame:
+    """Training samples of sessions from their runs (session, label, modality, tools, result, report): three tasks a session, with
+    the request and the answer as JSON.  A session without runs has none; runs stand in order of their label."""
+    ordered = F.array_sort(F.collect_list(F.struct("label", "modality", "tools", "result", "report")))
+    whole = runs.groupBy("session").agg(ordered.alias("runs"))
+    pick = lambda *names: F.transform("runs", lambda r: F.struct(*[r[n].alias(n) for n in names]))
+    said = F.array_join(F.filter(F.transform("runs", lambda r: r["report"]), lambda t: F.length(t) > 0), "\n\n")
+    tasks = {
+        "session_planning": (F.struct("session"), F.struct(pick("label", "modality", "tools").alias("signal_plans"))),
+        "session_execution": (F.struct("session", pick("label", "modality", "tools").alias("signal_plans")), F.struct(pick("label", "modality", "result").alias("signal_results"))),
+        "session_report": (F.struct("session", pick("label", "modality", "result").alias("signal_results")), F.struct(said.alias("summary"))),
+    }
+    sample = F.explode(F.array(*[F.struct(F.lit(t).alias("task"), F.to_json(a).alias("request"), F.to_json(b).alias("answer")) for t, (a, b) in tasks.items()]))
+    return whole.select("session", F.size("runs").alias("runs"), sample.alias("s")).select("session", "runs", "s.*")
+
+
+def tool_levels(tools: DataFrame, primitive: tuple[str, ...], screening: tuple[str, ...]) -> DataFrame:
+    """The layer of tools (tool, name): 1 works on raw signals (names of ``primitive``), 3 screens or reports (``screening``), 2 is in between."""
+    name = F.lower("name")
+    has = lambda words: F.greatest(*[F.contains(name, F.lit(w)) for w in words], F.lit(False))
+    level = F.when(has(primitive), 1).when(has(screening), 3).otherwise(2)
+    return tools.select("tool", level.cast("long").alias("level"), F.when(level == 1, "signal").when(level == 3, "task").otherwise("representation").alias("layer"))

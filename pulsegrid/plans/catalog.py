@@ -151,3 +151,43 @@ def missing_tool_categories(spark, sf_dir):
 SELECT id, len(f) AS n, array_to_string(f, ' | ') AS snippets FROM n""")
 def metric_snippets(spark, sf_dir):
     return op.metric_snippets(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.split("text", r"\. ").alias("notes")))
+
+
+_BACKENDS = ("none", "oracle", "retrieval", "replay", "rules")
+_T = _TOOL_SQL + "[l_suppkey % 7 + 1]"
+
+
+@query("plan_backends", f"""WITH c AS (SELECT l_orderkey AS id, coalesce(list({_T} ORDER BY l_linenumber, {_T}) FILTER (WHERE l_linenumber <= 2), []) AS expected, coalesce(list({_T} ORDER BY l_linenumber, {_T}) FILTER (WHERE l_quantity > 25), []) AS retrieved,
+  coalesce(list({_T} ORDER BY l_linenumber, {_T}) FILTER (WHERE l_returnflag = 'R'), []) AS replayed, coalesce(list({_T} ORDER BY l_linenumber, {_T}) FILTER (WHERE l_discount < 0.05), []) AS ruled FROM lineitem GROUP BY 1),
+b AS (SELECT *, unnest([{", ".join(f"'{b}'" for b in _BACKENDS)}]) AS backend FROM c),
+p AS (SELECT id, backend, CASE backend WHEN 'none' THEN [] WHEN 'oracle' THEN expected WHEN 'retrieval' THEN retrieved WHEN 'replay' THEN CASE WHEN len(replayed) = 0 THEN ruled ELSE replayed END ELSE ruled END AS t, backend = 'replay' AND len(replayed) = 0 AS missed FROM b),
+d AS (SELECT *, list_filter(t, lambda x, i: list_position(t, x) = i) AS u FROM p) SELECT id, backend, len(u) AS tools, array_to_string(u, ',') AS plan, CASE WHEN missed THEN 'replay_missed' ELSE '' END AS note FROM d""")
+def plan_backends(spark, sf_dir):
+    name = F.element_at(F.array(*[F.lit(t) for t in _TOOLS]), (F.col("l_suppkey") % len(_TOOLS) + 1).cast("int"))
+    line = F.struct("l_linenumber", name.alias("tool"))
+    of = lambda where: F.transform(F.array_sort(F.collect_list(F.when(F.expr(where), line))), lambda s: s["tool"])
+    cases = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
+        of("l_linenumber <= 2").alias("expected"), of("l_quantity > 25").alias("retrieved"), of("l_returnflag = 'R'").alias("replayed"), of("l_discount < 0.05").alias("ruled")
+    )
+    return op.plan_cases(cases, list(_BACKENDS))
+
+
+@query("session_samples", """WITH r AS (SELECT conv_id AS session, turn AS label, role AS modality, CASE WHEN turn % 2 = 0 THEN 'plan' ELSE 'reply' END AS tools, length(text) AS result, CASE WHEN role = 'assistant' THEN 'said ' || length(text) ELSE '' END AS report FROM conversations),
+s AS (SELECT session, count(*) AS runs, list({'label': label, 'modality': modality, 'tools': tools} ORDER BY label, modality, tools, result) AS plans, list({'label': label, 'modality': modality, 'result': result} ORDER BY label, modality, tools, result) AS results,
+  coalesce(string_agg(report, chr(10) || chr(10) ORDER BY label, modality, tools, result) FILTER (WHERE report <> ''), '') AS summary FROM r GROUP BY session)
+SELECT session, runs, 'session_planning' AS task, to_json({'session': session})::VARCHAR AS request, to_json({'signal_plans': plans})::VARCHAR AS answer FROM s
+UNION ALL SELECT session, runs, 'session_execution', to_json({'session': session, 'signal_plans': plans})::VARCHAR, to_json({'signal_results': results})::VARCHAR FROM s
+UNION ALL SELECT session, runs, 'session_report', to_json({'session': session, 'signal_results': results})::VARCHAR, to_json({'summary': summary})::VARCHAR FROM s""")
+def session_samples(spark, sf_dir):
+    n = F.length("text")
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("session"), F.col("turn").alias("label"), F.col("role").alias("modality"), F.when(F.col("turn") % 2 == 0, "plan").otherwise("reply").alias("tools"), n.alias("result"),
+        F.when(F.col("role") == "assistant", F.concat(F.lit("said "), n.cast("string"))).otherwise("").alias("report"),
+    )
+    return op.session_samples(rows)
+
+
+@query("tool_levels", f"""SELECT doc_id AS tool, CASE WHEN {_has("lower(source)", "0", "1")} THEN 1 WHEN {_has("lower(source)", "5", "7")} THEN 3 ELSE 2 END::BIGINT AS level,
+  CASE WHEN {_has("lower(source)", "0", "1")} THEN 'signal' WHEN {_has("lower(source)", "5", "7")} THEN 'task' ELSE 'representation' END AS layer FROM documents""")
+def tool_levels(spark, sf_dir):
+    return op.tool_levels(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tool"), F.col("source").alias("name")), ("0", "1"), ("5", "7"))
