@@ -22,6 +22,17 @@ hi AS (SELECT e.record, e.idx, any_value(x) AS x, 2 / 64.0::DOUBLE * sum(c * sin
 en AS (SELECT record, idx, x, sqrt(x * x + h * h) AS e FROM hi)"""
 
 
+def _trapezoid(low: int, high: int) -> str:
+    """The integral over bins low to high, a bin wide one."""
+    return f"(sum(p) FILTER (WHERE k BETWEEN {low} AND {high}) - (sum(p) FILTER (WHERE k = {low}) + sum(p) FILTER (WHERE k = {high})) / 2)"
+
+
+#: Of each signal: median, robust deviation, percentiles and largest size; and its steps.
+LEVELS_SQL = """lv AS (SELECT record, median(x) AS med, quantile_cont(x, 0.01) AS p1, quantile_cont(x, 0.05) AS p5, quantile_cont(x, 0.95) AS p95, quantile_cont(x, 0.99) AS p99, max(abs(x)) AS top, stddev_pop(x) AS sd, median(abs(x)) AS mid FROM samples GROUP BY record),
+rb AS (SELECT s.record, 1.4826::DOUBLE * median(abs(x - med)) + 1e-8::DOUBLE AS s FROM samples s JOIN lv USING (record) GROUP BY s.record),
+sx AS (SELECT s.record, idx, x, abs(x - lag(x) OVER (PARTITION BY s.record ORDER BY idx)) AS step, lv.* EXCLUDE (record), rb.s FROM samples s JOIN lv USING (record) JOIN rb USING (record))"""
+
+
 def spectrum_sql(edges: tuple[float, ...]) -> str:
     bands = ", ".join(f"round(coalesce(sum(p) FILTER (WHERE k >= {a} AND k < {b}), 0) / (sum(p) FILTER (WHERE k >= {edges[0]} AND k < {edges[-1]}) + 1e-12::DOUBLE), 6) AS band_{i}" for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)))
     return f"""WITH {PERIODOGRAM_SQL}, {envelope_sql("median")}, cu AS (SELECT *, sum(p) OVER (PARTITION BY record ORDER BY k) AS c, sum(p) OVER (PARTITION BY record) AS t FROM pg),
@@ -101,17 +112,22 @@ def image_median_trace(spark, sf_dir):
     return mask.groupBy("image", "x").agg(F.median("y").alias("y"), F.count("*").alias("pixels"))
 
 
-@query("eeg_seizure_screen")
+@query("eeg_seizure_screen", f"""WITH {PERIODOGRAM_SQL}, {LEVELS_SQL}, o AS (SELECT record, idx, abs(x - med) > 6 * s AS hot FROM sx), e AS (SELECT record, hot AND NOT coalesce(lag(hot) OVER (PARTITION BY record ORDER BY idx), false) AS up FROM o),
+n AS (SELECT record, count(*) FILTER (WHERE up) AS spikes FROM e GROUP BY record), f AS (SELECT record, {_trapezoid(13, 28)} / greatest({_trapezoid(1, 28)}, 1e-12::DOUBLE) AS fast FROM pg GROUP BY record)
+SELECT record, spikes, round(spikes * 60.0::DOUBLE, 6) AS spikes_per_min, round(fast, 6) AS fast_ratio, CASE WHEN spikes * 60 > 12 OR fast > 0.45 THEN 'possible' ELSE 'none' END AS risk FROM n JOIN f USING (record)""")
 def eeg_seizure_screen(spark, sf_dir):
     return neuro.seizure_screen(signals(spark, sf_dir), RATE)
 
 
-@query("eeg_drowsiness")
+@query("eeg_drowsiness", f"""WITH {PERIODOGRAM_SQL}, f AS (SELECT record, {_trapezoid(1, 3)} AS d, {_trapezoid(4, 7)} AS t, {_trapezoid(8, 12)} AS a, greatest({_trapezoid(1, 28)}, 1e-12::DOUBLE) AS w FROM pg GROUP BY record)
+SELECT record, round(t / (a + 1e-12::DOUBLE), 6) AS theta_alpha, round((t + d) / w, 6) AS slow_ratio, CASE WHEN t / (a + 1e-12::DOUBLE) > 1.2 OR (t + d) / w > 0.55 THEN 'drowsy' ELSE 'alert' END AS hint FROM f""")
 def eeg_drowsiness(spark, sf_dir):
     return neuro.drowsiness(signals(spark, sf_dir), RATE)
 
 
-@query("eeg_artifacts")
+@query("eeg_artifacts", f"""WITH {PERIODOGRAM_SQL}, {LEVELS_SQL}, e AS (SELECT record, avg(CASE WHEN abs(x - med) > 8 * s THEN 1.0::DOUBLE ELSE 0 END) AS extreme FROM sx GROUP BY record),
+f AS (SELECT record, {_trapezoid(20, 28)} / ({_trapezoid(0, 32)} + 1e-12::DOUBLE) AS fast FROM pg GROUP BY record)
+SELECT record, round(extreme, 6) AS extreme, round(fast, 6) AS fast_ratio, ['low', 'moderate', 'high'][(extreme > 0.01)::INT + (fast > 0.35)::INT + 1] AS level FROM e JOIN f USING (record)""")
 def eeg_artifacts(spark, sf_dir):
     return neuro.brain_artifacts(signals(spark, sf_dir), 100.0)
 
@@ -136,7 +152,9 @@ def resp_events(spark, sf_dir):
     return neuro.breath_events(signals(spark, sf_dir), 2.0, 2.0)
 
 
-@query("acc_activity")
+@query("acc_activity", f"""WITH {SAMPLES_SQL}, {LEVELS_SQL}, g AS (SELECT record, x / CASE WHEN mid > 5 THEN 9.80665::DOUBLE WHEN mid > 0.5 THEN 1.0::DOUBLE ELSE greatest(mid, 1e-8::DOUBLE) END AS g, coalesce(step, 0) / CASE WHEN mid > 5 THEN 9.80665::DOUBLE WHEN mid > 0.5 THEN 1.0::DOUBLE ELSE greatest(mid, 1e-8::DOUBLE) END * 16 AS j FROM sx),
+a AS (SELECT record, stddev_pop(g) AS sd, quantile_cont(g, 0.95) - quantile_cont(g, 0.05) AS span, quantile_cont(j, 0.95) AS jerk FROM g GROUP BY record)
+SELECT record, round(sd, 6) AS sd, round(span, 6) AS span, round(jerk, 6) AS jerk_p95, CASE WHEN sd > 0.35 OR jerk > 3 THEN 'high' WHEN sd > 0.08 OR jerk > 0.8 THEN 'moderate' ELSE 'low' END AS activity FROM a""")
 def acc_activity(spark, sf_dir):
     return neuro.motion_summary(signals(spark, sf_dir), 16.0)
 
@@ -166,7 +184,11 @@ def abp_pulses(spark, sf_dir):
     return cardiac.pressure_pulses(pressure_signals(spark, sf_dir), 8.0)
 
 
-@query("ppg_artifacts")
+@query("ppg_artifacts", f"""WITH {PERIODOGRAM_SQL}, {LEVELS_SQL}, a AS (SELECT record, avg(CASE WHEN step <= greatest((p95 - p5) * 1e-4::DOUBLE, 1e-8::DOUBLE) THEN 1.0::DOUBLE WHEN step IS NOT NULL THEN 0 END) AS flat,
+  CASE WHEN any_value(p95 - p5) > 0 THEN avg(CASE WHEN x <= p1 + (p95 - p5) * 1e-3::DOUBLE OR x >= p99 - (p95 - p5) * 1e-3::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) ELSE 1 END AS sat FROM sx GROUP BY record),
+f AS (SELECT record, {_trapezoid(0, 2)} / ({_trapezoid(0, 32)} + 1e-12::DOUBLE) AS wander, {_trapezoid(23, 32)} / ({_trapezoid(0, 32)} + 1e-12::DOUBLE) AS noise FROM pg GROUP BY record)
+SELECT record, round(flat, 6) AS flat, round(sat, 6) AS saturated, round(wander, 6) AS wander, round(noise, 6) AS noise, round(least(1, least(0.35::DOUBLE, 2 * flat) + least(0.25::DOUBLE, 1.5::DOUBLE * greatest(0, sat - 0.08::DOUBLE))
+  + least(0.25::DOUBLE, 0.8::DOUBLE * greatest(0, wander - 0.45::DOUBLE)) + least(0.2::DOUBLE, 0.8::DOUBLE * greatest(0, noise - 0.2::DOUBLE))), 6) AS score FROM a JOIN f USING (record)""")
 def ppg_artifacts(spark, sf_dir):
     return cardiac.pulse_artifacts(signals(spark, sf_dir), 8.0)
 
@@ -176,7 +198,9 @@ def ppg_amplitudes(spark, sf_dir):
     return cardiac.pulse_amplitudes(signals(spark, sf_dir), 8.0)
 
 
-@query("scg_quality")
+@query("scg_quality", f"""WITH {PERIODOGRAM_SQL}, {LEVELS_SQL}, w AS (SELECT record, idx // 16 AS w, stddev_pop(x) AS ws, any_value(sd) AS sd, any_value(p95 - p5) AS span FROM sx GROUP BY record, idx // 16), a AS (SELECT record, avg(CASE WHEN ws < 0.05::DOUBLE * sd THEN 1.0::DOUBLE ELSE 0 END) AS flat, any_value(span) AS span FROM w GROUP BY record),
+f AS (SELECT record, {_trapezoid(1, 28)} / ({_trapezoid(1, 28)} + 1e-12::DOUBLE) AS heart FROM pg GROUP BY record), r AS (SELECT *, (span < 0.1)::BIGINT + (flat > 0.1)::BIGINT + (heart < 0.25)::BIGINT AS reasons FROM a JOIN f USING (record))
+SELECT record, round(heart, 6) AS cardiac, 0.0::DOUBLE AS motion, 0.0::DOUBLE AS fast, round(flat, 6) AS flat, reasons, CASE WHEN reasons > 0 THEN 'bad' WHEN heart < 0.45 THEN 'moderate' ELSE 'good' END AS quality FROM r""")
 def scg_quality(spark, sf_dir):
     return cardiac.seismo_quality(signals(spark, sf_dir), RATE)
 
@@ -186,7 +210,12 @@ def pcg_heart_sounds(spark, sf_dir):
     return cardiac.heart_sounds(signals(spark, sf_dir), 20.0)
 
 
-@query("ecg_artifacts")
+@query("ecg_artifacts", f"""WITH {PERIODOGRAM_SQL}, {LEVELS_SQL}, a AS (SELECT record, CASE WHEN any_value(top) > 0 THEN avg(CASE WHEN abs(x) >= 0.999::DOUBLE * top THEN 1.0::DOUBLE ELSE 0 END) ELSE 1 END AS sat, any_value(p95 - p5) AS span,
+  avg(CASE WHEN step <= greatest(1e-4::DOUBLE * (p95 - p5), 1e-8::DOUBLE) THEN 1.0::DOUBLE WHEN step IS NOT NULL THEN 0 END) AS flat FROM sx GROUP BY record),
+f AS (SELECT record, {_trapezoid(0, 32)} + 1e-12::DOUBLE AS t, sum(p) FILTER (WHERE k = 0) AS w, sum(p) FILTER (WHERE k >= 26) AS h, greatest(sum(p) FILTER (WHERE k = 26), sum(p) FILTER (WHERE k = 31)) AS m FROM pg GROUP BY record),
+q AS (SELECT record, sat, flat, w / t AS wander, h / t AS fast, m / t AS mains, CASE WHEN sat > 0.05 THEN 0.6::DOUBLE ELSE 1 END * CASE WHEN flat > 0.2 THEN 0.5::DOUBLE ELSE 1 END * CASE WHEN w / t > 0.4 THEN 0.8::DOUBLE ELSE 1 END
+  * CASE WHEN h / t > 0.35 THEN 0.7::DOUBLE ELSE 1 END * CASE WHEN m / t > 0.25 THEN 0.8::DOUBLE ELSE 1 END * CASE WHEN span <= 1e-8 THEN 0.1::DOUBLE ELSE 1 END AS sqi FROM a JOIN f USING (record))
+SELECT record, round(sat, 6) AS saturation, round(flat, 6) AS flat, round(wander, 6) AS wander, round(fast, 6) AS fast, round(mains, 6) AS mains, round(sqi, 6) AS sqi, CASE WHEN sqi >= 0.75 THEN 'good' WHEN sqi >= 0.45 THEN 'moderate' ELSE 'bad' END AS quality FROM q""")
 def ecg_artifacts(spark, sf_dir):
     return cardiac.ecg_artifacts(signals(spark, sf_dir), 125.0)
 

@@ -135,16 +135,35 @@ def _spans(spark, sf_dir, kind, late):
     return beats(spark, sf_dir).where(F.col("kind") == kind).select("record", t.alias("start"), (t + 0.2 + F.col("x") / 100).alias("end"))
 
 
-@query("edge_matching")
+def _interval_matching(rule: str, tolerance: float) -> str:
+    """The scan of ``match_intervals`` step by step: the partners used so far, and their overlap over union."""
+    a, h = ("ts", "ds") if rule == "after" else ("ds", "ts")
+    shared = f"least({a}[i + 1].e, {h}[j].e) - greatest({a}[i + 1].s, {h}[j].s)"
+    fits, score = {
+        "edges": (f"abs({a}[i + 1].s - {h}[j].s) <= {tolerance} AND abs({a}[i + 1].e - {h}[j].e) <= {tolerance}", f"abs({a}[i + 1].s - {h}[j].s) + abs({a}[i + 1].e - {h}[j].e)"),
+        "overlap": (f"{shared} > 0 AND {shared} >= {tolerance}", f"-({shared})"),
+        "after": (f"{h}[j].s - {a}[i + 1].s BETWEEN 0 AND {tolerance}", f"{h}[j].s - {a}[i + 1].s"),
+    }[rule]
+    union = f"greatest({a}[i + 1].e, {h}[best.j].e) - least({a}[i + 1].s, {h}[best.j].s)"
+    return f"""WITH RECURSIVE {BEATS_SQL}, sp AS (SELECT record, kind, t + late AS s, t + late + 0.2::DOUBLE + x / 100 AS e FROM (SELECT *, CASE kind WHEN 'view' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS late FROM beats WHERE kind IN ('click', 'view'))),
+m AS (SELECT record, coalesce(list({{'s': s, 'e': e}} ORDER BY s, e) FILTER (WHERE kind = 'click'), []) AS ds, coalesce(list({{'s': s, 'e': e}} ORDER BY s, e) FILTER (WHERE kind = 'view'), []) AS ts FROM sp GROUP BY record),
+r AS (SELECT record, 0::BIGINT AS i, []::BIGINT[] AS used, 0.0::DOUBLE AS iou FROM m UNION ALL
+  SELECT record, i + 1, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.j) END, iou + CASE WHEN best IS NULL THEN 0 ELSE greatest(0, {shared.replace("[j]", "[best.j]")}) / greatest({union}, 1e-12::DOUBLE) END FROM (
+    SELECT r.record, i, used, iou, ds, ts, list_min(list_transform(list_filter(range(1, len({h}) + 1), lambda j: {fits} AND NOT list_contains(used, j)), lambda j: {{'d': {score}, 'j': j}})) AS best FROM r JOIN m USING (record) WHERE i < len({a}))),
+f AS (SELECT record, len(used) AS tp, len(ds) AS d, len(ts) AS t, iou FROM r JOIN m USING (record) WHERE i = len({a})), g AS (SELECT *, CASE WHEN d > 0 THEN tp / d::DOUBLE ELSE 0 END AS p, CASE WHEN t > 0 THEN tp / t::DOUBLE ELSE 0 END AS q FROM f)
+SELECT record, tp, d - tp AS fp, t - tp AS fn, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6) AS f1, round(CASE WHEN tp > 0 THEN iou / tp ELSE 0 END, 6) AS mean_iou FROM g"""
+
+
+@query("edge_matching", _interval_matching("edges", 1.0))
 def edge_matching(spark, sf_dir):
     return op.match_intervals(_spans(spark, sf_dir, "click", 0.0), _spans(spark, sf_dir, "view", 0.1), "edges", 1.0)
 
 
-@query("overlap_matching")
+@query("overlap_matching", _interval_matching("overlap", 0.1))
 def overlap_matching(spark, sf_dir):
     return op.match_intervals(_spans(spark, sf_dir, "click", 0.0), _spans(spark, sf_dir, "view", 0.1), "overlap", 0.1)
 
 
-@query("directional_matching")
+@query("directional_matching", _interval_matching("after", 1.0))
 def directional_matching(spark, sf_dir):
     return op.match_intervals(_spans(spark, sf_dir, "click", 0.0), _spans(spark, sf_dir, "view", 0.1), "after", 1.0)
