@@ -129,7 +129,7 @@ def session_window_stream(spark, sf_dir):
     return sessions(event_rows(spark, sf_dir))
 
 
-def _spans(spark, sf_dir, kind, late):
+def _stretches(spark, sf_dir, kind, late):
     """Events of a kind as intervals whose length follows from their value."""
     t = F.col("t") + late
     return beats(spark, sf_dir).where(F.col("kind") == kind).select("record", t.alias("start"), (t + 0.2 + F.col("x") / 100).alias("end"))
@@ -156,14 +156,14 @@ SELECT record, tp, d - tp AS fp, t - tp AS fn, round(p, 6) AS precision, round(q
 
 @query("edge_matching", _interval_matching("edges", 1.0))
 def edge_matching(spark, sf_dir):
-    return op.match_intervals(_spans(spark, sf_dir, "click", 0.0), _spans(spark, sf_dir, "view", 0.1), "edges", 1.0)
+    return op.match_intervals(_stretches(spark, sf_dir, "click", 0.0), _stretches(spark, sf_dir, "view", 0.1), "edges", 1.0)
 
 
 @query("overlap_matching", _interval_matching("overlap", 0.1))
 def overlap_matching(spark, sf_dir):
-    return op.match_intervals(_spans(spark, sf_dir, "click", 0.0), _spans(spark, sf_dir, "view", 0.1), "overlap", 0.1)
+    return op.match_intervals(_stretches(spark, sf_dir, "click", 0.0), _stretches(spark, sf_dir, "view", 0.1), "overlap", 0.1)
 
 
 @query("directional_matching", _interval_matching("after", 1.0))
 def directional_matching(spark, sf_dir):
-    return op.match_intervals(_spans(spark, sf_dir, "click", 0.0), _spans(spark, sf_dir, "view", 0.1), "after", 1.0)
+    return op.match_intervals(_stretches(spark, sf_dir, "click", 0.0), _stretches(spark, sf_dir, "view", 0.1), "after", 1.0)

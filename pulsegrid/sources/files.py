@@ -158,3 +158,9 @@ def write_traces(traces: DataFrame, path: str) -> None:
     now = F.current_timestamp()
     named = traces.withColumn("created_at", now).withColumn("trace_id", F.concat(F.date_format(now, "yyyyMMdd'T'HHmmss"), F.lit("_"), F.substring(F.uuid(), 1, 8)))
     named.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").json(path)
+
+
+def write_delimited(rows: DataFrame, path: str, sep: str = ",") -> None:
+    """Writes rows as delimited files with a header; arrays and structs as JSON."""
+    flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f.name) for f in rows.schema]
+    rows.select(*flat).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)

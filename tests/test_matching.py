@@ -111,6 +111,15 @@ def test_pulse_points_of_a_known_wave(spark):
     assert (shape.pulses, shape.amplitude, shape.rise, shape.slope) == (4, 9.0, 0.25, 36.0)
 
 
+def test_delimited_files_come_back(spark, tmp_path):
+    from pulsegrid.sources import files
+
+    rows = spark.createDataFrame([(1, 0.5, ["a", "b"]), (2, None, [])], "i long, x double, tags array<string>")
+    files.write_delimited(rows, str(tmp_path / "out"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "out")).orderBy("i").collect()
+    assert [tuple(r) for r in back] == [("1", "0.5", '["a","b"]'), ("2", None, "[]")]
+
+
 def test_cascade_takes_the_first_method_with_a_value(spark):
     d = lambda rows: spark.createDataFrame(rows, "record long, value double")
     got = {tuple(r) for r in screens.cascade(("a", d([(1, None), (2, 5.0)])), ("b", d([(1, 3.0), (2, 4.0)])), ("c", d([(3, 1.0)]))).collect()}
