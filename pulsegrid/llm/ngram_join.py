@@ -40,7 +40,7 @@ LOCAL_LEAST = 3
 #: Bits an element in wide bitmaps.
 WIDE = 8
 #: Documents in a block of a tile, and shingles in a block of a component.
-BLOCK = 1024
+BLOCK = 2048
 BLOCK_SHINGLES = 1 << 20
 #: Rows and bytes of whole tiles handled together.
 TILE_ROWS, TILE_BYTES = 20_000, 32 << 20
@@ -203,21 +203,21 @@ def shared_shingles(reps: DataFrame) -> DataFrame:
     sort: these are dealt once and looked at by windows.  Frequent ones are counted with a
     combining aggregate and joined, so that AQE can split a hot shingle.
     """
-    tokens = reps.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("doc"), "n", "rare")
-    bit, h = F.expr("shiftleft(1L, least(band, 62))"), F.xxhash64("doc")
+    tokens = reps.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "rare")
+    size_band = F.least(band(F.col("n")), F.lit(62))
     found = {
-        "docs": F.count("*"), "lead": F.min(F.struct("doc", "n", "pos")), "bands": F.bit_or(bit),
-        "k1": F.bit_xor(h), "k2": F.sum(F.shiftright(h, 24)), "at": F.sum("pos"),
+        "docs": F.count("*"), "lead": F.min(F.struct("doc", "n", "pos")), "bands": F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), size_band)),
+        "k1": F.bit_xor(F.xxhash64("doc")), "k2": F.sum(F.shiftright(F.xxhash64("doc"), 24)), "at": F.sum("pos"),
     }
-    cols = ("token", "doc", "n", "pos", *found)
-    tile = Window.partitionBy("token")
-    rare = tokens.where("pos < rare").drop("rare").withColumn("band", band(F.col("n")))
+    cols, tile = ("token", "doc", "n", "pos", *found), Window.partitionBy("token")
+    # dealt while the rows are narrow; what the windows look at is made after the shuffle
+    rare = tokens.where("pos < rare").drop("rare").repartition("token")
     rare = rare.withColumns({k: v.over(tile) for k, v in found.items()}).where("docs > 1").select(*cols)
-    often = tokens.where("pos >= rare").drop("rare").withColumn("band", band(F.col("n")))
+    often = tokens.where("pos >= rare").drop("rare")
     shared = materialize(often.groupBy("token").agg(*[v.alias(k) for k, v in found.items()]).where("docs > 1"), "shared")
     index = materialize(rare.unionByName(often.join(shared, "token").select(*cols)), "index")
-    first = index.groupBy("k1", "k2", "docs").agg(F.min(F.struct("at", "token"))["token"].alias("token")).select("token")
-    return materialize(index.drop("k1", "k2", "at", "docs").join(materialize(first, "first"), "token"), "tiles")
+    first = index.groupBy("k1", "k2", "docs").agg(F.min(F.struct("at", "token", "lead", "bands")).alias("f")).select("f.token", "f.lead", "f.bands")
+    return materialize(index.select("token", "doc", "n", "pos").join(materialize(first, "first"), "token"), "tiles")
 
 
 def star_pairs(index: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -272,10 +272,13 @@ def touching(index: DataFrame, components: DataFrame, sigs: DataFrame) -> DataFr
     member = materialize(member, "placed")
     h = F.xxhash64("doc", "own")
     tiles = member.groupBy("token", "band").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("own").alias("any"), F.bit_xor(h).alias("k1"), F.sum(F.shiftright(h, 24)).alias("k2"), F.count("*").alias("size"), F.sum("pos").alias("at")
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.when(F.col("own"), F.col("n"))).alias("least_own"), F.max(F.when(~F.col("own"), F.col("n"))).alias("most_visitor"), F.count_if("own").alias("owns"), F.bit_xor(h).alias("k1"), F.sum(F.shiftright(h, 24)).alias("k2"), F.count("*").alias("size"), F.sum("pos").alias("at")
     )
-    tiles = tiles.where("lo <> hi and any").groupBy("band", "k1", "k2", "size").agg(F.min(F.struct("at", "token")).alias("t")).select("t.token", "band", "size")
-    member = member.join(materialize(tiles, "tiles"), ["token", "band"])
+    first = F.min(F.struct("at", "token", "least_own", "most_visitor", "owns")).alias("t")
+    tiles = tiles.where("lo <> hi and owns > 0").groupBy("band", "k1", "k2", "size").agg(first).select("t.*", "band", "size").drop("at")
+    # a visitor needs a document of the band that is not too large for it, a document of the band another one or such a visitor
+    partner = F.when(F.col("own"), (F.col("owns") > 1) | (100 * F.col("most_visitor") >= PERCENT * F.col("n"))).otherwise(100 * F.col("n") >= PERCENT * F.col("least_own"))
+    member = member.join(materialize(tiles, "tiles"), ["token", "band"]).where(partner)
     blocks = F.ceil(F.col("size") / BLOCK)
     mine = F.pmod(F.xxhash64("doc"), blocks)
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
