@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dups, exact_dedup, html_graph, langid, mixing, ngram_join, packing, secrets, token_binary
-from .common import materialize
+from . import chat, embed_dups, exact_dedup, html_graph, langid, mixing, ngram_join, packing, ranked_search, secrets, token_binary, token_counts, whitening
+from .common import materialize, scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,20 @@ def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dups.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a cache of its own, so every distinct text is encoded."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, _tokenizer("word_bpe_49k.json"), scratch_path(spark, "token_cache"))
+
+
 OP1_SQL = """
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
@@ -107,6 +121,25 @@ g AS (SELECT doc_id, sha256(t) AS text_sha256, min(doc_id) OVER (PARTITION BY t)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND first AS kept, text_sha256 FROM g
 """
 
+OP12_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'),
+    t -> translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms FROM documents),
+q AS (
+  SELECT DISTINCT item_id, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT item_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark)),
+total AS (SELECT CAST(count(*) AS BIGINT) AS held, CAST(sum(len(terms)) AS BIGINT) AS length FROM d WHERE len(terms) > 0),
+hits AS (
+  SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(held) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM hits, total GROUP BY term),
+scored AS (
+  SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * held) // length)))) AS BIGINT) AS score
+  FROM hits JOIN weights USING (term) JOIN q USING (term), total GROUP BY item_id, row, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -120,8 +153,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_packing": op9_packing,
         "op10_embedding_dups": op10_embedding_dups,
+        "op11_whitening": op11_whitening,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_token_counts": op13_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op12_ranked_search": OP12_SQL}
