@@ -25,3 +25,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Steps:
+    """The tables of an iteration: each is written to the shared folder, and the one before it goes once its successor is there."""
+
+    def __init__(self, name: str) -> None:
+        self.name, self.path = name, None
+
+    def write(self, df: DataFrame) -> DataFrame:
+        spark, before = df.sparkSession, self.path
+        self.path = shared_path(spark, self.name)
+        df.write.parquet(self.path)
+        if before:
+            deleted(spark, before)
+        return spark.read.schema(df.schema).parquet(self.path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``shared_path`` has named."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
