@@ -21,7 +21,7 @@ def per_signal(signals: DataFrame, schema: str, f: Callable[[np.ndarray], dict[s
     """Applies f (matrix to columns) to signals (record, values); schema names the columns after record."""
     kinds = [tuple(c.split()) for c in schema.split(", ")]
     names = [n for n, _ in kinds]
-    types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
 
     def run(batches):
         for b in batches:
