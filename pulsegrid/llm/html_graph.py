@@ -320,6 +320,7 @@ def labelled_pages() -> list[str]:
         f"<div data-y=0 class='ad-container google-ad'>{line}</div>", f"<div data-y=0 class=footer-links>{menu}</div>", f"<div data-y=0 class=comment-thread>{talk}</div>",
         f"<div data-y=0 class=ad-box>{line}</div>", f"<div data-y=0 class='top-ad'>{long}</div>", f"<div data-y=0 id=ad-unit-1><p>Save now</p></div>",
         f"<div data-y=0 class=footer-wrapper>{line}</div>", f"<div data-y=0 class=nav-container>{menu}</div>", f"<div data-y=0 id=comments-wrapper>{talk}</div>", f"<div data-y=0 class='promo-wrapper'>{line}</div>",
+        f"<section data-y=0 id=comments><p>{said}</p></section>", f"<section data-y=0 class=comments>{line}</section>", f"<section data-y=0 class='related-posts'>{line}{menu}</section>", f"<section data-y=0 class=newsletter>{line}</section>",
     ]
     # content whose names share words with what is not
     contrary = [
