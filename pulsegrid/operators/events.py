@@ -197,12 +197,16 @@ def match_intervals(detected: DataFrame, truth: DataFrame, rule: str, tolerance:
         pdf = pdf.sort_values(["start", "end"])
         sides = [list(zip(g.start, g.end, strict=True)) for g in (pdf[pdf.side == 0], pdf[pdf.side == 1])]
         asks, held = sides if rule != "after" else sides[::-1]
-        free, iou = set(range(len(held))), []
+        near_by, at, iou = [], 0, []  # free ones of ``held`` that may still match, and the next to come
         for a in asks:
-            near = [(s, j) for j in sorted(free) if (s := score(a, held[j])) is not None]
+            while at < len(held) and held[at][0] <= (a[1] if rule == "overlap" else a[0] + tolerance):
+                near_by.append(at)
+                at += 1
+            near_by = [j for j in near_by if (held[j][1] > a[0] if rule == "overlap" else held[j][0] >= a[0] - (tolerance if rule == "edges" else 0.0))]
+            near = [(s, j) for j in near_by if (s := score(a, held[j])) is not None]
             if near:
                 b = held[min(near)[1]]
-                free.discard(min(near)[1])
+                near_by.remove(min(near)[1])
                 iou.append(max(0.0, min(a[1], b[1]) - max(a[0], b[0])) / max(max(a[1], b[1]) - min(a[0], b[0]), 1e-12))
         return pd.DataFrame({"record": [pdf.record.iloc[0]], "d": [0], "t": [0], "tp": [len(iou)], "iou": [float(sum(iou))]})
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,43 +60,80 @@ def apnea_risk(spo2: DataFrame, width: int) -> DataFrame:
     return rows.select("record", r6(score).alias("score"), ladder(r6(score), [(0.7, "high"), (0.4, "moderate")], "low").alias("risk"))
 
 
+class DropScan:
+    """Desaturations of one record, reading by reading; what it keeps does not grow with the record or the event.
+
+    An event starts with a reading below baseline - drop and lasts to its last such reading.  It is over
+    once a reading is within 1 of the baseline at its start, or no low one came for
+    ``gap`` seconds.  Readings since the last low one wait, since they count only if another follows.
+    """
+
+    def __init__(self, drop: float, least: int, gap: int, rate: float) -> None:
+        self.drop, self.least, self.gap, self.rate = drop, least, gap, rate
+        self.start = self.last = -1
+        self.base = self.nadir = self.area = self.before = 0.0
+        self.waiting: list[float] = []
+
+    def _count(self, x: float) -> None:
+        under = max(0.0, self.base - x)
+        self.area += (self.before + under) / 2
+        self.before, self.nadir = under, min(self.nadir, x)
+
+    def feed(self, i: int, x: float, base: float) -> tuple | None:
+        """Takes reading i; returns the event that it ends."""
+        if x < base - self.drop:
+            if self.start < 0:
+                self.start, self.base, self.nadir, self.area, self.before = i, base, x, 0.0, max(0.0, base - x)
+            else:
+                for w in (*self.waiting, x):
+                    self._count(w)
+            self.last = i
+            self.waiting.clear()
+        elif self.start >= 0:
+            if x >= self.base - 1 or (i - self.last) / self.rate > self.gap:
+                return self.close()
+            self.waiting.append(x)
+        return None
+
+    def event(self) -> tuple | None:
+        """The open event as far as it goes: start, end, seconds, depth, nadir, area."""
+        n = self.last - self.start + 1
+        if self.start < 0 or n < self.least:
+            return None
+        return self.start, self.last + 1, n / self.rate, round(self.base - self.nadir, 6), self.nadir, round(self.area / self.rate, 6)
+
+    def close(self) -> tuple | None:
+        out = self.event()
+        self.start = -1
+        self.waiting.clear()
+        return out
+
+
 def desaturations(spo2: DataFrame, drop: float, width: int, least: int, gap: int = 3, rate: float = 1.0) -> DataFrame:
     """Desaturation events with recovery: from the first reading below baseline - drop until recovery to
     within 1 of the baseline at the start, or until no such reading came for ``gap`` seconds.
 
-    The scan carries state from reading to reading, but no event outlasts ``gap`` seconds without a
-    low reading, or a reading within 1 of the highest baseline so far.  A record is cut there, and
-    each piece, from a low reading to ``gap`` after its last one, is a group of its own.
+    The window of the baseline leaves the readings of a record side by side and in order, so they stream through one
+    ``DropScan`` a record: no group is gathered, and nothing is shuffled again.
     """
-    schema = "record long, start long, end long, duration_s double, depth double, nadir double, area double"
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        x, base, out, first = pdf.spo2.to_numpy(), pdf.baseline.to_numpy(), [], int(pdf.i.iloc[0])
-        start = last = -1
-
-        def close(start: int, last: int) -> None:
-            part = x[start : last + 1]
-            if len(part) >= least:
-                under = np.maximum(0, base[start] - part)
-                out.append((pdf.record.iloc[0], first + start, first + last + 1, len(part) / rate, round(base[start] - part.min(), 6), part.min(), round(float(np.trapezoid(under)) / rate, 6)))
-
-        for i in range(len(x)):
-            if x[i] < base[i] - drop:
-                start, last = (i, i) if start < 0 else (start, i)
-            elif start >= 0 and (x[i] >= base[start] - 1 or (i - last) / rate > gap):
-                close(start, last)
-                start = -1
-        if start >= 0:
-            close(start, last)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    before, so_far = _order().rowsBetween(Window.unboundedPreceding, -1), _order().rowsBetween(Window.unboundedPreceding, 0)
-    low = F.col("spo2") < F.col("baseline") - drop
-    rows = rolling_baseline(spo2, width).withColumns({"i": F.row_number().over(_order()).cast("long") - 1, "low": F.coalesce(low, F.lit(False)), "top": F.max("baseline").over(so_far)})
-    rows = rows.withColumns({"low_at": F.when(F.col("low"), F.col("i")), "free_at": F.when(~F.col("low") & (F.col("spo2") >= F.col("top") - 1), F.col("i"))})
-    rows = rows.withColumns({"last_low": F.last("low_at", True).over(before), "last_free": F.last("free_at", True).over(before)})
-    apart = F.col("last_low").isNull() | ((F.col("i") - 1 - F.col("last_low")) / rate > gap) | F.coalesce(F.col("last_free") > F.col("last_low"), F.lit(False))
-    rows = rows.withColumn("piece", F.sum((F.col("low") & apart).cast("int")).over(so_far))
-    near = rows.where(F.col("low") | ((F.col("i") - F.col("last_low")) / rate <= gap))
-    return near.select("record", "piece", "i", "spo2", "baseline").groupBy("record", "piece").applyInPandas(scan, schema)
+    names = ("record", "start", "end", "duration_s", "depth", "nadir", "area")
+    schema = pa.schema([*((n, pa.int64()) for n in names[:3]), *((n, pa.float64()) for n in names[3:])])
+
+    def run(batches):
+        record, scan, i = None, None, -1
+        for b in batches:
+            out = []
+            for r, x, base in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if scan is None or r != record:
+                    if scan and (e := scan.close()):
+                        out.append((record, *e))
+                    record, scan, i = r, DropScan(drop, least, gap, rate), -1
+                i += 1
+                if x is not None and base is not None and (e := scan.feed(i, x, base)):
+                    out.append((record, *e))
+            yield pa.RecordBatch.from_pylist([dict(zip(names, e, strict=True)) for e in out], schema)
+        if scan and (e := scan.close()):
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (record, *e), strict=True))], schema)
+
+    rows = rolling_baseline(spo2, width).sortWithinPartitions("record", "idx").select(F.col("record").cast("long"), "spo2", "baseline")
+    return rows.mapInArrow(run, "record long, start long, end long, duration_s double, depth double, nadir double, area double")

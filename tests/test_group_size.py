@@ -63,10 +63,24 @@ def scan(x, base, drop, gap):
     return out + [(start, last + 1)] * (start >= 0)
 
 
-def test_desaturations_by_pieces(spark, largest):
+def test_desaturations_stream_through(spark):
     rng = np.random.default_rng(2)
-    x = np.round(96 + rng.normal(0, 2.5, 1500), 1)
-    rows = spark.createDataFrame([(1, 3 * i + 5, float(v)) for i, v in enumerate(x)], "record long, idx long, spo2 double")
-    base = [r.baseline for r in oximetry.rolling_baseline(rows, 20).orderBy("idx").collect()]
-    got = [(r.start, r.end) for r in oximetry.desaturations(rows, 3.0, 20, 1).orderBy("start").collect()]
-    assert got == scan(x, base, 3.0, 3) and len(got) > 20 and largest() < 700
+    x = np.round(96 + rng.normal(0, 2.5, 25_000), 1)
+    rows = spark.createDataFrame([(1, 3 * i + 5, float(v)) for i, v in enumerate(x)] + [(2, 1, 99.0), (2, 2, 80.0)], "record long, idx long, spo2 double").repartition(5)
+    base = [r.baseline for r in oximetry.rolling_baseline(rows, 20).where("record = 1").orderBy("idx").collect()]
+    events = oximetry.desaturations(rows, 3.0, 20, 1).orderBy("record", "start").collect()
+    got = [r for r in events if r.record == 1]
+    assert [(r.start, r.end) for r in got] == scan(x, base, 3.0, 3) and len(got) > 20
+    for r in got:
+        part = x[r.start : r.end]
+        assert (r.nadir, r.depth) == (part.min(), round(base[r.start] - part.min(), 6))
+        assert abs(r.area - np.trapezoid(np.maximum(0, base[r.start] - part))) < 2e-6
+    assert [tuple(r)[1:4] for r in events if r.record == 2] == [(1, 2, 1.0)]
+
+
+def test_a_scan_keeps_little():
+    scan_ = oximetry.DropScan(3.0, 1, 3, 1.0)
+    for i in range(5000):
+        assert scan_.feed(i, 80.0, 99.0) is None
+        assert len(scan_.waiting) <= 3
+    assert scan_.close()[:3] == (0, 5000, 5000.0)
