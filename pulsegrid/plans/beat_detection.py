@@ -1,6 +1,9 @@
 """Queries that find beats in signals; sixteen vectors in a row are the noise of a longer signal, on which beats are laid."""
 
+from math import cos, pi
+
 from ..operators import beat_detection as op
+from ..operators import delineation
 from ..sources.tables import table
 from .kernels import signals
 from . import query
@@ -14,14 +17,23 @@ SHAPE = (0.15, 0.2, 0.1, -0.4, 1.2, 3.0, 1.1, -0.8, -0.3, 0.0, 0.05)
 _PERIOD, _FIRST = "(70 + record % 40)", "(40 + record % 17)"
 
 
-def electrocardiograms(spark, sf_dir):
-    """record, values: the vectors of record * 16 and the 15 after it, with a beat every 70 to 109 samples."""
+def _bump(first: int, last: int, height: float) -> dict[int, float]:
+    """A raised cosine over samples around the peak of a beat."""
+    return {k: height * (1 - cos(2 * pi * (k - first) / (last - first))) / 2 for k in range(first, last + 1)}
+
+
+#: Beats with P and T waves, by distance from the R peak.
+WHOLE = {k: 0.0 for k in range(-30, 40)} | _bump(-26, -13, 0.3) | dict(zip(range(-3, 4), (0.0, -0.2, 0.4, 3.0, 0.4, -0.4, 0.0), strict=True)) | _bump(14, 36, 0.6)
+
+
+def electrocardiograms(spark, sf_dir, shape=dict(zip(range(-5, 6), SHAPE, strict=True)), noise_level=1.0):  # noqa: B006
+    """record, values: the vectors of record * 16 and the 15 after it as noise, with a beat every 70 to 109 samples."""
     rows = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
     parts = rows.select(F.floor(F.col("vec_id") / 16).alias("record"), F.struct("vec_id", "embedding").alias("part"))
     noise = parts.groupBy("record").agg(F.flatten(F.transform(F.sort_array(F.collect_list("part")), lambda p: p["embedding"])).alias("noise"))  # sixteen vectors a record
-    lift = F.array(*map(F.lit, SHAPE))
+    lift = F.array(*[F.lit(shape[k]) for k in sorted(shape)])
     step = F.expr(f"{_PERIOD}"), F.expr(f"{_FIRST}")
-    laid = lambda v, i: v.cast("double") + F.coalesce(F.get(lift, F.pmod(i - step[1] + 5, step[0]).cast("int")), F.lit(0.0))
+    laid = lambda v, i: v.cast("double") * noise_level + F.coalesce(F.get(lift, F.pmod(i - step[1] - min(shape), step[0]).cast("int")), F.lit(0.0))
     return noise.select("record", F.transform("noise", laid).alias("values"))
 
 
@@ -44,3 +56,13 @@ def pcg_decoded_sounds(spark, sf_dir):
 @query("pcg_sound_phases")
 def pcg_sound_phases(spark, sf_dir):
     return op.sound_phases(op.heart_sounds(signals(spark, sf_dir), SOUND_RATE), SOUND_RATE)
+
+
+@query("ecg_delineation")
+def ecg_delineation(spark, sf_dir):
+    return delineation.delineate(electrocardiograms(spark, sf_dir, WHOLE, 0.03), ECG_RATE)
+
+
+@query("ecg_wave_durations")
+def ecg_wave_durations(spark, sf_dir):
+    return delineation.wave_durations(ecg_delineation(spark, sf_dir), ECG_RATE)
