@@ -155,7 +155,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 2048) -> D
     digest = F.unhex(F.sha2(normalised(text_or_empty(), kind), 256)).alias("digest")
     found = misses(docs.select(digest, normalised(text_or_empty(), kind).alias("text")), stored(spark, cache, version))
     encode(found, path, kind).withColumn("version", F.lit(version)).write.mode("append").option("compression", "zstd").parquet(cache)
-    rows = docs.select("doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), digest)
+    rows = materialize(docs.select("doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), digest), "digests")
     # each needed digest once, as a written table: the join's larger side may then be split where one text is very common
     needed = rows.select("digest").distinct()
     counts = materialize(stored(spark, cache, version).join(needed, "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
