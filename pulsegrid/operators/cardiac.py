@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ..functions import dsp
+from .beat_detection import r_peak_lists
 from .spectral import per_signal
 
 
@@ -247,8 +248,7 @@ def st_features(signals: DataFrame, rate: float) -> DataFrame:
 
     def f(x):
         rows = []
-        for v in x:
-            peaks = pulse_peaks(v, rate, 1.0, min(20.0, 0.45 * rate))
+        for v, peaks in zip(x, r_peak_lists(x, rate)[0], strict=True):
             base, st, t, amp = [], [], [], []
             for p in peaks:
                 a, b = v[max(0, p - int(0.12 * rate)) : max(1, p - int(0.05 * rate))], v[p + int(0.08 * rate) : p + int(0.14 * rate) + 1]
