@@ -3,9 +3,12 @@
 A unit vector is projected on random lines.  Two vectors at cosine c differ by a normal
 deviate of scale d = sqrt(2 - 2 c) on each line, independently.  So a pair at the threshold
 falls into the window of WINDOW * d around the query on a known share of lines, and the count
-of collisions that such a pair reaches with probability RECALL follows from the binomial.  A few
-further lines, cut into strips, say which vectors meet at all.  The more strip lines a label
-has, the wider its strips, so that the share of linked pairs they part is PARTED for all.
+of collisions that such a pair reaches with probability RECALL follows from the binomial.  On
+GATES further lines a pair must be nearer than a wide gap, which parts a share of PARTED.  These
+conditions are the same for every pair, so whether a link is found does not depend on how many
+vectors a label has.  Gates are also what candidates are found by: strips on the first ones say
+which vectors meet in a task, the last one is sorted there, and the rest thin out what its
+windows hold before collisions are counted, pair by pair, for what is left.
 """
 
 from __future__ import annotations
@@ -25,13 +28,16 @@ from .common import arrow_batches, connected_components, materialize
 #: Lines that are counted, and the half width of their windows in units of d.
 LINES = 24
 WINDOW = 1.5
-#: Shares of pairs at the threshold that reach the count, and that the strips part at most.
+#: Shares of pairs at the threshold that reach the count, and that the gates part at most.
 RECALL = 0.995
 PARTED = 0.003
+#: Lines on which every pair must be near, and candidates held at once.
+GATES = 6
+PAIRS = 500_000
 #: Vectors in a block of a cell.
 BLOCK = 2048
-#: A label of more vectors is cut along so many lines into strips.  This steers the work; the recall is the same for each.
-STRIP_LINES = ((0, 1), (4_000, 2), (400_000, 3), (40_000_000, 4))
+#: A label of more vectors is cut along so many gates into strips as wide as their gap.  This steers the work and changes no link.
+STRIP_LINES = ((0, 1), (5_000, 2), (80_000, 3), (2_000_000, 4))
 
 
 def strip_width(lines: int, parted: float = PARTED) -> float:
@@ -67,34 +73,56 @@ class Tile:
         self.ids: list[np.ndarray] = []
         self.many: list[np.ndarray] = []
         self.vectors: list[np.ndarray] = []
-        self.ready = self.own = False  # arranged; compared with itself
+        self.ready = False  # arranged, and compared with itself
 
     def add(self, ids: np.ndarray, many: np.ndarray, vectors: np.ndarray) -> None:
         self.ids.append(ids)
         self.many.append(many)
         self.vectors.append(vectors)
 
-    def links(self, ids: np.ndarray, u: np.ndarray, p: np.ndarray, threshold: float, window: float, least: int) -> np.ndarray:
-        """A boolean matrix (queries, members): enough collisions, and then a cosine that reaches the threshold."""
-        hits = np.zeros((len(ids), len(self.id)), np.uint8)
-        for k in range(p.shape[1]):
-            # query-centred windows over the sorted projection of the members
-            lo = np.searchsorted(self.sorted[k], p[:, k] - window, "left")
-            hi = np.searchsorted(self.sorted[k], p[:, k] + window, "right")
-            hits += (self.rank[k] >= lo[:, None]) & (self.rank[k] < hi[:, None])
-        q, m = np.nonzero(hits >= least)
-        out = np.zeros(hits.shape, bool)
-        for at in range(0, len(q), 50_000):
-            i, j = q[at : at + 50_000], m[at : at + 50_000]
-            out[i, j] = np.einsum("ij,ij->i", u[i], self.u[j]) >= threshold
-        return out & (ids[:, None] != self.id[None, :])
+    def links(self, ids: np.ndarray, u: np.ndarray, p: np.ndarray, threshold: float, near: float, window: float, least: int, own: bool = False):
+        """Yields arrays of linked (query, member): near on all gates, enough collisions, and then a cosine that reaches the threshold.
+
+        With ``own`` the queries are the members themselves, and each pair comes once.
+        """
+        lo = np.arange(1, len(ids) + 1) if own else np.searchsorted(self.p[-1], p[-1] - near, "left")
+        many = np.maximum(np.searchsorted(self.p[-1], p[-1] + near, "right") - lo, 0)
+        ends = np.cumsum(many)
+        i = 0
+        while i < len(ids):
+            before = ends[i] - many[i]
+            j = max(i + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+            q = np.repeat(np.arange(i, j), many[i:j])
+            m = np.arange(len(q)) - np.repeat(ends[i:j] - many[i:j] - before - lo[i:j], many[i:j])
+            for k in range(LINES, LINES + GATES - 1):
+                at = np.abs(p[k, q] - self.p[k, m]) <= near
+                q, m = q[at], m[at]
+            hits = np.zeros(len(q), np.uint8)
+            for k in range(LINES):
+                # query-centred windows over the sorted projection of the members
+                rank = self.rank[k, m]
+                start = np.searchsorted(self.sorted[k], p[k, i:j] - window, "left")
+                stop = np.searchsorted(self.sorted[k], p[k, i:j] + window, "right")
+                hits += (rank >= start[q - i]) & (rank < stop[q - i])
+                if k % 6 == 5:  # too many windows missed to reach the count
+                    at = hits + (LINES - 1 - k) >= least
+                    q, m, hits = q[at], m[at], hits[at]
+            for c in range(0, len(q), 50_000):
+                x, y = q[c : c + 50_000], m[c : c + 50_000]
+                at = (np.einsum("ij,ij->i", u[x], self.u[y]) >= threshold) & (ids[x] != self.id[y])
+                if at.any():
+                    yield x[at], y[at]
+            i = j
 
     def close(self, lines: np.ndarray) -> None:
+        """Arranges the members by the last gate."""
         self.id, self.times, self.u = np.concatenate(self.ids), np.concatenate(self.many), np.concatenate(self.vectors)
-        self.p = self.u @ lines
-        order = np.argsort(self.p, axis=0, kind="stable").T
-        self.sorted = np.take_along_axis(self.p.T, order, axis=1)
-        self.rank = np.argsort(order, axis=1)
+        p = self.u @ lines
+        by = np.argsort(p[:, -1], kind="stable")
+        self.id, self.times, self.u, self.p = self.id[by], self.times[by], self.u[by], np.ascontiguousarray(p[by].T)
+        order = np.argsort(self.p[:LINES], axis=1, kind="stable")
+        self.sorted = np.take_along_axis(self.p[:LINES], order, axis=1)
+        self.rank = np.argsort(order, axis=1).astype(np.int32)
         self.root, self.count = np.arange(len(self.id)), np.zeros(len(self.id), np.int64)
         self.ready = True
 
@@ -105,6 +133,12 @@ class Tile:
         return int(roots[0])
 
 
+def by_query(q: np.ndarray, m: np.ndarray):
+    """Each query of sorted pairs with its members."""
+    cuts = np.flatnonzero(np.diff(q)) + 1
+    return zip(q[np.concatenate([[0], cuts])], np.split(m, cuts), strict=True)
+
+
 def unit(emb: pa.Array, rows: int) -> np.ndarray:
     """Vectors of one length as unit vectors in double precision."""
     x = np.asarray(emb.flatten()).astype(np.float64).reshape(rows, -1)
@@ -118,7 +152,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, strip_lines: tu
     vectors: vec_id, embedding, label.  Returns one row per input row: vec_id, n_links (other
     vectors with a cosine of at least ``threshold``), component_id (smallest vec_id reachable),
     kept (vec_id is component_id).  No link is below the threshold; a link just at it is found
-    with probability RECALL * (1 - PARTED), 0.992, whatever the number of vectors.
+    with probability RECALL * (1 - PARTED), 0.992, by a rule that knows only the two vectors:
+    ``strip_lines`` (least size of a label, gates that cut it) deals the work otherwise, with the same links.
 
     Vectors that are null, zero or hold null or non-finite components, and vectors with a
     null label, link with nothing; so do vectors of different length.  Rows without vec_id
@@ -128,7 +163,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, strip_lines: tu
 
     Equal vectors of a label (told by 128 bits of their unit vector) are compared once and
     counted as often as they stand, so copies, however many, cost no comparisons.  Pairs
-    never leave a task: a block counts the links of its vectors and emits one edge for each
+    never leave a task, which holds PAIRS candidates at once: a block counts the links of its vectors and emits one edge for each
     vector that is linked.  A cell with many vectors is cut into blocks of BLOCK.
     """
     spark = vectors.sparkSession
@@ -164,6 +199,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, strip_lines: tu
         strips = strips.when(F.col("size") >= least_size, lines)
     sizes = materialize(sizes.select("label", "dim", strips.cast("int").alias("strips")), "sizes")
     most = max(lines for _, lines in strip_lines)
+    near = strip_width(GATES) * gap
+    if most >= GATES:
+        raise ValueError(f"strips leave no gate to sort by: {most} of {GATES}")
 
     def place(batches):
         for b in batches:
@@ -172,7 +210,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, strip_lines: tu
             for dim, k in set(zip(dims.tolist(), strips.tolist(), strict=True)):
                 at = np.flatnonzero((dims == dim) & (strips == k))
                 u = unit(b.column("embedding").take(pa.array(at)), len(at))
-                cells[at, :k] = np.floor(u @ random_lines(dim, LINES + most)[:, LINES : LINES + k] / (strip_width(k) * gap))
+                cells[at, :k] = np.floor(u @ random_lines(dim, LINES + GATES)[:, LINES : LINES + k] / (near * (1 + 1e-9)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells.tolist(), pa.list_(pa.int64()))], [*b.schema.names, "cell"])
 
     reps = reps.join(sizes, ["label", "dim"]).select("label", "dim", "vec_id", "embedding", "many", "strips")
@@ -196,29 +234,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, strip_lines: tu
         tile, now, lines = None, None, None
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def found(ids, many, links):
-            members = np.flatnonzero(links.any(axis=0))
-            tile.count[members] += many @ links[:, members]
-            of = np.flatnonzero(links.any(axis=1))
-            roots = [tile.join(np.flatnonzero(links[i])) for i in of]
-            return ids[of], links[of] @ tile.times, tile.id[roots] if len(roots) else ids[:0]
+        def found(ids, many, u):
+            for q, m in tile.links(ids, u, (u @ lines).T, threshold, near, WINDOW * gap, least):
+                np.add.at(tile.count, m, many[q])
+                parts = [(i, tile.times[of].sum(), tile.id[tile.join(of)]) for i, of in by_query(q, m)]
+                of, n, roots = (np.array(x) for x in zip(*parts, strict=True))
+                out.append((ids[of], n, roots))
 
         def finish():
             if tile is None or not tile.ids:
                 return
             if not tile.ready:
-                tile.close(lines)
-            if not tile.own:
-                inner()
+                ready()
             at = np.flatnonzero(tile.count)
             out.append((tile.id[at], tile.count[at], tile.id[tile.root[at]]))
 
-        def inner():
-            tile.own = True
-            links = tile.links(tile.id, tile.u, tile.p, threshold, WINDOW * gap, least)
-            for i in np.flatnonzero(links.any(axis=1)):
-                tile.join(np.append(np.flatnonzero(links[i]), i))
-            tile.count += links @ tile.times
+        def ready():
+            """Members are complete: arranges them and compares them with each other."""
+            tile.close(lines)
+            for q, m in tile.links(tile.id, tile.u, tile.p, threshold, near, WINDOW * gap, least, own=True):
+                np.add.at(tile.count, m, tile.times[q])
+                np.add.at(tile.count, q, tile.times[m])
+                for i, of in by_query(q, m):
+                    tile.join(np.append(of, i))
 
         for b in batches:
             keys = list(zip(*(b.column(c).to_pylist() for c in ("label", "dim")), map(tuple, b.column("cell").to_pylist()), b.column("block").to_pylist(), strict=True))
@@ -229,17 +267,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, strip_lines: tu
                     continue
                 if keys[i] != now:
                     finish()
-                    tile, now, lines = Tile(), keys[i], random_lines(keys[i][1], LINES)
+                    tile, now, lines = Tile(), keys[i], random_lines(keys[i][1], LINES + GATES)
                 u = unit(emb.slice(i, j - i), j - i)
                 if not ask[i]:
                     tile.add(ids[i:j], many[i:j], u)
                 elif tile.ids:
                     if not tile.ready:
-                        tile.close(lines)
-                        inner()
-                    links = tile.links(ids[i:j], u, u @ lines, threshold, WINDOW * gap, least)
-                    if links.any():
-                        out.append(found(ids[i:j], many[i:j], links))
+                        ready()
+                    found(ids[i:j], many[i:j], u)
             if sum(len(o[0]) for o in out) > 10_000:
                 yield emit(out)
                 out.clear()

@@ -415,6 +415,36 @@ def test_recall_is_alike_for_every_number_of_strip_lines(spark, lines):
     assert (have[600:640] >= 2).all()
 
 
+def test_links_do_not_depend_on_strips_or_company(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    base = rng.standard_normal((300, 20))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.standard_normal((300, 20))
+    x = np.concatenate([base, base + 0.21 * off / np.linalg.norm(off, axis=1, keepdims=True)])  # cosines about the threshold
+    schema = "vec_id long, embedding array<double>, label string"
+    df = spark.createDataFrame([(i, r.tolist(), "a") for i, r in enumerate(x)], schema)
+    runs = [sorted(embed_dups.near_duplicates(df, strip_lines=((0, k),)).collect()) for k in (1, 3)]
+    more = df.union(spark.createDataFrame([(10_000 + i, r.tolist(), "a") for i, r in enumerate(rng.standard_normal((900, 20)) - 9)], schema))
+    monkeypatch.setattr(embed_dups, "BLOCK", 64)
+    monkeypatch.setattr(embed_dups, "PAIRS", 50)
+    runs.append(sorted(r for r in embed_dups.near_duplicates(more, strip_lines=((0, 1), (1000, 2))).collect() if r.vec_id < 10_000))
+    assert runs[0] == runs[1] == runs[2] and 50 < sum(r.n_links for r in runs[0]) < 600
+
+
+def test_few_pairs_are_counted(spark):
+    """Of all pairs of random vectors the gates leave a small share, and less of each the more a label has."""
+    rng = np.random.default_rng(2)
+    near = embed_dups.strip_width(embed_dups.GATES) * np.sqrt(0.04)
+    u = rng.standard_normal((2000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    p = u @ embed_dups.random_lines(64, embed_dups.LINES + embed_dups.GATES)[:, embed_dups.LINES :]
+    close = np.abs(p[:, None] - p[None]) <= near
+    assert close.all(axis=2).mean() < 0.01
+    cells = np.floor(p / near)
+    meet = [(np.abs(cells[:, None, :k] - cells[None, :, :k]) <= 1).all(axis=2).mean() for k in (1, 2, 3, 4)]
+    assert all(b < 0.62 * a for a, b in zip(meet, meet[1:], strict=False))
+
+
 def test_copies_of_a_vector_are_compared_once(spark):
     rows = [(i, [1.0, 2.0, 0.0], 1) for i in range(3000)] + [(5000, [1.0, 2.0, 0.05], 1), (6000, [1.0, 2.0, -0.0], 1), (7000, [1.0, 2.0, 0.0], 2)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dups.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
