@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-_MODULES = ("rhythm", "signals", "oximetry", "motion", "pairing", "evaluation", "reports", "kernels", "streams", "catalog", "images", "fiducials", "screens", "wave_features", "components", "beat_detection", "scoring", "pixel_features")
+_MODULES = ("rhythm", "signals", "oximetry", "motion", "pairing", "evaluation", "reports", "kernels", "streams", "catalog", "images", "fiducials", "screens", "wave_features", "components", "beat_detection", "scoring", "pixel_features", "image_scale", "multi_axis")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
