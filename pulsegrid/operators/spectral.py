@@ -11,10 +11,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dsp
+from ..functions.columns import r6
 
 
 def per_signal(signals: DataFrame, schema: str, f: Callable[[np.ndarray], dict[str, np.ndarray]], least: int = 16) -> DataFrame:
@@ -152,25 +153,35 @@ def median_frequency(signals: DataFrame, rate: float, low: float, high: float) -
     return per_signal(signals, "median_hz double, fatigue boolean", f)
 
 
-def hrv_frequency(intervals: DataFrame, rate: float = 4.0) -> DataFrame:
-    """Low and high frequency power of intervals (record, t, dt) on a 4 Hz grid; needs 8 intervals over 30 s.
+def hrv_frequency(intervals: DataFrame, rate: float = 4.0, segment_s: float = 64.0) -> DataFrame:
+    """Low and high frequency power of intervals (record, t, dt) on a 4 Hz grid; needs 8 intervals over 30 s, else the powers are null.
 
-    The grid is made per record, which must be in time order.
+    Each pair of neighbouring beats gives the grid points between them, and points go to the half overlapping
+    segments that hold them.  Segments are arrays, a row each; power is averaged over them, since the
+    integral of a mean spectrum is the mean of integrals.  No task holds a record: it is sorted once by time, which
+    spills.  A record of less than a segment is one shorter segment.  Rows with a null are left out; of intervals that end at the same time the longest counts.
     """
-    schema = "record long, n long, lf double, hf double, lf_hf double"
-
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        t, v = pdf.t.to_numpy(), 1000 * pdf.dt.to_numpy()
-        row = [pdf.record.iloc[0], len(t), None, None, None]
-        if len(t) >= 8 and t[-1] - t[0] >= 30:
-            grid = np.arange(t[0], t[-1], 1 / rate)
-            hz, p = dsp.welch(np.interp(grid, t, v)[None, :], rate, int(64 * rate))
-            lf, hf = dsp.band_power(hz, p, 0.04, 0.15)[0], dsp.band_power(hz, p, 0.15, 0.40)[0]
-            row[2:] = [round(float(lf), 6), round(float(hf), 6), round(float(lf / hf), 6) if hf else None]
-        return pd.DataFrame([row], columns=["record", "n", "lf", "hf", "lf_hf"]).astype({"lf": float, "hf": float, "lf_hf": float})
-
-    return intervals.groupBy("record").applyInPandas(f, schema)
+    size = int(segment_s * rate)
+    all_, order = Window.partitionBy("record"), Window.partitionBy("record").orderBy("t", "dt")
+    rows = intervals.select(F.col("record").cast("long"), F.col("t").cast("double"), F.col("dt").cast("double")).dropna()
+    rows = rows.select("*", F.min("t").over(all_).alias("t0"), F.max("t").over(all_).alias("t1"), F.count("*").over(all_).alias("n"), F.lead("t").over(order).alias("next"), F.lead("dt").over(order).alias("next_dt"))
+    place = lambda t: F.ceil((F.col(t) - F.col("t0")) * rate)
+    pairs = rows.where((F.col("n") >= 8) & (F.col("t1") - F.col("t0") >= 30)).withColumns({"a": place("t"), "b": place("next") - 1, "m": place("t1")}).where("a <= b")
+    at = F.col("t0") + F.col("g") / rate
+    x = 1000 * (F.col("dt") + (F.col("next_dt") - F.col("dt")) * (at - F.col("t")) / (F.col("next") - F.col("t")))
+    grid = pairs.withColumn("g", F.explode(F.sequence("a", "b"))).select("record", "m", "g", x.alias("x"))
+    half = size - size // 2
+    of = F.floor(F.col("g") / half)
+    grid = grid.withColumn("s", F.explode(F.array(of, of - 1))).where((F.col("s") == 0) | ((F.col("s") > 0) & (F.col("s") * half + size <= F.col("m")))).where(F.col("g") - F.col("s") * half < size)
+    cut = grid.groupBy("record", "s").agg(F.sort_array(F.collect_list(F.struct("g", "x")))["x"].alias("values"))  # at most a segment of points
+
+    def f(v):
+        hz, p = dsp.welch(v, rate, size)
+        return {"lf": dsp.band_power(hz, p, 0.04, 0.15), "hf": dsp.band_power(hz, p, 0.15, 0.40)}
+
+    powers = per_signal(cut, "lf double, hf double", f).groupBy("record").agg(F.avg("lf").alias("lf"), F.avg("hf").alias("hf"))
+    out = rows.groupBy("record").agg(F.count("*").alias("n")).join(powers, "record", "left")
+    return out.select("record", "n", r6("lf").alias("lf"), r6("hf").alias("hf"), r6(F.try_divide("lf", "hf")).alias("lf_hf"))
 
 
 def minimum_path(masks: DataFrame, jump: float = 0.08, distance: float = 0.02) -> DataFrame:

@@ -16,7 +16,7 @@ st AS (SELECT *, sum(new) OVER (PARTITION BY image, axis, pos ORDER BY along) AS
 mk AS (SELECT image, axis, pos, across, len, sum(n) / len::DOUBLE AS density, max(span) AS span FROM (SELECT image, axis, pos, across, len, stroke, count(*) AS n, max(along) - min(along) AS span FROM st GROUP BY ALL) GROUP BY image, axis, pos, across, len),
 lv AS (SELECT image, axis, quantile_cont(d, 0.99) AS level FROM (SELECT g.image, g.axis, coalesce(density, 0) AS d FROM (SELECT image, axis, unnest(range(0, any_value(across))) AS pos FROM mk GROUP BY image, axis) g LEFT JOIN mk USING (image, axis, pos)) GROUP BY 1, 2),
 ru AS (SELECT mk.*, CASE WHEN pos - lag(pos) OVER w <= greatest(2.5, across * CASE axis WHEN 'x' THEN 0.003 ELSE 0.005 END) THEN 0 ELSE 1 END AS new FROM mk JOIN lv USING (image, axis) WHERE span >= greatest(80, 0.65 * len) OR density > greatest(0.45, level) WINDOW w AS (PARTITION BY image, axis ORDER BY pos)),
-ls AS (SELECT image, axis, line, round(avg(pos), 6) AS centre, max(pos) - min(pos) + 1 AS thickness FROM (SELECT *, sum(new) OVER (PARTITION BY image, axis ORDER BY pos) AS line FROM ru) GROUP BY 1, 2, 3)"""
+ls AS (SELECT image, axis, line::BIGINT AS line, round(avg(pos), 6) AS centre, max(pos) - min(pos) + 1 AS thickness FROM (SELECT *, sum(new) OVER (PARTITION BY image, axis ORDER BY pos) AS line FROM ru) GROUP BY 1, 2, 3)"""
 
 
 def pixels(spark, sf_dir):

@@ -3,6 +3,7 @@
 from ..operators import cardiac, intervals, neuro, spectral as op
 from ..sources.tables import SAMPLES_SQL, beats, table
 from . import query
+from .rhythm import CLEAN
 from pyspark.sql import functions as F
 
 RATE = 64.0
@@ -93,7 +94,14 @@ def emg_median_frequency(spark, sf_dir):
     return op.median_frequency(signals(spark, sf_dir), RATE, 2.0, 30.0)
 
 
-@query("hrv_frequency")
+@query("hrv_frequency", CLEAN + """, hb AS (SELECT record, t, 1000 * dt AS v, min(t) OVER (PARTITION BY record) AS t0, max(t) OVER (PARTITION BY record) AS t1, count(*) OVER (PARTITION BY record) AS n, lead(t) OVER o AS t2, lead(1000 * dt) OVER o AS v2 FROM clean WINDOW o AS (PARTITION BY record ORDER BY t, dt)),
+hg AS (SELECT record, t, v, t0, t2, v2, ceil((t1 - t0) * 4)::BIGINT AS m, unnest(generate_series(ceil((t - t0) * 4)::BIGINT, ceil((t2 - t0) * 4)::BIGINT - 1)) AS g FROM hb WHERE n >= 8 AND t1 - t0 >= 30 AND t2 > t),
+hs AS (SELECT record, g // 128 - d AS s, g - 128 * (g // 128 - d) AS i, least(m, 256) AS m, v + (v2 - v) * (t0 + g / 4.0::DOUBLE - t) / (t2 - t) AS x FROM hg CROSS JOIN (VALUES (0), (1)) AS q(d) WHERE g // 128 = d OR (g // 128 > d AND (g // 128 - d) * 128 + 256 <= m)),
+hm AS (SELECT *, avg(x) OVER (PARTITION BY record, s) AS mu FROM hs), hk AS (SELECT unnest(range(1, 60)) AS k),
+hf AS (SELECT record, s, k, m, sum((x - mu) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / m)) * cos(2 * pi() * k * i / m)) AS c, sum((x - mu) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / m)) * sin(2 * pi() * k * i / m)) AS d FROM hm JOIN hk ON 4.0::DOUBLE * k / m < 0.4::DOUBLE AND 4.0::DOUBLE * k / m >= 0.04::DOUBLE GROUP BY ALL),
+hp AS (SELECT record, k, 4.0::DOUBLE / m AS w, 4.0::DOUBLE * k / m < 0.15::DOUBLE AS low, avg((c * c + d * d) * 2 / (4 * 0.375::DOUBLE * m)) AS p FROM hf GROUP BY ALL), hu AS (SELECT record, low, w * (sum(p) - (min(struct_pack(k := k, p := p)).p + max(struct_pack(k := k, p := p)).p) / 2) AS v FROM hp GROUP BY record, low, w),
+hr AS (SELECT record, sum(v) FILTER (WHERE low) AS lf, sum(v) FILTER (WHERE NOT low) AS hf FROM hu GROUP BY record)
+SELECT a.record, a.n, round(lf, 6) AS lf, round(hf, 6) AS hf, round(lf / nullif(hf, 0), 6) AS lf_hf FROM (SELECT record, count(*) AS n FROM clean GROUP BY record) a LEFT JOIN hr USING (record)""")
 def hrv_frequency(spark, sf_dir):
     return op.hrv_frequency(intervals.clean_intervals(beats(spark, sf_dir)))
 

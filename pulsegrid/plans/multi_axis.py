@@ -19,11 +19,11 @@ def records(spark, sf_dir):
 
 @query("scg_axis_windows")
 def scg_axis_windows(spark, sf_dir):
-    return op.axis_windows(records(spark, sf_dir), ECG_RATE, 4.0, 2.0)
+    return op.axis_windows(records(spark, sf_dir), ECG_RATE, 6.0, 2.0)
 
 
 @query("scg_axis_summary", """WITH n AS (SELECT vec_id // 48 AS record, (vec_id // 16) % 3 AS axis, sum(len(embedding)) AS n FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1, 2), m AS (SELECT record, round(min(n) / 1.28::DOUBLE)::BIGINT AS m FROM n GROUP BY record HAVING count(*) = 3 AND min(n) >= 16)
-SELECT record, CASE WHEN m < 400 THEN 1 ELSE (m - 400) // 200 + 1 END AS windows FROM m""")
+SELECT record, CASE WHEN m < 600 THEN 1 ELSE (m - 600) // 200 + 1 END AS windows FROM m""")
 def scg_axis_summary(spark, sf_dir):
     """The windows that each record gives; the other figures of the summary are held by tests."""
     return op.axis_summary(scg_axis_windows(spark, sf_dir)).select("record", "windows")
