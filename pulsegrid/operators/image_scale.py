@@ -150,7 +150,10 @@ def peak_evidence(y: np.ndarray, rate: float, slow: float, fast: float) -> tuple
     sd, n = float(y.std()), len(y)
     if sd <= 1e-10:
         return 0.0, 0.0, 0, np.nan
-    peaks = dsp.find_peaks(y, distance=max(1, round(rate * 60 / fast * 0.8)), prominence=max(0.25 * sd, 1e-8))
+    peaks = dsp.find_peaks(y, distance=max(1, round(rate * 60 / fast * 0.8)))
+    heights = np.array([dsp._prominence(y, p) for p in peaks])
+    at = heights >= max(0.25 * sd, 1e-8)
+    peaks, heights = peaks[at], heights[at]
     bpm, plausible, regular, prominent = np.nan, 0.0, 0.0, 0.0
     if len(peaks) > 1:
         gaps = np.diff(peaks) / rate
@@ -158,7 +161,7 @@ def peak_evidence(y: np.ndarray, rate: float, slow: float, fast: float) -> tuple
         regular = 1 - min(float(gaps.std() / gaps.mean()) or 1.0, 1.0)
         plausible = max(0.0, 1 - max(0.0, slow - bpm) / slow - max(0.0, bpm - fast) / fast)
     if len(peaks):
-        prominent = float(np.tanh(np.median([dsp._prominence(y, p) for p in peaks]) / (sd + 1e-8)))
+        prominent = float(np.tanh(np.median(heights) / (sd + 1e-8)))
     fewest = max(2, int(slow / 60 * n / rate * 0.6))
     most = max(fewest + 1, int(np.ceil(fast / 60 * n / rate * 1.4)))
     count = 1.0 if fewest <= len(peaks) <= most else 0.4 if len(peaks) > 1 else 0.0
