@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pandas as pd
 
 from pulsegrid.operators import oximetry
 from pulsegrid.streaming import desaturations as op
@@ -74,3 +75,76 @@ def test_tracks_resume_and_stay_small():
         cut = op.Track(3.0, 20, 1, 3, 1.0)
         cut.load(text)
     assert a + whole.end() == b + cut.end() and len(a) > 100
+
+
+class Calls:
+    """A handle and its states that count what is asked of them."""
+
+    def __init__(self):
+        self.timers, self.calls, self.held = set(), 0, {}
+
+    def getValueState(self, name, schema):
+        return State(self, name)
+
+    getListState = getValueState
+
+    def registerTimer(self, ts):
+        self.calls += 1
+        self.timers.add(ts)
+
+
+class State:
+    def __init__(self, owner, name):
+        self.owner, self.name = owner, name
+
+    def _at(self):
+        self.owner.calls += 1
+        return self.owner.held.setdefault(self.name, [])
+
+    def exists(self):
+        return bool(self._at())
+
+    def get(self):
+        rows = self._at()
+        return iter(list(rows)) if self.name == "waiting" else rows[0]
+
+    def appendValue(self, row):
+        self._at().append(row)
+
+    def put(self, rows):
+        self._at()[:] = rows
+
+    def update(self, row):
+        self._at()[:] = [row]
+
+    def clear(self):
+        self._at().clear()
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_record_costs_a_few_calls_and_not_some_for_each_reading():
+    rng = random.Random(5)
+    xs = [round(min(100, rng.gauss(95, 4)), 1) for _ in range(2000)]
+    pdf = pd.DataFrame({"ts_ms": [1000 * (t + 1) for t in range(2000)], "id": range(2000), "spo2": xs})
+    handle, p = Calls(), op.Desaturations(3.0, 20, 1, 3, 1.0, 60_000)
+    p.init(handle)
+    out = []
+    for mark, rows in ((0, pdf[:1200]), (900_000, pdf[1200:]), (5_000_000, pdf[:0])):  # the second batch comes while 300 readings wait
+        for f in p.handleInputRows((7,), iter([rows.sample(frac=1.0, random_state=1)]), At(mark)):
+            out += f.values.tolist()
+        while due := sorted(t for t in handle.timers if t <= mark):
+            handle.timers.discard(due[0])
+            for f in p.handleExpiredTimer((7,), At(mark), None):
+                out += f.values.tolist()
+    track = op.Track(3.0, 20, 1, 3, 1.0)
+    want = [e for x in xs for e in track.feed(x)] + track.end()
+    assert [tuple(e[1:]) for e in out] == want and len(want) > 50
+    assert not handle.held["waiting"] and not handle.held["track"] and not handle.timers
+    assert handle.calls < 60
