@@ -59,7 +59,10 @@ def failure_reasons(cases: DataFrame) -> DataFrame:
 
 
 def gap_clusters(points: DataFrame, gap: float) -> DataFrame:
-    """Clusters of positions (record, x) that lie within ``gap`` of the one before, with their centre and size."""
+    """Clusters of positions (record, x) that lie within ``gap`` of the one before, with their centre and size.
+
+    Equal positions are in one cluster: both windows read the same sort, so of equals the one that opens a cluster comes first.
+    """
     order = Window.partitionBy("record").orderBy("x")
     rows = points.withColumn("new", F.coalesce((F.col("x") - F.lag("x").over(order) > gap).cast("int"), F.lit(1))).withColumn("cluster", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy("record", "cluster").agg(F.count("*").alias("n"), r6(F.avg("x")).alias("centre"), r6(F.max("x") - F.min("x")).alias("span"))
