@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import r6
 from ..functions import dsp
 from .spectral import _r, per_signal
 
@@ -255,5 +256,5 @@ def sound_phases(sounds: DataFrame, rate: float) -> DataFrame:
     after = lambda kind, i: F.array_min(F.transform(F.filter("line", lambda e: (e["kind"] == kind) & (e["i"] > i)), lambda e: e["i"]))
     placed = beats.withColumn("close", after(2, F.col("i"))).withColumn("next", after(1, F.col("i")))
     fair = placed.withColumn("close", F.when(F.col("next").isNull() | (F.col("close") < F.col("next")), F.col("close")))
-    seconds = lambda c: F.round(c / F.lit(float(rate)), 6)
+    seconds = lambda c: r6(c / F.lit(float(rate)))
     return fair.select("record", (F.col("k") + 1).cast("long").alias("beat"), seconds(F.col("i")).alias("s1_s"), seconds(F.col("close") - F.col("i")).alias("systole_s"), seconds(F.col("next") - F.col("close")).alias("diastole_s"))

@@ -170,7 +170,7 @@ def match_events(detected: DataFrame, truth: DataFrame, tolerance: float) -> Dat
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
     return out.select(
         F.col("record").cast("long"), "tp", (F.col("d") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"),
-        F.bround(p, 6).alias("precision"), F.bround(r, 6).alias("recall"), F.bround(f1, 6).alias("f1"),
+        r6(p).alias("precision"), r6(r).alias("recall"), r6(f1).alias("f1"),
     )
 
 
@@ -223,6 +223,6 @@ def match_intervals(detected: DataFrame, truth: DataFrame, rule: str, tolerance:
     out = counts.unionByName(matched).groupBy("record").agg(*[F.sum(c).alias(c) for c in ("d", "t", "tp", "iou")])
     p, r = ratio(F.col("tp"), F.col("d")), ratio(F.col("tp"), F.col("t"))
     return out.select(
-        F.col("record").cast("long"), "tp", (F.col("d") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"), F.bround(p, 6).alias("precision"), F.bround(r, 6).alias("recall"),
-        F.bround(ratio(2 * p * r, p + r), 6).alias("f1"), F.bround(ratio(F.col("iou"), F.col("tp")), 6).alias("mean_iou"),
+        F.col("record").cast("long"), "tp", (F.col("d") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"), r6(p).alias("precision"), r6(r).alias("recall"),
+        r6(ratio(2 * p * r, p + r)).alias("f1"), r6(ratio(F.col("iou"), F.col("tp"))).alias("mean_iou"),
     )

@@ -38,7 +38,7 @@ def hypotensive_episodes(beats: DataFrame, threshold: float = 60.0, minute: floa
     span = each.groupBy("record").agg(F.min("m").alias("a"), F.max("m").alias("b"))
     dense = span.select("record", F.explode(F.sequence("a", "b")).alias("m")).join(each, ["record", "m"], "left")
     trail = Window.partitionBy("record").orderBy("m").rowsBetween(1 - window, 0)
-    low = F.sum(F.when(F.round("map", 6) < threshold, 1).otherwise(0)).over(trail)
+    low = F.sum(F.when(r6("map") < threshold, 1).otherwise(0)).over(trail)
     rows = dense.withColumns({"low": low, "valid": F.count("map").over(trail)})
     hit = rows.where((F.col("low") >= math.ceil(fraction * window)) & (F.col("valid") >= window / 2))
     spans = hit.select("record", (F.col("m") - (window - 1)).cast("double").alias("start"), (F.col("m") + 1).cast("double").alias("end"))

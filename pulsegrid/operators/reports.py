@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import flags, r6, ratio
+from ..functions.columns import flags, r6, ratio, tenths
 
 
 def training_rows(turns: DataFrame) -> DataFrame:
@@ -18,6 +18,7 @@ def training_rows(turns: DataFrame) -> DataFrame:
 
 def sentences(rows: DataFrame) -> DataFrame:
     """A line of text for each record (record, n, mean_hr_bpm, rmssd_ms, risk): the first form whose figures are there."""
+    rows = rows.withColumns({c: tenths(c) for c in ("mean_hr_bpm", "rmssd_ms")})
     text = (
         F.when(F.col("rmssd_ms").isNotNull(), F.format_string("Record %d: %d intervals, mean rate %.1f bpm, RMSSD %.1f ms, %s risk.", "record", "n", "mean_hr_bpm", "rmssd_ms", "risk"))
         .when(F.col("mean_hr_bpm").isNotNull(), F.format_string("Record %d: mean rate %.1f bpm.", "record", "mean_hr_bpm"))

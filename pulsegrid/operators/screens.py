@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import flags, r6, ratio, share
+from ..functions.columns import between, flags, r6, ratio, share
 
 
 def _points(*parts: tuple[Column, float]) -> Column:
@@ -82,22 +82,35 @@ def cascade(*methods: tuple[str, DataFrame]) -> DataFrame:
     return best.select("record", "b.method", r6("b.value").alias("value"))
 
 
+def quantiles(rows: DataFrame, x: str, shares: tuple[float, ...]) -> DataFrame:
+    """Quantiles of x of each record (record, q: an array in order of shares), read at their places in a sort, which spills."""
+    order = Window.partitionBy("record").orderBy(x)
+    ranked = rows.where(F.col(x).isNotNull()).select("record", F.col(x).alias("x"), (F.row_number().over(order) - 1).alias("k"), (F.count("*").over(Window.partitionBy("record")) - 1).alias("last"))
+    at = [F.col("last") * F.lit(p) for p in shares]
+    ends = [F.max(F.when(F.col("k") == f(c), F.col("x"))).alias(f"{n}{i}") for i, c in enumerate(at) for n, f in (("low", F.floor), ("high", F.ceil))]
+    found = ranked.groupBy("record", "last").agg(*ends)
+    parts = F.array(*[F.struct(F.col(f"low{i}").alias("low"), F.col(f"high{i}").alias("high"), (c - F.floor(c)).alias("part")) for i, c in enumerate(at)])
+    return found.select("record", F.transform(parts, lambda s: between(s["low"], s["high"], s["part"])).alias("q"))
+
+
 def saturation_features(spo2: DataFrame, rate: float = 1.0, drop: float = 3.0, seconds: float = 10.0) -> DataFrame:
     """A feature vector of saturation readings (record, idx, spo2): moments, percentiles, shares below levels, steps, and
     events of ``seconds`` or more at least ``drop`` below the 90th percentile, also an hour."""
     w = Window.partitionBy("record").orderBy("idx")
     q = (1, 5, 10, 25, 50, 75, 90, 95, 99)
     levels = (95, 93, 90, 88, 85)
-    base = spo2.groupBy("record").agg(F.percentile("spo2", F.lit(0.9)).alias("base"))
-    rows = spo2.withColumn("step", F.coalesce(F.col("spo2") - F.lag("spo2").over(w), F.lit(0.0)) * rate).join(base, "record")
+    base = quantiles(spo2, "spo2", (0.9, *[p / 100 for p in q])).select("record", F.col("q")[0].alias("base"), F.slice("q", 2, len(q)).alias("q"))
+    steps = spo2.withColumn("step", F.coalesce(F.col("spo2") - F.lag("spo2").over(w), F.lit(0.0)) * rate)
+    p95 = quantiles(steps.withColumn("step", F.abs("step")), "step", (0.95,)).select("record", F.col("q")[0].alias("step_p95"))
+    rows = steps.join(base.select("record", "base"), "record")
     rows = rows.withColumn("low", F.col("spo2") <= F.col("base") - drop).withColumn("nth", F.row_number().over(w))
     runs = rows.where("low").withColumn("island", F.col("nth") - F.row_number().over(w)).groupBy("record", "island").agg(F.count("*").alias("size"))
     events = runs.where(F.col("size") >= max(1, int(seconds * rate))).groupBy("record").agg(F.count("*").alias("events"))
     out = rows.groupBy("record", "base").agg(
-        F.count("*").alias("n"), F.avg("spo2").alias("mean"), F.stddev_pop("spo2").alias("sd"), F.min("spo2").alias("least"), F.max("spo2").alias("most"), F.percentile("spo2", F.array(*[F.lit(p / 100) for p in q])).alias("q"),
+        F.count("*").alias("n"), F.avg("spo2").alias("mean"), F.stddev_pop("spo2").alias("sd"), F.min("spo2").alias("least"), F.max("spo2").alias("most"),
         *[share(F.col("spo2") < k).alias(f"below_{k}") for k in levels], share(F.col("low")).alias("low_share"), F.avg("step").alias("step_mean"), F.stddev_pop("step").alias("step_sd"),
-        F.percentile(F.abs("step"), F.lit(0.95)).alias("step_p95"), share(F.abs("step") > 1).alias("big_steps"),
-    ).join(events, "record", "left").withColumn("events", F.coalesce("events", F.lit(0)))
+        share(F.abs("step") > 1).alias("big_steps"),
+    ).join(base.select("record", "q"), "record").join(p95, "record").join(events, "record", "left").withColumn("events", F.coalesce("events", F.lit(0)))
     named = ("base", "mean", "sd", "least", "most", *[f"below_{k}" for k in levels], "low_share", "step_mean", "step_sd", "step_p95", "big_steps")
     return out.select(
         "record", "n", *[r6(c).alias(c) for c in named], r6(F.col("most") - F.col("least")).alias("range"), *[r6(F.col("q")[i]).alias(f"p{p:02d}") for i, p in enumerate(q)],

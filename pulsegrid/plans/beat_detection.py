@@ -2,6 +2,7 @@
 
 from math import cos, pi
 
+from ..functions.columns import r6
 from ..operators import beat_detection as op
 from ..operators import delineation
 from ..sources.tables import table
@@ -45,7 +46,7 @@ def ecg_r_peaks(spark, sf_dir):
     whole = electrocardiograms(spark, sf_dir).where("size(values) = 1024")
     gap = F.when(F.col("k") > 0, F.col("peak") - F.get("peaks", F.col("k") - 1))
     rows = op.r_peaks(whole, ECG_RATE).select("record", "peaks", F.posexplode("peaks").alias("k", "peak")).where("peak <= 1024 - 40")
-    return rows.select("record", (F.col("k") + 1).cast("long").alias("beat"), "peak", F.round(gap / F.lit(ECG_RATE), 6).alias("rr_s"))
+    return rows.select("record", (F.col("k") + 1).cast("long").alias("beat"), "peak", r6(gap / F.lit(ECG_RATE)).alias("rr_s"))
 
 
 @query("pcg_decoded_sounds")

@@ -1,5 +1,6 @@
 """Catalog, routing, clustering and sequence queries."""
 
+from ..functions.columns import r6
 from ..operators import catalog as op
 from ..sources.tables import BEATS_SQL, SAMPLES_SQL, beats, samples, table
 from . import query
@@ -61,7 +62,7 @@ def median_spacing(spark, sf_dir):
 @query("tick_durations", r"""WITH n AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?'), lambda s: s::DOUBLE)) AS n FROM documents)
 SELECT doc_id, round(list_max(n) - list_min(n), 6) AS duration FROM n WHERE len(n) >= 4""")
 def tick_durations(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.round(op.tick_duration(F.col("text")), 6).alias("duration"))
+    d = table(spark, sf_dir, "documents").select("doc_id", r6(op.tick_duration(F.col("text"))).alias("duration"))
     return d.where("duration is not null")
 
 
@@ -95,14 +96,14 @@ SELECT record, idx, round(p2 + p1 + x + n1 + n2, 6) AS total, round(p2, 6) AS fi
 def context_stack(spark, sf_dir):
     rows = op.context_stack(beats(spark, sf_dir), 2)
     total = F.aggregate("context", F.lit(0.0), lambda a, b: a + b)
-    return rows.select("record", "idx", F.round(total, 6).alias("total"), F.round(F.col("context")[0], 6).alias("first"))
+    return rows.select("record", "idx", r6(total).alias("total"), r6(F.col("context")[0]).alias("first"))
 
 
 @query("padded_sequences", f"""WITH {BEATS_SQL}, m AS (SELECT *, median(x) OVER (PARTITION BY record) AS m FROM beats), z AS (SELECT record, idx, round(least(greatest(coalesce((x - m) / nullif(1.4826::DOUBLE * median(abs(x - m)) OVER (PARTITION BY record), 0), 0), -6), 6), 6) AS z FROM m)
 SELECT record, count(*) AS n, round(sum(z), 6) AS total FROM z WHERE idx <= 40 GROUP BY record""")
 def padded_sequences(spark, sf_dir):
     rows = op.padded_sequences(beats(spark, sf_dir), 40)
-    return rows.select("record", "n", F.round(F.aggregate("sequence", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+    return rows.select("record", "n", r6(F.aggregate("sequence", F.lit(0.0), lambda a, b: a + b)).alias("total"))
 
 
 def _has(c: str, *words: str) -> str:

@@ -1,5 +1,6 @@
 """Evaluation queries over documents, labels, benchmark items, orders and events."""
 
+from ..functions.columns import r6
 from ..operators import evaluation as op
 from ..sources.tables import BEATS_SQL, beats, table
 from . import query
@@ -104,7 +105,7 @@ def grouped_summary(spark, sf_dir):
     t, i = F.grouping("task") == 1, F.grouping("input") == 1
     level = F.when(t & i, "overall").when(~t & ~i, "both").when(~t, "task").otherwise("input")
     sets = o.groupingSets([[], ["task"], ["input"], ["task", "input"]], "task", "input")
-    return sets.agg(level.alias("level"), F.count("*").alias("cases"), F.round(F.avg((F.col("o_totalprice") > 150000).cast("int")), 6).alias("accuracy"), F.round(F.avg("o_totalprice"), 2).alias("mean_price"))
+    return sets.agg(level.alias("level"), F.count("*").alias("cases"), r6(F.avg((F.col("o_totalprice") > 150000).cast("int"))).alias("accuracy"), F.round(F.avg("o_totalprice"), 2).alias("mean_price"))
 
 
 @query("hash_split", """WITH c AS (SELECT o_orderkey AS id, o_orderpriority AS task, o_orderstatus AS modality FROM orders),
@@ -134,7 +135,7 @@ def relational_division(spark, sf_dir):
 
 @query("first_per_key", f"WITH {BEATS_SQL} SELECT record, kind, idx, round(x, 6) AS x FROM beats QUALIFY row_number() OVER (PARTITION BY record, kind ORDER BY idx) = 1")
 def first_per_key(spark, sf_dir):
-    return op.first_per_key(beats(spark, sf_dir), ["record", "kind"], ["idx"]).select("record", "kind", "idx", F.round("x", 6).alias("x"))
+    return op.first_per_key(beats(spark, sf_dir), ["record", "kind"], ["idx"]).select("record", "kind", "idx", r6("x").alias("x"))
 
 
 @query("numeric_grounding", """WITH n AS (SELECT event_id AS id, list_transform(regexp_extract_all(props, '-?[0-9]+(?:\\.[0-9]+)?'), lambda s: s::DOUBLE) AS said, [value, value / 2] AS known FROM events),

@@ -1,5 +1,6 @@
 """Intervals, as-of pairs, range joins and window labels."""
 
+from ..functions.columns import r6
 from ..operators import events as op
 from ..sources.tables import BEATS_SQL, beats
 from . import query
@@ -24,7 +25,7 @@ SELECT record, round(s, 6) AS start, round(e, 6) AS "end", parts FROM m""")
 def merge_intervals(spark, sf_dir):
     rows = beats(spark, sf_dir).where(F.col("kind").isin("error", "view"))
     m = op.merge_intervals(_spans(rows, 1.5), 0.5)
-    return m.select("record", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "parts")
+    return m.select("record", r6("start").alias("start"), r6("end").alias("end"), "parts")
 
 
 @query("event_burden", f"""WITH {BEATS_SQL}, i AS (SELECT record, t AS s, t + 1.0 AS e FROM beats WHERE kind = 'error' UNION ALL SELECT record, t, t + 0.5 FROM beats WHERE kind = 'click'), {MERGE.format(k='', gap=0.25, src='i')},
@@ -41,7 +42,7 @@ def event_burden(spark, sf_dir):
 SELECT record, round(t, 6) AS anchor, round((SELECT min(c.t) FROM c WHERE c.record = a.record AND c.t > a.t AND (a.nx IS NULL OR c.t < a.nx)), 6) AS target FROM a""")
 def breath_pairing(spark, sf_dir):
     p = op.before_next_anchor(_kind(spark, sf_dir, "view"), _kind(spark, sf_dir, "click"))
-    return p.select("record", F.round("anchor", 6).alias("anchor"), F.round("target", 6).alias("target"))
+    return p.select("record", r6("anchor").alias("anchor"), r6("target").alias("target"))
 
 
 PAT = """, d AS (SELECT record, target - ref AS d FROM p WHERE target - ref BETWEEN 0.08 AND 3.0)
@@ -62,7 +63,7 @@ def pat_min_delay(spark, sf_dir):
 SELECT record, round(target, 6) AS target, round(CASE WHEN ref >= target - 2.0 THEN ref END, 6) AS ref FROM p""")
 def bounded_backward_pairs(spark, sf_dir):
     p = op.previous_within(_kind(spark, sf_dir, "view"), _kind(spark, sf_dir, "click"), 0.25, 2.0)
-    return p.select("record", F.round("target", 6).alias("target"), F.round("ref", 6).alias("ref"))
+    return p.select("record", r6("target").alias("target"), r6("ref").alias("ref"))
 
 
 @query("offset_window_extreme", f"""WITH {BEATS_SQL}, n AS (SELECT r.record, r.t AS ref, b.t, b.x, row_number() OVER (PARTITION BY r.record, r.t ORDER BY abs(b.x) DESC, b.t) AS k

@@ -1,5 +1,6 @@
 """Interval and rhythm queries over the beats of each user."""
 
+from ..functions.columns import r6
 from ..operators import intervals as op
 from ..sources.tables import BEATS_SQL, beats
 from . import query
@@ -48,7 +49,7 @@ def interval_regularity(spark, sf_dir):
 @query("clean_intervals_mad", CLEAN + " SELECT record, idx, round(dt, 6) AS dt, round(med, 6) AS median, n FROM clean")
 def clean_intervals_mad(spark, sf_dir):
     rows = op.clean_intervals(beats(spark, sf_dir))
-    return rows.select("record", "idx", F.round("dt", 6).alias("dt"), F.round("median", 6).alias("median"), "n")
+    return rows.select("record", "idx", r6("dt").alias("dt"), r6("median").alias("median"), "n")
 
 
 @query("beat_labels", f"""WITH {BEATS_SQL},

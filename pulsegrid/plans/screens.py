@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import r6
 from ..operators import screens as op
 from ..sources.tables import BEATS_SQL, OXIMETRY_SQL, SAMPLES_SQL, beats, oximetry, samples
 from . import query
@@ -83,7 +84,7 @@ def oximetry_features(spark, sf_dir):
 @query("clipped_signal", f"""WITH {SAMPLES_SQL}, e AS (SELECT record, quantile_cont(x, 0.005) AS lo, quantile_cont(x, 0.995) AS hi FROM samples GROUP BY record)
 SELECT record, idx, round(CASE WHEN hi > lo THEN least(greatest(x, lo), hi) ELSE x END, 6) AS x FROM samples JOIN e USING (record)""")
 def clipped_signal(spark, sf_dir):
-    return op.clipped(samples(spark, sf_dir)).select("record", "idx", F.round("x", 6).alias("x"))
+    return op.clipped(samples(spark, sf_dir)).select("record", "idx", r6("x").alias("x"))
 
 
 @query("acc_gravity", f"""WITH {SAMPLES_SQL}, a AS (SELECT record, idx // 3 AS i, idx % 3 AS axis, x FROM samples), m AS (SELECT record, i, sqrt(sum(x * x)) AS m FROM a GROUP BY record, i), b AS (SELECT record, median(m) AS med, (max(i) + 1) / 2 AS half FROM m GROUP BY record),

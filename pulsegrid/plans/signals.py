@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import r6
 from ..operators import quality as op
 from ..operators import waveform as wave
 from ..sources.tables import BEATS_SQL, SAMPLES_SQL, beats, samples
@@ -120,7 +121,7 @@ def linear_interpolation(spark, sf_dir):
 @query("rms_envelope", f"""WITH {SAMPLES_SQL}
 SELECT record, idx, round(sqrt(sum(x * x) OVER (PARTITION BY record ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4), 6) AS rms FROM samples""")
 def rms_envelope(spark, sf_dir):
-    return wave.rolling_rms(samples(spark, sf_dir), 4).select("record", "idx", F.round("rms", 6).alias("rms"))
+    return wave.rolling_rms(samples(spark, sf_dir), 4).select("record", "idx", r6("rms").alias("rms"))
 
 
 @query("dual_channel_ratio", """

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import r6
+
 #: Microseconds of event time that make a second of signal: events come about every eight hours, beats about every second.
 MICROS_PER_SECOND = 28_800_000_000.0
 
@@ -36,7 +38,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oximetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as saturation readings: record, idx, spo2, higher values reading lower."""
-    return beats(spark, sf_dir).select("record", "idx", F.round(F.lit(100.0) - F.least(F.col("x") / 8, F.lit(49.0)), 6).alias("spo2"))
+    return beats(spark, sf_dir).select("record", "idx", r6(F.lit(100.0) - F.least(F.col("x") / 8, F.lit(49.0))).alias("spo2"))
 
 
 #: The same tables in SQL.

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..functions.columns import r6
 from ..operators.oximetry import DropScan
 from ..sources.scratch import shared_path
 from ..sources.tables import micros, table
@@ -167,7 +168,7 @@ def reading_stream(spark: SparkSession, folders: list[str], files_per_batch: int
         source = source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source
         one = source.parquet(f)
         out = one if out is None else out.unionByName(one)
-    spo2 = F.round(F.lit(100.0) - F.least(F.col("value") / 8, F.lit(49.0)), 6)
+    spo2 = r6(F.lit(100.0) - F.least(F.col("value") / 8, F.lit(49.0)))
     return out.select(F.col("user_id").alias("record"), "ts", F.col("event_id").alias("id"), spo2.alias("spo2"))
 
 

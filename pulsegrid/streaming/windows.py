@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..functions.columns import r6
 from ..sources.scratch import shared_path
 from ..sources.tables import micros, table
 
@@ -33,7 +34,7 @@ def sessions(rows: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 def epochs(rows: DataFrame, width: str = "1 day") -> DataFrame:
     """Counts and mean value in tumbling epochs by kind of event."""
-    out = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+    out = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean_value"))
     return out.select(F.unix_micros("w.start").alias("start_us"), "event_type", "n", "mean_value")
 
 
