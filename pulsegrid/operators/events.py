@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,6 +142,41 @@ def longitudinal_change(beats: DataFrame) -> DataFrame:
     return out.select("record", "n", r6("first").alias("first_value"), r6("last").alias("last_value"), r6(change).alias("change"), F.array_join(found, ",").alias("flags"))
 
 
+def _scan_pieces(rows: DataFrame, columns: list[str], scan: Callable[[list[np.ndarray], list[np.ndarray]], tuple[int, float]]) -> DataFrame:
+    """(record, d, t, tp, iou) for each piece of rows (record, piece, side, columns), scanned as scan(columns of side 0, columns of side 1).
+
+    A window by record and piece has left pieces whole in a task, so they stream through it one after the
+    other, in order of columns; there is no group, and so no frame, for each of many small pieces.
+    """
+    schema = pa.schema([("record", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("tp", pa.int64()), ("iou", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts = None, []
+
+        def over() -> tuple:
+            side, *values = (np.concatenate(c) for c in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
+            return (key[1] if key[0] else None, 0, 0, *scan([v[side == 0] for v in values], [v[side == 1] for v in values]))
+
+        for b in batches:
+            out, there = [], b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            record, piece, side, *values = (c.fill_null(0).to_numpy(zero_copy_only=False) for c in b.columns)
+            new = (record[1:] != record[:-1]) | (there[1:] != there[:-1]) | (piece[1:] != piece[:-1])
+            at = [0, *(np.flatnonzero(new) + 1).tolist(), len(record)] if len(record) else []
+            for lo, hi in zip(at, at[1:], strict=False):
+                k = (bool(there[lo]), int(record[lo]), int(piece[lo]))
+                if k != key and parts:
+                    out.append(over())
+                    parts = []
+                key = k
+                parts.append([c[lo:hi] for c in (side, *values)])
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+        if parts:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, over(), strict=True))], schema)
+
+    ordered = rows.sortWithinPartitions("record", "piece", *columns).select(F.col("record").cast("long"), F.col("piece").cast("long"), F.col("side").cast("int"), *[F.col(c).cast("double") for c in columns])
+    return ordered.mapInArrow(run, "record long, d long, t long, tp long, iou double")
+
+
 def match_events(detected: DataFrame, truth: DataFrame, tolerance: float) -> DataFrame:
     """One-to-one matching in order of detection: each takes the nearest free truth within tolerance, the first of equals.
 
@@ -181,7 +219,7 @@ def match_intervals(detected: DataFrame, truth: DataFrame, rule: str, tolerance:
     ``overlap``: each takes the free truth it overlaps most, for ``tolerance`` seconds at least.
     ``after``: each truth takes the first free detection that starts at most ``tolerance`` after its start.
     The first of equals counts.  No match reaches across a gap of more than the tolerance, so a
-    record is cut there, and only pieces with both sides are scanned, each in a group of its own.
+    record is cut there, and only pieces with both sides are scanned, one after the other in a task.
     """
 
     def score(a: tuple, b: tuple) -> float | None:
@@ -193,9 +231,8 @@ def match_intervals(detected: DataFrame, truth: DataFrame, rule: str, tolerance:
             return -shared if shared > 0 and shared >= tolerance else None
         return b[0] - a[0] if 0 <= b[0] - a[0] <= tolerance else None
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end"])
-        sides = [list(zip(g.start, g.end, strict=True)) for g in (pdf[pdf.side == 0], pdf[pdf.side == 1])]
+    def match(*both: list[np.ndarray]) -> tuple[int, float]:
+        sides = [list(zip(*(c.tolist() for c in g), strict=True)) for g in both]
         asks, held = sides if rule != "after" else sides[::-1]
         near_by, at, iou = [], 0, []  # free ones of ``held`` that may still match, and the next to come
         for a in asks:
@@ -208,7 +245,7 @@ def match_intervals(detected: DataFrame, truth: DataFrame, rule: str, tolerance:
                 b = held[min(near)[1]]
                 near_by.remove(min(near)[1])
                 iou.append(max(0.0, min(a[1], b[1]) - max(a[0], b[0])) / max(max(a[1], b[1]) - min(a[0], b[0]), 1e-12))
-        return pd.DataFrame({"record": [pdf.record.iloc[0]], "d": [0], "t": [0], "tp": [len(iou)], "iou": [float(sum(iou))]})
+        return len(iou), float(sum(iou))
 
     side = lambda d, k: d.select("record", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.lit(k).alias("side"))
     both = side(detected, 0).unionByName(side(truth, 1))
@@ -218,7 +255,7 @@ def match_intervals(detected: DataFrame, truth: DataFrame, rule: str, tolerance:
     pieces = both.withColumn("new", new).withColumn("piece", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     piece = Window.partitionBy("record", "piece")
     mixed = pieces.withColumn("mixed", F.min("side").over(piece) < F.max("side").over(piece)).where("mixed")
-    matched = mixed.select("record", "piece", "start", "end", "side").groupBy("record", "piece").applyInPandas(match, "record long, d long, t long, tp long, iou double")
+    matched = _scan_pieces(mixed, ["start", "end"], match)
     counts = both.groupBy("record").agg(F.count_if(F.col("side") == 0).alias("d"), F.count_if(F.col("side") == 1).alias("t"), F.lit(0).cast("long").alias("tp"), F.lit(0.0).alias("iou"))
     out = counts.unionByName(matched).groupBy("record").agg(*[F.sum(c).alias(c) for c in ("d", "t", "tp", "iou")])
     p, r = ratio(F.col("tp"), F.col("d")), ratio(F.col("tp"), F.col("t"))
