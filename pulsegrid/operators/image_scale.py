@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dsp
 from ..functions.columns import flags, r6
+from ..sources.scratch import dealt, written
 from .spectral import per_signal
 
 #: Grey below which a pixel may belong to a line, and below which it is content at all.
@@ -24,13 +25,27 @@ SPAN = 0.65
 DENSE = 0.45
 
 
-def _by_axis(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Each dark pixel once along both axes: image, axis, at (the column or row), along, length and across (sizes of the image)."""
+#: Pixels of both axes that a task sorts.
+TASK_PIXELS = 1_000_000
+
+
+def _marked(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Columns and rows with dark pixels: image, axis, at (the column or row), density, span (of the longest stroke), across and length (sizes of the image).
+
+    Pixels are dealt once, by the column or row that they are in, and sorted there; repeated pixels have no distance from the one before.
+    """
     dark = pixels.dropna(subset=["image", "x", "y", "grey"]).where(F.col("grey") < LINE_GREY)
     both = F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.col("x").cast("long").alias("at"), F.col("y").cast("long").alias("along")), F.struct(F.lit("y").alias("axis"), F.col("y").cast("long").alias("at"), F.col("x").cast("long").alias("along"))))
-    rows = dark.select("image", both.alias("p")).select("image", "p.*").distinct()
+    rows = dealt(dark.select("image", both.alias("p")).select("image", "p.*"), 2 * dark.count(), TASK_PIXELS, "image", "axis", "at")
+    order = Window.partitionBy("image", "axis", "at").orderBy("along")
+    step = F.col("along") - F.lag("along").over(order)
+    rows = rows.withColumns({"new": F.coalesce((step > HOLE + 1).cast("int"), F.lit(1)), "other": F.coalesce((step > 0).cast("int"), F.lit(1))})
+    strokes = rows.withColumn("stroke", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    strokes = strokes.groupBy("image", "axis", "at", "stroke").agg(F.sum("other").alias("n"), (F.max("along") - F.min("along")).alias("span"))
+    marked = strokes.groupBy("image", "axis", "at").agg(F.sum("n").alias("n"), F.max("span").alias("span")).join(sizes.select("image", "width", "height"), "image")
     is_x = F.col("axis") == "x"
-    return rows.join(sizes.select("image", "width", "height"), "image").select("*", F.when(is_x, F.col("width")).otherwise(F.col("height")).alias("across"), F.when(is_x, F.col("height")).otherwise(F.col("width")).alias("length"))
+    across, length = F.when(is_x, F.col("width")).otherwise(F.col("height")), F.when(is_x, F.col("height")).otherwise(F.col("width"))
+    return marked.select("image", "axis", "at", (F.col("n") / length).alias("density"), "span", across.alias("across"), length.alias("length"))
 
 
 def ruled_lines(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -41,12 +56,7 @@ def ruled_lines(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
     than DENSE and more than 99 % of columns are.  Neighbouring columns within 2.5 pixels (or 0.3 %
     of the width, for rows 0.5 % of the height) of the one before are one line.  Nulls are left out, repeated pixels count once.
     """
-    by = _by_axis(pixels, sizes)
-    order = Window.partitionBy("image", "axis", "at").orderBy("along")
-    new = F.coalesce((F.col("along") - F.lag("along").over(order) > HOLE + 1).cast("int"), F.lit(1))
-    strokes = by.withColumn("stroke", F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    strokes = strokes.groupBy("image", "axis", "at", "stroke").agg(F.count("*").alias("n"), (F.max("along") - F.min("along")).alias("span"), F.first("across").alias("across"), F.first("length").alias("length"))
-    marked = strokes.groupBy("image", "axis", "at").agg((F.sum("n") / F.first("length")).alias("density"), F.max("span").alias("span"), F.first("across").alias("across"), F.first("length").alias("length"))
+    marked = written(_marked(pixels, sizes), "marked")
     # the 99 % level counts columns without a mark as well
     filled = marked.groupBy("image", "axis").agg((F.first("across") - F.count("*")).alias("many")).where("many > 0")
     levels = marked.select("image", "axis", "density", F.lit(1).cast("long").alias("many")).unionByName(filled.select("image", "axis", F.lit(0.0).alias("density"), F.col("many").cast("long")))
@@ -87,7 +97,7 @@ def axis_scale(pixels: DataFrame, sizes: DataFrame, seconds_per_grid: float | No
 
 def profiles(pixels: DataFrame, sizes: DataFrame, axis: str = "x") -> DataFrame:
     """record (the image), values: the share of dark pixels of each column (or row), one array as long as the image is wide."""
-    dense = _by_axis(pixels, sizes).where(F.col("axis") == axis).groupBy("image", "at").agg((F.count("*") / F.first("length")).alias("d"), F.first("across").alias("across"))
+    dense = _marked(pixels, sizes).where(F.col("axis") == axis).select("image", "at", F.col("density").alias("d"), "across")
     marked = dense.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct("at", "d"))).alias("m"), F.first("across").alias("n"))
     return marked.select(F.col("image").alias("record"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - F.lit(1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("values"))
 

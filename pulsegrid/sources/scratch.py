@@ -27,6 +27,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int, each: int, *keys: str) -> DataFrame:
+    """df dealt by keys to so many partitions that each has about ``each`` of the ``rows`` rows that its task is to hold, and every core has one.
+
+    A number of partitions that stays as it is while tables grow, as that of a session does, lets the memory of a task grow with them.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)), *keys)
+
+
 class Steps:
     """The tables of an iteration: each is written to the shared folder, and the one before it goes once its successor is there."""
 
