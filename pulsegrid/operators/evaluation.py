@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6, ratio
+from ..sources.scratch import dealt
 
 #: Letters, digits and underscores make a token; hyphens count as underscores.
 TOKEN = "[a-z0-9_]+"
@@ -24,17 +25,25 @@ def _small(asked: DataFrame) -> DataFrame:
     return F.broadcast(asked) if asked.limit(SMALL + 1).count() <= SMALL else asked
 
 
+#: Pairs of a query and an entry that a task scores.
+TASK_PAIRS = 500_000
+
+
+def _dealt(queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The catalog dealt by id, so that counts and scores of an entry stay in its task; a task has TASK_PAIRS pairs of an entry and a query at most, or nearly so."""
+    return dealt(catalog, catalog.count() * queries.count(), TASK_PAIRS, "id")
+
+
 def tfidf_top(queries: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
     """The k best entries of a catalog (id, text) for each query (q, text).
 
     A token of the query that an entry holds tf times adds (1 + ln tf) (ln((1 + N) / (1 + df)) + 1),
     as often as the query has it; ties go to the smaller id.
 
-    Entries are dealt by id once, so counts and scores of an entry stay in its task; the best k
-    of each task go on.
+    Entries are dealt by id once, to tasks that grow in number with the pairs; the best k of each task go on.
     """
     asked = queries.select("q", F.explode(tokens(F.col("text"))).alias("token")).groupBy("q", "token").agg(F.count("*").alias("m"))
-    words = catalog.select("id", "text").repartition("id").select("id", F.explode(tokens(F.col("text"))).alias("token"))
+    words = _dealt(queries, catalog.select("id", "text")).select("id", F.explode(tokens(F.col("text"))).alias("token"))
     held = words.join(_small(asked.select("token").distinct()), "token", "left_semi").groupBy("id", "token").agg(F.count("*").alias("tf"))
     df = held.groupBy("token").agg(F.count("*").alias("df"))
     total = catalog.agg(F.count("*").alias("total"))
@@ -52,34 +61,39 @@ def retrieve(queries: DataFrame, catalog: DataFrame, k: int, boost: float = 0.5)
     without modality, all.  Scores are those of ``tfidf_top`` plus ``boost`` where a token of the
     query is a word of the name (between underscores and spaces); ties go by name.  With a
     modality the best entries come first and others of it follow by name until there are k.
+
+    Words of names are counted beside those of the text, so an entry is dealt and scored once.
     """
     asked = queries.select("q", "modality", F.explode(tokens(F.col("text"))).alias("token")).groupBy("q", "modality", "token").agg(F.count("*").alias("m"))
-    words = catalog.repartition("id").select("id", "name", F.lower("modality").alias("of"), F.explode(tokens(F.col("text"))).alias("token"))
-    held = words.join(_small(asked.select("token").distinct()), "token", "left_semi").groupBy("id", "name", "of", "token").agg(F.count("*").alias("tf"))
-    idf = held.groupBy("token").agg(F.count("*").alias("df")).crossJoin(catalog.agg(F.count("*").alias("total")))
+    said = lambda words, named: F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.struct(w.alias("token"), F.lit(named).alias("named")))
+    words = F.concat(said(tokens(F.col("text")), False), said(F.array_distinct(F.split(F.lower("name"), "[ _-]+")), True))
+    words = _dealt(queries, catalog.select("id", "name", "modality", "text")).select("id", "name", F.lower("modality").alias("of"), F.explode(words).alias("w")).select("id", "name", "of", "w.*")
+    held = words.join(_small(asked.select("token").distinct()), "token", "left_semi").groupBy("id", "name", "of", "token", "named").agg(F.count("*").alias("tf"))
+    idf = held.where("NOT named").groupBy("token").agg(F.count("*").alias("df")).crossJoin(catalog.agg(F.count("*").alias("total")))
     idf = idf.select("token", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weights = _small(asked.join(idf, "token").select("q", "modality", "token", (F.col("m") * F.col("idf")).alias("weight")))
+    # a word of names that no text holds has no weight, but still names entries
+    weights = _small(asked.join(idf, "token", "left").select("q", "modality", "token", (F.col("m") * F.col("idf")).alias("weight")))
     fits = F.col("modality").isNull() | F.col("of").isin("any") | (F.col("of") == F.lower("modality"))
-    hits = held.join(weights, "token").where(fits).select("q", "id", "name", (F.col("weight") * (1 + F.log("tf"))).alias("part"))
-    named = catalog.repartition("id").select("id", "name", F.lower("modality").alias("of"), F.explode(F.array_distinct(F.split(F.lower("name"), "[ _-]+"))).alias("token"))
-    named = named.join(_small(asked.select("q", "modality", "token")), "token").where(fits).select("q", "id", "name").distinct().withColumn("part", F.lit(boost))
+    part = F.when(F.col("named"), 0.0).otherwise(F.col("weight") * (1 + F.log("tf")))
+    score = held.join(weights, "token").where(fits).groupBy("q", "id", "name").agg(r6(F.sum(part) + F.when(F.bool_or("named"), boost).otherwise(0.0)).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "name", "id"))
+    best = score.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
     first = Window.partitionBy("of").orderBy("name", "id")
     fill = catalog.select("id", "name", F.lower("modality").alias("of")).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= 2 * k)
     fill = fill.withColumn("on", F.col("of")).join(queries.where("modality is not null").select("q", F.explode(F.array_distinct(F.array(F.lower("modality"), F.lit("any")))).alias("on")), "on")
-    rows = hits.unionByName(named).unionByName(fill.select("q", "id", "name", F.lit(0.0).alias("part")))
-    score = rows.groupBy("q", "id", "name").agg(r6(F.sum("part")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "name", "id"))
-    return score.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("q", "id", "score", "rank")
+    # an entry that follows by name and is among the best keeps its score; one that is not would come after them with it, too
+    both = best.unionByName(fill.select("q", "id", "name", F.lit(0.0).alias("score"))).groupBy("q", "id", "name").agg(F.max("score").alias("score"))
+    return both.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("q", "id", "score", "rank")
 
 
 def replay(queries: DataFrame, known: DataFrame, least: int = 3) -> DataFrame:
     """The known question (id, text) each query (q, text) replays: of equal text, else of most shared tokens, at least ``least``; the smaller id of equals.
 
-    Known questions are dealt by id once; each task counts the tokens its own share with the queries.
+    Known questions are dealt by id once, as in ``tfidf_top``; each task counts the tokens its own share with the queries.
     """
     same = queries.join(known, "text").groupBy("q").agg(F.min("id").alias("same"))
     words = lambda d, key: d.select(key, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    shared = words(known.repartition("id"), "id").join(_small(words(queries, "q")), "token").groupBy("q", "id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    shared = words(_dealt(queries, known.select("id", "text")), "id").join(_small(words(queries, "q")), "token").groupBy("q", "id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("n"), "id"))
     best = shared.withColumn("rank", rank).where("rank = 1").select("q", F.col("id").alias("near"), "n")
     out = queries.select("q").join(same, "q", "left").join(best, "q", "left")

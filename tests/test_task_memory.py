@@ -2,7 +2,7 @@
 
 import re
 
-from pulsegrid.operators import image_scale
+from pulsegrid.operators import evaluation, image_scale
 
 
 def plan(df) -> str:
@@ -17,3 +17,16 @@ def test_pixels_are_dealt_once_by_their_number(spark, monkeypatch):
     dealt = {int(n) for n in re.findall(r"hashpartitioning\(image#\d+L, axis#\d+, at#\d+L, (\d+)\)", plan(profiles))}
     assert dealt == {80}
     assert [v for v in profiles.first()["values"] if v] == [1.0] * 4
+
+
+def test_entries_are_dealt_by_pairs_with_queries(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "TASK_PAIRS", 10)
+    asked = spark.createDataFrame([(q, f"red w{q % 3} shared gold", "ecg" if q % 2 else None) for q in range(10)], "q long, text string, modality string")
+    known = spark.createDataFrame([(i, f"name_{i} gold", "ECG", f"red w{i % 3} shared w{i % 3}") for i in range(40)] + [(90, None, None, None)], "id long, name string, modality string, text string")
+    for found in (evaluation.tfidf_top(asked, known, 2), evaluation.retrieve(asked, known, 2), evaluation.replay(asked, known)):
+        assert "hashpartitioning(id" in plan(found) and {int(n) for n in re.findall(r"hashpartitioning\(id#\d+L, (\d+)\)", plan(found))} == {41}
+    best = {(r.q, r.rank): r for r in evaluation.retrieve(asked, known, 2).collect()}
+    assert [best[4, k].id for k in (1, 2)] == [1, 10] and len(best) == 20
+    # gold is a word of names only: it adds the boost, though no text holds it
+    plain = {(r.q, r.rank): r for r in evaluation.retrieve(asked, known, 2, 0.0).collect()}
+    assert {round(best[k].score - plain[k].score, 6) for k in best} == {0.5}
