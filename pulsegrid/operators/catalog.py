@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import flags, r6, ratio
-from ..sources.scratch import written
+from ..sources.scratch import dealt, written
+
+#: Pairs of a path's ends that a task holds at once.
+TASK_PATHS = 1_000_000
 
 
 def inverted_index(entries: DataFrame) -> DataFrame:
@@ -25,20 +28,30 @@ def universe(tools: DataFrame, sources: DataFrame) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """All (tool, needs) pairs reachable over dependency edges (tool, needs); circles are fine.
 
-    Each round joins only the paths found last with all paths, which doubles their length, and
-    writes what is new; so there are as many rounds as the logarithm of the longest path.
+    A round has the pairs of all paths shorter than 2 ** k steps and those of exactly 2 ** k: the first are lengthened by
+    the second, and the second then join themselves.  So a path is made once, not once for each place where it
+    can be cut; there are as many rounds as the logarithm of the longest path, and tasks grow in number with the pairs.
     """
-    newest = written(edges.select("tool", "needs").distinct(), "paths")
-    paths = newest
-    while not newest.isEmpty():
-        a, b = newest.alias("a"), paths.alias("b")
-        ahead = a.join(b, F.col("a.needs") == F.col("b.tool")).select("a.tool", "b.needs")
-        behind = b.join(a, F.col("b.needs") == F.col("a.tool")).select("b.tool", "a.needs")
-        newest = written(ahead.unionByName(behind).distinct().join(paths, ["tool", "needs"], "left_anti"), "paths")
-        paths = paths.unionByName(newest)
+    kept = lambda rows, n: written(dealt(rows, n, TASK_PATHS, "tool", "needs").distinct(), "paths")
+    exact = kept(edges.select("tool", "needs"), edges.count())
+    paths, made, size = exact.limit(0), 0, exact.count()
+    while size:
+        paths = kept(paths.unionByName(exact).unionByName(_lengthened(paths, made, exact)), 2 * made + size)
+        before, made = made, paths.count()
+        if made == before:  # on circles paths go on, but all their pairs are there
+            break
+        exact = kept(_lengthened(exact, size, exact), made)
+        size = exact.count()
     return paths
 
 
+def _lengthened(paths: DataFrame, rows: int, by: DataFrame) -> DataFrame:
+    """The pairs of paths (so many rows) that go on over one of ``by``.  All paths may end at one tool that needs nothing, so those are left out before the join."""
+    on = by.select(F.col("tool").alias("needs")).distinct()
+    a = dealt(paths, rows, TASK_PATHS, "needs").join(on, "needs", "left_semi").alias("a")
+    return a.join(by.alias("b"), F.col("a.needs") == F.col("b.tool")).select("a.tool", "b.needs")
+
+
 def infer_modality(questions: DataFrame, hints: dict[str, list[str]]) -> DataFrame:
     """The modality whose hint words occur most in a question (q, text): the first in the order given of equals, unknown without hits."""
     hits = [F.struct(sum((F.contains(F.lower("text"), F.lit(w)).cast("int") for w in words), F.lit(0)).alias("hits"), F.lit(-k).alias("order"), F.lit(name).alias("modality")) for k, (name, words) in enumerate(hints.items())]

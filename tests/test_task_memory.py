@@ -2,7 +2,7 @@
 
 import re
 
-from pulsegrid.operators import evaluation, image_scale
+from pulsegrid.operators import catalog, evaluation, image_scale
 
 
 def plan(df) -> str:
@@ -30,3 +30,13 @@ def test_entries_are_dealt_by_pairs_with_queries(spark, monkeypatch):
     # gold is a word of names only: it adds the boost, though no text holds it
     plain = {(r.q, r.rank): r for r in evaluation.retrieve(asked, known, 2, 0.0).collect()}
     assert {round(best[k].score - plain[k].score, 6) for k in best} == {0.5}
+
+
+def test_closure_makes_a_path_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(catalog, "dealt", lambda df, rows, each, *keys: made.append((keys, df.count())) or df, raising=False)
+    chain = spark.createDataFrame([(i + 1, i) for i in range(40)], "tool long, needs long")
+    got = {tuple(r) for r in catalog.closure(chain).collect()}
+    assert got == {(i, j) for i in range(1, 41) for j in range(i)}
+    # lengths below 1, 2, 4 ... 64, each pair of a chain once: no round sees more rows than it keeps
+    assert [n for keys, n in made if keys == ("tool", "needs")][1::2] == [sum(41 - d for d in range(1, min(2**k, 41))) for k in range(1, 7)]
