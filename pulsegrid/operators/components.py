@@ -1,19 +1,28 @@
 """Connected parts of pixel tables (image, x, y), and the area of an image that holds its waveform.
 
 Nothing gathers an image: runs and touching pixels are windows over rows and columns, parts are
-found by star contraction over edges, and areas are aggregates over runs and parts.
+found inside tiles of bounded size and by star contraction over the edges between tiles, and areas are aggregates over runs and parts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from ..functions.columns import r6
 from ..sources.scratch import Steps, written
 
 #: Runs are named by their first pixel: row, then column, in one long.
 _ROW = 1 << 32
+#: Runs that begin in one square of 2 ** TILE_BITS rows and columns are joined in one task; tiles are taken together up to about TILE_EDGES edges.
+TILE_BITS = 8
+TILE_EDGES = 200_000
 
 
 def pixel_runs(pixels: DataFrame) -> DataFrame:
@@ -58,6 +67,70 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return tied.groupBy("image", F.col("hi").alias("node")).agg(F.min("lo").alias("part")).unionByName(roots)
 
 
+def connected_in_tiles(edges: DataFrame) -> DataFrame:
+    """``connected`` for runs (image, a, b) named by their first pixel: first inside tiles, then between the least runs of tiles.
+
+    Tiles stream through a task one after the other, and none has more runs than pixels.  Edges between
+    tiles are the only ones that take rounds; where images are smaller than a tile there are none.
+    """
+    edges = written(edges, "touching")
+    place = lambda c: (F.shiftright(c, 32 + TILE_BITS), F.shiftright(F.col(c).bitwiseAND(F.lit(_ROW - 1)), TILE_BITS))
+    (ya, xa), (yb, xb) = place("a"), place("b")
+    inside = (ya == yb) & (xa == xb)
+    pair = lambda a, b, y, x: F.struct(y.alias("ty"), x.alias("tx"), F.col(a).alias("a"), F.col(b).alias("b"))
+    rows = edges.select("image", F.explode(F.when(inside, F.array(pair("a", "b", ya, xa))).otherwise(F.array(pair("a", "a", ya, xa), pair("b", "b", yb, xb)))).alias("e")).select("image", "e.*")
+    image = edges.schema["image"]
+    schema = StructType([image]).add("node", LongType()).add("root", LongType())
+
+    def joined(t: pa.Table, new: np.ndarray) -> pa.RecordBatch:
+        a, b, tile = t["a"].to_numpy(), t["b"].to_numpy(), np.cumsum(new)
+        node, of = np.concatenate([a, b]), np.concatenate([tile, tile])
+        order = np.lexsort((node, of))
+        first = np.ones(len(order), bool)
+        first[1:] = (np.diff(node[order]) != 0) | (np.diff(of[order]) != 0)
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(first) - 1
+        i, j, least = at[: len(a)], at[len(a) :], np.arange(int(first.sum()))
+        while (least[i] != least[j]).any():
+            low, high = np.minimum(least[i], least[j]), np.maximum(least[i], least[j])
+            np.minimum.at(least, high, low)
+            while (least[least] != least).any():
+                least = least[least]
+        nodes = node[order[first]]
+        return pa.RecordBatch.from_arrays([t["image"].combine_chunks().take(pa.array(order[first] % len(a))), pa.array(nodes), pa.array(nodes[least])], ["image", "node", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def starts(t: pa.Table) -> np.ndarray:
+            new = np.ones(t.num_rows, bool)
+            new[1:] = np.any([pc.not_equal(t[c].slice(1), t[c].slice(0, t.num_rows - 1)).to_numpy() for c in ("image", "ty", "tx")], axis=0)
+            return new
+
+        for b in batches:
+            held.append(b)
+            if sum(h.num_rows for h in held) >= TILE_EDGES:
+                t = pa.Table.from_batches(held).combine_chunks()
+                new = starts(t)
+                cut = int(np.flatnonzero(new)[-1])
+                if cut:
+                    yield joined(t.slice(0, cut), new[:cut])
+                    held = t.slice(cut).to_batches()
+        t = pa.Table.from_batches([h for h in held if h.num_rows]).combine_chunks() if any(h.num_rows for h in held) else None
+        if t is not None:
+            yield joined(t, starts(t))
+
+    tiles = rows.repartition("image", "ty", "tx").sortWithinPartitions("image", "ty", "tx").select("image", "ty", "tx", "a", "b")
+    local = written(tiles.mapInArrow(run, schema), "tiles")
+    across = edges.where(~inside)
+    if across.isEmpty():
+        return local.withColumnRenamed("root", "part")
+    for end in ("a", "b"):
+        across = across.join(local.withColumnRenamed("node", end), ["image", end]).drop(end).withColumnRenamed("root", end)
+    parts = connected(across).withColumnRenamed("node", "root")
+    return local.join(parts, ["image", "root"], "left").select("image", "node", F.coalesce("part", "root").alias("part"))
+
+
 def labelled_runs(pixels: DataFrame) -> DataFrame:
     """Runs with the part that they are in: image, y, x_min, x_max, pixels, part.  Pixels are neighbours left, right, up and down.
 
@@ -65,7 +138,7 @@ def labelled_runs(pixels: DataFrame) -> DataFrame:
     """
     marked = written(pixel_runs(pixels.dropna(subset=["image", "x", "y"])), "runs")
     runs = marked.groupBy("image", "y", "node").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.count("*").alias("pixels"))
-    return runs.join(connected(touching_runs(marked)), ["image", "node"], "left").select("image", "y", "x_min", "x_max", "pixels", F.coalesce("part", "node").alias("part"))
+    return runs.join(connected_in_tiles(touching_runs(marked)), ["image", "node"], "left").select("image", "y", "x_min", "x_max", "pixels", F.coalesce("part", "node").alias("part"))
 
 
 def _figures(runs: DataFrame, *by: str) -> DataFrame:

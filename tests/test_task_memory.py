@@ -1,8 +1,9 @@
 """Steps that a task holds in memory are dealt by the number of rows, not by the session's number of partitions."""
 
+import random
 import re
 
-from pulsegrid.operators import catalog, evaluation, image_scale
+from pulsegrid.operators import catalog, components, evaluation, events, image_scale
 
 
 def plan(df) -> str:
@@ -40,3 +41,39 @@ def test_closure_makes_a_path_once(spark, monkeypatch):
     assert got == {(i, j) for i in range(1, 41) for j in range(i)}
     # lengths below 1, 2, 4 ... 64, each pair of a chain once: no round sees more rows than it keeps
     assert [n for keys, n in made if keys == ("tool", "needs")][1::2] == [sum(41 - d for d in range(1, min(2**k, 41))) for k in range(1, 7)]
+
+
+def test_runs_are_joined_in_tiles(spark, monkeypatch):
+    rng = random.Random(3)
+    pixels = spark.createDataFrame([(f"i{i}", x, y) for i in range(3) for x in range(40) for y in range(40) if rng.random() < 0.6], "image string, x int, y int").cache()
+    edges = components.touching_runs(components.pixel_runs(pixels)).cache()
+    stars = sorted(map(tuple, components.connected(edges).collect()))
+    for bits, chunk in ((1, 7), (3, 40)):
+        monkeypatch.setattr(components, "TILE_BITS", bits)
+        monkeypatch.setattr(components, "TILE_EDGES", chunk)
+        assert sorted(map(tuple, components.connected_in_tiles(edges).collect())) == stars
+    # images that are smaller than a tile take no rounds
+    monkeypatch.setattr(components, "TILE_BITS", 8)
+    monkeypatch.setattr(components, "connected", None)
+    assert components.components(pixels).count() > 3
+    assert sorted(map(tuple, components.connected_in_tiles(edges).collect())) == stars and components.components(pixels.limit(0)).count() == 0
+
+
+def test_events_are_matched_without_groups(spark):
+    rng = random.Random(5)
+    d, t = ([(r, rng.randrange(400) / 8) for r in (1, 2, None) for _ in range(150)] for _ in range(2))
+    rows = lambda v: spark.createDataFrame(v, "record long, t double")
+    got = events.match_events(rows(d + [(3, None), (4, 1.0)]), rows(t + [(3, None), (4, 1.5)]), 0.5)
+    assert "FlatMapGroupsInPandas" not in plan(got)
+    tp = {r.record: r.tp for r in got.collect()}
+
+    def greedy(r):
+        free, n = sorted(v for k, v in t if k == r), 0
+        for x in sorted(v for k, v in d if k == r):
+            near = [(abs(v - x), j) for j, v in enumerate(free) if abs(v - x) <= 0.5]
+            if near:
+                del free[min(near)[1]]
+                n += 1
+        return n
+
+    assert tp == {1: greedy(1), 2: greedy(2), None: greedy(None), 3: 0, 4: 1}
