@@ -67,25 +67,28 @@ def pulse_votes(signals: DataFrame, rate: float) -> DataFrame:
 RATE_BIN = 1.875
 
 
-def breathing_peaks(x: np.ndarray, rate: float, low: float = 0.08, high: float = 0.7) -> list[tuple[float, float]]:
-    """The eight strongest rates a minute of the breathing band and their power against the mean of the band.
+def breathing_peaks(x: np.ndarray, rate: float, low: float = 0.08, high: float = 0.7) -> list[list[tuple[float, float]]]:
+    """For each row of x the eight strongest rates a minute of the breathing band and their power against the mean of the band.
 
-    A rate below 8 gives way to a double or triple of 9 to 24 that has enough of its power.
+    A rate below 8 gives way to a double or triple of 9 to 24 that has enough of its power.  All rows are filtered at once.
     """
-    y = dsp.bandpass(x[None, :], rate, low, min(high, 0.45 * rate))
+    y = dsp.bandpass(x, rate, low, min(high, 0.45 * rate))
     hz, p = dsp.welch(y, rate, int(32 * rate))
     at = (hz >= low) & (hz <= min(high, 0.45 * rate))
     if not at.any():
-        return []
-    hz, p = 60 * hz[at], p[0, at] / (p[0, at].mean() + 1e-12)
-    top = [(float(hz[i]), float(p[i])) for i in np.argsort(p, kind="stable")[::-1][:8]]
-    first = top[0][0]
-    if first < 8:
-        for i, (bpm, power) in enumerate(top[1:], 1):
-            if 9 <= bpm <= 24 and min(abs(bpm - 2 * first), abs(bpm - 3 * first)) <= 1.5 and power >= max(1.5, 0.25 * top[0][1]):
-                top.insert(0, top.pop(i))
-                break
-    return top
+        return [[] for _ in x]
+    hz, p = 60 * hz[at], np.ascontiguousarray(p[:, at])
+    p = p / (p.mean(axis=1, keepdims=True) + 1e-12)
+    best = np.argsort(p, axis=1, kind="stable")[:, ::-1][:, :8]
+    found = [list(zip(*row, strict=True)) for row in zip(hz[best].tolist(), np.take_along_axis(p, best, axis=1).tolist(), strict=True)]
+    for top in found:
+        first = top[0][0]
+        if first < 8:
+            for i, (bpm, power) in enumerate(top[1:], 1):
+                if 9 <= bpm <= 24 and min(abs(bpm - 2 * first), abs(bpm - 3 * first)) <= 1.5 and power >= max(1.5, 0.25 * top[0][1]):
+                    top.insert(0, top.pop(i))
+                    break
+    return found
 
 
 def choose_breathing(found: dict[str, list[tuple[float, float]]]) -> tuple[float, str, float]:
@@ -133,16 +136,17 @@ def pulse_respiration(signals: DataFrame, rate: float) -> DataFrame:
     """Breaths a minute in a pulse wave, from its baseline, its envelope, and the heights and gaps of its peaks."""
 
     def f(x):
-        rows = []
         heart = dsp.bandpass(x, rate, 0.4, min(8.0, 0.45 * rate))
         envelope = dsp.envelope(x - np.median(x, axis=1, keepdims=True))
-        for v, y, e in zip(x, heart, envelope, strict=True):
-            p, _, _ = multiscale_peaks(y - np.median(y), rate)
-            found = {"baseline": breathing_peaks(v, rate), "envelope": breathing_peaks(e, rate)}
-            if len(p) >= 5:
-                t = np.arange(len(v))
-                found |= {"amplitude": breathing_peaks(np.interp(t, p, v[p]), rate), "interval": breathing_peaks(np.interp(t, p[1:], np.diff(p) / rate), rate)}
-            rows.append(choose_breathing(found))
+        found = [{"baseline": b, "envelope": e} for b, e in zip(breathing_peaks(x, rate), breathing_peaks(envelope, rate), strict=True)]
+        peaks = {i: p for i, y in enumerate(heart) if len(p := multiscale_peaks(y - np.median(y), rate)[0]) >= 5}
+        if peaks:
+            t = np.arange(x.shape[1])
+            heights = np.array([np.interp(t, p, x[i, p]) for i, p in peaks.items()])
+            gaps = np.array([np.interp(t, p[1:], np.diff(p) / rate) for p in peaks.values()])
+            for i, a, g in zip(peaks, breathing_peaks(heights, rate), breathing_peaks(gaps, rate), strict=True):
+                found[i] |= {"amplitude": a, "interval": g}
+        rows = [choose_breathing(c) for c in found]
         bpm, source, power = zip(*rows, strict=True)
         return {"rate_bpm": _r(bpm), "source": np.array(source, object), "power": _r(power)}
 

@@ -3,7 +3,9 @@
 import random
 import re
 
-from pulsegrid.operators import catalog, components, evaluation, events, image_scale
+import numpy as np
+
+from pulsegrid.operators import catalog, components, evaluation, events, image_scale, wave_features
 
 
 def plan(df) -> str:
@@ -77,3 +79,10 @@ def test_events_are_matched_without_groups(spark):
         return n
 
     assert tp == {1: greedy(1), 2: greedy(2), None: greedy(None), 3: 0, 4: 1}
+
+
+def test_breathing_is_filtered_for_all_rows_at_once():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 64)).cumsum(axis=1)
+    rows = wave_features.breathing_peaks(x, 2.5)
+    assert len(rows) == 50 and [wave_features.breathing_peaks(v[None, :], 2.5)[0] for v in x] == rows
