@@ -8,6 +8,8 @@
    linear in the tile.  Components of these links merge large groups of near copies.
 4. What is left are tiles with documents of different components.  Pairs of sizes in one band (a
    third apart at most) whose places and bitmaps allow enough overlap say which components may touch.
+   Tiles of one smallest document share most of their documents, so they are compared together and
+   a document's bitmap is sent once for all of them.
 5. Each such component is a tile once more, cut into blocks, with the sorted shingles of its
    documents.  Documents of the others are compared with it, by bitmaps first and then exactly,
    until one link joins both components; only such links leave a task.
@@ -18,7 +20,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +42,10 @@ WIDE = 8
 #: Documents in a block of a tile, and shingles in a block of a component.
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 20
+#: Pairs of tiles with one smallest document that are compared together, and pairs whose bitmaps are compared at once.
+CELL_PAIRS, PAIRS_AT_ONCE = 1 << 21, 1 << 20
+#: Bits of the map of copies: 2 MB, whatever the input.
+COPY_SLOTS = 1 << 24
 #: Rows and bytes of whole tiles handled together.
 TILE_ROWS, TILE_BYTES = 20_000, 32 << 20
 
@@ -155,6 +163,27 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
+def without_copies(named: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows of named (doc_id, k1, k2, ...) that are not in copies.
+
+    Prefixes are wide, so only rows whose hashed id falls on that of a copy take part in the
+    join.  More copies than the map of bits has room for only send more rows to the join.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(COPY_SLOTS))
+    part, bit = F.shiftright(slot, 15), slot.bitwiseAND(32767)
+    bits = np.zeros(-(-COPY_SLOTS // 32768) * 4096, np.uint8)
+    for at, found in copies.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(bit).alias("bits")).collect():
+        bits[at * 4096 : (at + 1) * 4096] = np.frombuffer(found, np.uint8)
+
+    @F.pandas_udf("boolean")
+    def marked(slots: pd.Series) -> pd.Series:
+        s = slots.to_numpy()
+        return pd.Series((bits[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool))
+
+    named = named.withColumn("marked", marked(slot))
+    return named.where("not marked").unionByName(named.where("marked").join(copies, ["doc_id", "k1", "k2"], "left_anti")).drop("marked")
+
+
 def _both(pairs: DataFrame, side: DataFrame, *cols: str) -> DataFrame:
     """Adds the columns of side (doc_id, ...) for a and for b."""
     for end in ("a", "b"):
@@ -222,44 +251,77 @@ def touching(index: DataFrame, components: DataFrame, sigs: DataFrame) -> DataFr
     """
     tile = Window.partitionBy("token")
     label = F.coalesce("component", F.col("doc"))
-    member = index.select("token", "doc", "n", "pos").join(components.withColumnRenamed("id", "doc"), "doc", "left").select("token", "doc", "n", "pos", label.alias("label"))
+    member = index.select("token", "doc", "n", "pos", F.col("lead.doc").alias("lead")).join(components.withColumnRenamed("id", "doc"), "doc", "left")
+    member = member.select("token", "doc", "n", "pos", "lead", label.alias("label"))
     by_size = tile.orderBy("n", "doc")
     member = member.withColumns({"lo": F.min("label").over(tile), "hi": F.max("label").over(tile), "below": F.lag("n").over(by_size), "above": F.lead("n").over(by_size)})
     member = member.where(f"lo <> hi and (100 * below >= {PERCENT} * n or 100 * n >= {PERCENT} * above)").drop("lo", "hi", "below", "above")
     member = materialize(member, "members")
     h = F.xxhash64("doc")
-    tiles = member.groupBy("token").agg(F.bit_xor(h).alias("k1"), F.sum(F.shiftright(h, 24)).alias("k2"), F.count("*").alias("size"), F.sum("pos").alias("at"))
-    tiles = tiles.groupBy("k1", "k2", "size").agg(F.min(F.struct("at", "token")).alias("t")).where("size > 1").select("t.token", "size")
+    tiles = member.groupBy("token").agg(F.bit_xor(h).alias("k1"), F.sum(F.shiftright(h, 24)).alias("k2"), F.count("*").alias("size"), F.sum("pos").alias("at"), F.min("lead").alias("lead"))
+    tiles = tiles.groupBy("k1", "k2", "size").agg(F.min(F.struct("at", "token", "lead")).alias("t")).where("size > 1").select("t.token", "t.lead", "size")
+    parts = F.ceil(F.sum(F.col("size") * F.least("size", F.lit(BLOCK))).over(Window.partitionBy("lead")) / CELL_PAIRS)
+    tiles = tiles.select("token", "size", F.pmod(F.xxhash64("token"), parts).cast("long").alias("part"))
+    cells = cells_of(member, tiles, sigs)
+    return cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(compare_cells, "a long, b long").distinct()
+
+
+#: What names a cell: smallest document, part of its tiles, and two blocks of their documents.
+CELL = ("lead", "part", "i", "j")
+
+
+def cells_of(member: DataFrame, tiles: DataFrame, sigs: DataFrame) -> DataFrame:
+    """One row for each cell and document, with its bitmap and its places in the tiles (token, size, part) of the cell."""
     blocks = F.ceil(F.col("size") / BLOCK)
     mine = F.pmod(F.xxhash64("doc"), blocks)
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    dealt = member.join(tiles, "token").select("token", "doc", "n", "pos", "label", mine.cast("long").alias("block"), other.alias("other"))
-    dealt = dealt.join(sigs.select(F.col("doc_id").alias("doc"), "bitmap"), "doc")
-    dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "n", "pos", "label", "bitmap")
-
-    def run(batches):
-        for t in whole_tiles(batches, ("token", "i", "j")):
-            token, i, j, block, doc, n, pos, label = (np.asarray(t.column(c)) for c in ("token", "i", "j", "block", "doc", "n", "pos", "label"))
-            maps = t.column("bitmap").to_pylist()
-            group = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-            at = np.arange(len(doc))
-            seen: list[np.ndarray] = []
-            for d in range(1, len(doc)):
-                at = at[: np.searchsorted(at, len(doc) - d)]
-                at = at[group[at] == group[at + d]]
-                if not len(at):
-                    break
-                x, y = at, at + d
-                least = need_both(n[x], n[y])
-                ok = (doc[x] != doc[y]) & (label[x] != label[y]) & ((i[x] == j[x]) | (block[x] != block[y])) & (n[x] - pos[x] >= least) & (n[y] - pos[y] >= least)
-                x, y = x[ok], y[ok]
-                ok = may_link(n[x], [maps[k] for k in x], n[y], [maps[k] for k in y])
-                seen.append(np.stack([np.minimum(label[x], label[y])[ok], np.maximum(label[x], label[y])[ok]], axis=1))
-            if seen:
-                pairs = np.unique(np.concatenate(seen), axis=0)
-                yield _batch((pairs[:, 0], pairs[:, 1]), "a long, b long")
-
-    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    dealt = member.join(tiles, "token").select("token", "doc", "n", "pos", "label", "lead", "part", mine.cast("long").alias("block"), other.alias("other"))
+    dealt = dealt.select("lead", "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "n", "label", F.struct("token", "pos").alias("place"))
+    rows = dealt.repartition("doc").groupBy(*CELL, "block", "doc", "n", "label").agg(F.collect_list("place").alias("places"))
+    rows = rows.join(sigs.select(F.col("doc_id").alias("doc"), "bitmap"), "doc")
+    return rows.select(*CELL, "block", "doc", "n", "label", F.col("places.token").alias("tokens"), F.col("places.pos").alias("pos"), "bitmap")
+
+
+def compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of components (a, b) with documents in one tile of a cell that may link; batches are sorted by cell."""
+    for t in whole_tiles(batches, CELL):
+        t = t.combine_chunks()
+        lead, part, i, j, block, doc, n, label = (np.asarray(t.column(c)) for c in (*CELL, "block", "doc", "n", "label"))
+        maps = t.column("bitmap").to_pylist()
+        cell = np.cumsum(np.concatenate([[0], (lead[1:] != lead[:-1]) | (part[1:] != part[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        token, pos = (np.asarray(pc.list_flatten(t.column(c))) for c in ("tokens", "pos"))
+        row = np.repeat(np.arange(len(doc)), np.asarray(pc.list_value_length(t.column("tokens"))))
+        order = np.lexsort((token, cell[row]))
+        token, pos, row = token[order], pos[order], row[order]
+        group = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1]) | (cell[row[1:]] != cell[row[:-1]])]))
+        found: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+
+        def compare() -> None:
+            # documents meet in many tiles of a cell, and are compared once
+            x, y = np.divmod(np.unique(np.concatenate(held)), len(doc))
+            ok = may_link(n[x], [maps[k] for k in x], n[y], [maps[k] for k in y])
+            x, y = label[x[ok]], label[y[ok]]
+            found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
+            held.clear()
+
+        at = np.arange(len(row))
+        for d in range(1, len(row)):
+            at = at[: np.searchsorted(at, len(row) - d)]
+            at = at[group[at] == group[at + d]]
+            if not len(at):
+                break
+            x, y = row[at], row[at + d]
+            least = need_both(n[x], n[y])
+            ok = (doc[x] != doc[y]) & (label[x] != label[y]) & ((i[x] == j[x]) | (block[x] != block[y])) & (n[x] - pos[at] >= least) & (n[y] - pos[at + d] >= least)
+            held.append(np.minimum(x, y)[ok] * len(doc) + np.maximum(x, y)[ok])
+            if sum(map(len, held)) >= PAIRS_AT_ONCE:
+                compare()
+        if held:
+            compare()
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield _batch((pairs[:, 0], pairs[:, 1]), "a long, b long")
 
 
 def shingled(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -370,7 +432,7 @@ def jaccard_components(docs: DataFrame, checked: Callable[[DataFrame], None] | N
     sets = named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     copies = named.select("doc_id", "k1", "k2", "n").join(materialize(sets, "sets"), ["k1", "k2", "n"]).where("doc_id <> rep")
     copies = materialize(copies.select("doc_id", "rep", "k1", "k2").distinct(), "copies")
-    reps = named.join(copies.drop("rep"), ["doc_id", "k1", "k2"], "left_anti")
+    reps = without_copies(named.select("doc_id", "n", "k1", "k2", "prefix"), copies.select("doc_id", "k1", "k2"))
     # an id with several texts may link with others by each of them
     several = named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     several = copies.join(materialize(several, "several"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
